@@ -1,0 +1,5 @@
+"""No operators: the model is trained and judged in batch.
+
+``Fitted.predict`` is a narrow projection, so it also labels a streaming
+DataFrame of points as it is.
+"""
