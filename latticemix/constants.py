@@ -10,6 +10,9 @@ VARIANCE_SHARE = 4
 # Bernoulli noise is kept inside [EPSILON_FLOOR, EPSILON_CEILING].
 EPSILON_FLOOR = 1e-30
 EPSILON_CEILING = 1.0 - 1e-16
+# Cell variance used in a density is at least this (ours: a cell that has shrunk
+# onto one point keeps a finite density instead of failing).
+VARIANCE_FLOOR = 1e-12
 # Integer-to-bits encoding: value * BITS_STEP, jitter in [-JITTER, JITTER], width.
 BITS_STEP = 20
 BITS_JITTER = 7

@@ -7,11 +7,12 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import EPSILON_CEILING, EPSILON_FLOOR
+from ..constants import EPSILON_CEILING, EPSILON_FLOOR, VARIANCE_FLOOR
 
 
 def log_gaussian(sq_dist: Column, width: int, variance: Column) -> Column:
     """Isotropic Gaussian log-density; ``variance`` is per dimension."""
+    variance = F.greatest(variance, F.lit(VARIANCE_FLOOR))
     return (
         -0.5 * sq_dist / variance
         - F.lit(0.5 * width * math.log(2 * math.pi))

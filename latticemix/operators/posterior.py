@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..cells import CellModel
-from ..constants import EPSILON_CEILING, EPSILON_FLOOR
+from ..constants import EPSILON_CEILING, EPSILON_FLOOR, VARIANCE_FLOOR
 from ..functions.reduce import argmax_first
 from .density import COMPONENTS
 
@@ -41,7 +41,7 @@ def log_density(x, b, p: dict) -> np.ndarray:
     """n x K log-density of the rows under each cell."""
     out = 0.0
     if x is not None:
-        mean, variance = p["cont_mean"], p["cont_variance"]
+        mean, variance = p["cont_mean"], np.maximum(p["cont_variance"], VARIANCE_FLOOR)
         sq = np.zeros((len(x), len(mean)))
         for j in range(mean.shape[1]):
             sq += np.square(x[:, j : j + 1] - mean[:, j])

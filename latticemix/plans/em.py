@@ -32,15 +32,25 @@ from ..sources import trajectory as store
 HEAD = ("n_cell", "n_winner", "items", "sq_dist", "rows", "log_likelihood")
 
 
+# A variance this much smaller than the squared move of its mean is mostly
+# cancellation, and is summed again around the new mean.
+CANCELLATION = 1e-6
+
+
 def statistics(
-    points: DataFrame, model: CellModel, temperature: float, components: str = "mixed"
+    points: DataFrame,
+    model: CellModel,
+    temperature: float,
+    components: str = "mixed",
+    center: np.ndarray | None = None,
 ) -> DataFrame:
     """(cell, pos, value): the sums that the parameter updates need.
 
     Each task reduces its rows to K packed vectors; the shuffle carries those,
-    not rows.  Sums of x are taken around the old means, which keeps the
-    variance free of cancellation in a single pass.
+    not rows.  Sums of x are taken around ``center`` (the old means), so that
+    mean and variance come from a single pass.
     """
+    center = model.cont_mean if center is None else center
     p = task_values(model, temperature, components)
     k, d, s = model.size, model.cont_size, model.bin_size
 
@@ -65,7 +75,7 @@ def statistics(
             at = len(HEAD)
             if x is not None:
                 for j in range(d):
-                    off = x[:, j : j + 1] - p["cont_mean"][:, j]
+                    off = x[:, j : j + 1] - center[:, j]
                     total[:, at + j] += np.einsum("nk,nk->k", p_cell, off)
                     total[:, 3] += np.einsum("nk,nk->k", p_cell, off * off)
             if b is not None:
@@ -85,6 +95,14 @@ def statistics(
     )
 
 
+def _collected(stats: DataFrame, model: CellModel) -> np.ndarray:
+    """K * (d + s + 6) sums on the driver, bounded by the model's own size check."""
+    sums = np.zeros((model.size, len(HEAD) + model.cont_size + model.bin_size))
+    for cell, pos, value in stats.collect():
+        sums[cell, pos] = value
+    return sums
+
+
 @dataclass
 class Step:
     """Outcome of one iteration."""
@@ -107,11 +125,8 @@ def em_step(
     iteration: int = 1,
 ) -> Step:
     """One iteration: a distributed aggregate, then K-row arithmetic."""
-    k, d, s = model.size, model.cont_size, model.bin_size
-    sums = np.zeros((k, len(HEAD) + d + s))
-    # K * (d + s + 6) rows, bounded by the model's own size check.
-    for cell, pos, value in statistics(points, model, temperature, components).collect():
-        sums[cell, pos] = value
+    d, s = model.cont_size, model.bin_size
+    sums = _collected(statistics(points, model, temperature, components), model)
     head = dict(zip(HEAD, sums.T))
     rows = int(head["rows"].sum())
     if rows == 0:
@@ -124,7 +139,13 @@ def em_step(
     if components != "bin":
         shift = sums[:, at : at + d] / safe
         mean = model.cont_mean + shift
-        spread = (head["sq_dist"] / safe[:, 0] - np.square(shift).sum(axis=1)) / d
+        moved = np.square(shift).sum(axis=1)
+        spread = (head["sq_dist"] / safe[:, 0] - moved) / d
+        if (alive & (spread < CANCELLATION * moved)).any():
+            around = _collected(statistics(points, model, temperature, components, mean), model)
+            rest = np.square(around[:, at : at + d] / safe).sum(axis=1)
+            spread = (around[:, HEAD.index("sq_dist")] / safe[:, 0] - rest) / d
+        spread = spread.clip(min=0.0)
         new["cont_mean"] = np.where(alive[:, None], mean, model.cont_mean)
         new["cont_variance"] = np.where(alive, spread, model.cont_variance)
     if components != "cont":
