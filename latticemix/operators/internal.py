@@ -14,6 +14,7 @@ from ..constants import MAX_BROADCAST_VALUES, PAIR_BLOCK_ROWS
 from ..functions import vectors as V
 from ..session import materialize
 from .pairwise import reduce_block_pairs
+from .posterior import squared_distances
 
 
 def distinct_labels(labelled: DataFrame) -> DataFrame:
@@ -75,12 +76,13 @@ def cluster_similarities(scatters: DataFrame, block_rows: int = PAIR_BLOCK_ROWS)
         for one, two in ((a, b),) if lo == hi else ((a, b), (b, a)):
             if len(one) == 0 or len(two) == 0:
                 continue
-            c1, c2 = np.stack(one["center"]), np.stack(two["center"])
+            c1 = np.stack(one["center"])
+            c2_t = np.stack(two["center"]).T.copy()
             s2 = two["scatter"].to_numpy()
             best = np.full(len(one), -np.inf)
-            for start in range(0, len(one), 256):
-                part = slice(start, start + 256)
-                dist = np.sqrt(_sq_distances(c1[part], c2))
+            for start in range(0, len(one), 64):
+                part = slice(start, start + 64)
+                dist = np.sqrt(squared_distances(c1[part], c2_t))
                 with np.errstate(divide="ignore", invalid="ignore"):
                     ratio = (one["scatter"].to_numpy()[part, None] + s2) / dist
                 if lo == hi:
@@ -112,14 +114,6 @@ def davies_bouldin(labelled: DataFrame, width: int) -> DataFrame:
 # -- silhouette -------------------------------------------------------------------
 
 
-def _sq_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distances by differences: exact 0 for equal rows."""
-    out = np.zeros((len(a), len(b)))
-    for j in range(a.shape[1]):
-        out += np.square(a[:, j, None] - b[None, :, j])
-    return out
-
-
 def distance_sums(
     labelled: DataFrame, block_rows: int = PAIR_BLOCK_ROWS, n: int | None = None
 ) -> DataFrame:
@@ -156,16 +150,16 @@ def distance_sums(
 
         (a, xa, _, _), (b, xb, starts_b, names_b) = sides[0], sides[-1]
         if len(a) and len(b):
-            back = np.zeros((len(b), 0))
+            xb_t = np.ascontiguousarray(xb.T)
             if lo != hi:
                 _, _, starts_a, names_a = sides[0]
                 back = np.zeros((len(b), len(names_a)))
                 group = np.repeat(
                     np.arange(len(starts_a)), np.diff(np.r_[starts_a, len(a)])
                 )
-            for start in range(0, len(a), 256):
-                part = slice(start, start + 256)
-                dist = np.sqrt(_sq_distances(xa[part], xb))
+            for start in range(0, len(a), 64):
+                part = slice(start, start + 64)
+                dist = np.sqrt(squared_distances(xa[part], xb_t))
                 emit(a.iloc[part], np.add.reduceat(dist, starts_b, axis=1), names_b)
                 if lo != hi:
                     inside = group[part]

@@ -37,58 +37,98 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return values.to_numpy(zero_copy_only=False).reshape(len(column), width)
 
 
-def log_density(x, b, p: dict) -> np.ndarray:
-    """n x K log-density of the rows under each cell."""
-    out = 0.0
-    if x is not None:
-        mean, variance = p["cont_mean"], np.maximum(p["cont_variance"], VARIANCE_FLOOR)
-        sq = np.zeros((len(x), len(mean)))
-        for j in range(mean.shape[1]):
-            sq += np.square(x[:, j : j + 1] - mean[:, j])
-        out = -0.5 * sq / variance - 0.5 * mean.shape[1] * np.log(2 * np.pi * variance)
-    if b is not None:
-        proto = p["bin_mean"].astype(float)
-        eps = np.clip(p["bin_epsilon"], EPSILON_FLOOR, EPSILON_CEILING)
-        bits = b.astype(float)
-        differ = bits @ (1 - proto).T + (1 - bits) @ proto.T
-        out = out + differ * np.log(eps) + (proto.shape[1] - differ) * np.log1p(-eps)
-    return out
+# Rows per numpy call: K x CHUNK stays in a core's cache.
+CHUNK = 1024
 
 
-def row_posterior(log_d: np.ndarray, p: dict) -> dict:
-    """Posteriors of one batch from its n x K log-densities."""
-    top = log_d.max(axis=1, keepdims=True)
-    weight = np.exp(log_d - top)
-    log_winner = top + np.log(weight @ p["nb"].T)
-    joint = log_d + p["log_q"]
-    peak = joint.max(axis=1, keepdims=True)
-    log_px = peak + np.log(np.exp(joint - peak).sum(axis=1, keepdims=True))
-    return {
-        "log_px_cell": log_d,
-        "log_px_winner": log_winner,
-        "log_px": log_px[:, 0],
-        "log_p_cell": joint - log_px,
-        "log_p_winner": p["log_prior"] + log_winner - log_px,
-    }
+def squared_distances(a: np.ndarray, b_t: np.ndarray) -> np.ndarray:
+    """len(a) x n, from rows ``a`` and the n columns of ``b_t``.
+
+    Summed from differences, so equal vectors are at exactly 0.
+    """
+    out = np.zeros((len(a), b_t.shape[1]))
+    for j in range(a.shape[1]):
+        off = b_t[j] - a[:, j, None]
+        off *= off
+        out += off
+    return out
 
 
 def task_values(model: CellModel, temperature: float, components: str) -> dict:
     """What a task needs of the model (bounded by the grid, not the data)."""
     if components not in COMPONENTS:
         raise ValueError(f"components is one of {COMPONENTS}")
+    use_x, use_b = components != "bin", components != "cont"
     nb = model.neighborhood(temperature)
+    q = model.prob @ nb  # chance of each cell over all winners
+    log_scale = np.zeros(model.size)  # the part of the log-density without x or b
+    values = {"use_x": use_x, "use_b": use_b, "nb": nb, "q": q, "prior": model.prob}
+    if use_x:
+        variance = np.maximum(model.cont_variance, VARIANCE_FLOOR)
+        values["mean"] = model.cont_mean
+        values["per_sq"] = (-0.5 / variance)[:, None]
+        log_scale = log_scale - 0.5 * model.cont_size * np.log(2 * np.pi * variance)
+    if use_b:
+        proto = model.bin_mean.astype(float)
+        eps = np.clip(model.bin_epsilon, EPSILON_FLOOR, EPSILON_CEILING)
+        odds = np.log(eps) - np.log1p(-eps)  # log-density change per differing bit
+        values["per_bit"] = (1 - 2 * proto) * odds[:, None]
+        log_scale = log_scale + proto.sum(axis=1) * odds + model.bin_size * np.log1p(-eps)
+    values["log_scale"] = log_scale[:, None]
     with np.errstate(divide="ignore"):
-        log_prior, log_q = np.log(model.prob), np.log(model.prob @ nb)
+        values["log_prior"], values["log_q"] = np.log(model.prob)[:, None], np.log(q)[:, None]
+    return values | {"cont_size": model.cont_size, "bin_size": model.bin_size}
+
+
+def chunks(x, b):
+    """(rows, x transposed, bits as doubles) per chunk of one batch."""
+    n = len(x if x is not None else b)
+    for start in range(0, n, CHUNK):
+        part = slice(start, min(start + CHUNK, n))
+        yield (
+            part,
+            None if x is None else np.ascontiguousarray(x[part].T),
+            None if b is None else b[part].astype(float),
+        )
+
+
+def log_density(x_t, bits, p: dict) -> tuple[np.ndarray, np.ndarray | None]:
+    """K x n log-density under each cell, and squared distances to the means."""
+    sq = None
+    out = p["log_scale"]
+    if bits is not None:
+        out = p["per_bit"] @ bits.T + out
+    if x_t is not None:
+        sq = squared_distances(p["mean"], x_t)
+        out = out + p["per_sq"] * sq
+    return out, sq
+
+
+def weights(log_d: np.ndarray, p: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """K x n p(cell | x) and p(winner | x), and log p(x); one exp per value."""
+    top = log_d.max(axis=0)
+    p_cell = np.exp(log_d - top)
+    total = p["q"] @ p_cell
+    p_winner = p["nb"] @ p_cell
+    p_winner *= p["prior"][:, None]
+    p_winner /= total
+    p_cell *= p["q"][:, None]
+    p_cell /= total
+    return p_cell, p_winner, top + np.log(total)
+
+
+def log_posterior(log_d: np.ndarray, p: dict) -> dict:
+    """The same in logs, K x n each (``log_px`` has n)."""
+    top = log_d.max(axis=0)
+    scaled = np.exp(log_d - top)
+    log_px = top + np.log(p["q"] @ scaled)
+    log_winner = top + np.log(p["nb"] @ scaled)
     return {
-        "cont_mean": model.cont_mean,
-        "cont_variance": model.cont_variance,
-        "bin_mean": model.bin_mean,
-        "bin_epsilon": model.bin_epsilon,
-        "nb": nb,
-        "log_prior": log_prior,
-        "log_q": log_q,
-        "use_x": components != "bin",
-        "use_b": components != "cont",
+        "log_px_cell": log_d,
+        "log_px_winner": log_winner,
+        "log_px": log_px,
+        "log_p_cell": log_d + p["log_q"] - log_px,
+        "log_p_winner": log_winner + p["log_prior"] - log_px,
     }
 
 
@@ -112,23 +152,29 @@ def with_posterior(
     p = task_values(model, temperature, components)
     returns = "struct<" + ",".join(f"{name}:{FIELDS[name]}" for name in want) + ">"
 
+    k = model.size
+
     def score(*columns: pa.Array) -> pa.Array:
         columns = list(columns)
-        x = matrix(columns.pop(0), p["cont_mean"].shape[1]) if p["use_x"] else None
-        b = matrix(columns.pop(0), p["bin_mean"].shape[1]) if p["use_b"] else None
-        got = row_posterior(log_density(x, b, p), p)
-        arrays = []
-        for name in want:
-            v = got[name]
-            if v.ndim == 2:
-                ends = np.arange(0, v.size + 1, v.shape[1], dtype=np.int32)
-                arrays.append(pa.ListArray.from_arrays(ends, pa.array(v.reshape(-1))))
-            else:
-                arrays.append(pa.array(v))
+        n = len(columns[0])
+        x = matrix(columns.pop(0), p["cont_size"]) if p["use_x"] else None
+        b = matrix(columns.pop(0), p["bin_size"]) if p["use_b"] else None
+        out = {name: np.empty((n, k) if name in VECTORS else n) for name in want}
+        for rows, x_t, bits in chunks(x, b):
+            got = log_posterior(log_density(x_t, bits, p)[0], p)
+            for name in want:
+                out[name][rows] = got[name].T
+        ends = np.arange(0, n * k + 1, k, dtype=np.int32)
+        arrays = [
+            pa.ListArray.from_arrays(ends, pa.array(v.reshape(-1))) if v.ndim == 2 else pa.array(v)
+            for v in out.values()
+        ]
         return pa.StructArray.from_arrays(arrays, list(want))
 
     inputs = [name for name, used in (("x", p["use_x"]), ("b", p["use_b"])) if used]
-    scored = F.arrow_udf(score, returnType=returns)(*inputs)
+    # Marked so that the optimizer does not copy it into a pushed-down filter,
+    # which would score every row twice.
+    scored = F.arrow_udf(score, returnType=returns).asNondeterministic()(*inputs)
     return points.withColumn("_scored", scored).select(
         *points.columns, *[F.col(f"_scored.{name}").alias(name) for name in want]
     )

@@ -20,18 +20,16 @@ def column_min_max(points: DataFrame, width: int, column: str = "x") -> DataFram
 def minmax_normalize(points: DataFrame, width: int, column: str = "x") -> DataFrame:
     """Each column to (v - min) / (max - min) over all rows; constant -> NULL.
 
-    The bounds enter as scalar subqueries: one aggregate, no join.
+    The bounds enter as a scalar subquery: one aggregate, no join.
     """
-    bounds = column_min_max(points, width, column)
-    lo = bounds.select("lo").scalar()
-    hi = bounds.select("hi").scalar()
-    v = F.col(column)
-    tagged = points.withColumn("_lo", lo).withColumn("_hi", hi)
-    scaled = [
-        F.try_divide(v[j] - F.col("_lo")[j], F.col("_hi")[j] - F.col("_lo")[j])
-        for j in range(width)
-    ]
-    return tagged.withColumn(column, F.array(*scaled)).select(*points.columns)
+    bounds = column_min_max(points, width, column).select(F.struct("lo", "hi").alias("b")).scalar()
+    v, lo, hi = F.col(column), F.col("_bounds.lo"), F.col("_bounds.hi")
+    scaled = [F.try_divide(v[j] - lo[j], hi[j] - lo[j]) for j in range(width)]
+    return (
+        points.withColumn("_bounds", bounds)
+        .withColumn(column, F.array(*scaled))
+        .select(*points.columns)
+    )
 
 
 def first_n(df: DataFrame, n: int, key: str = "id") -> DataFrame:

@@ -21,10 +21,12 @@ from ..constants import DEFAULT_COLS, DEFAULT_MAX_ITER, DEFAULT_ROWS, T_MAX, T_M
 from ..operators.posterior import (
     assign_by_cell,
     assign_by_winner,
+    chunks,
     log_density,
     matrix,
-    row_posterior,
+    squared_distances,
     task_values,
+    weights,
 )
 from ..sources import trajectory as store
 
@@ -42,17 +44,17 @@ def statistics(
     model: CellModel,
     temperature: float,
     components: str = "mixed",
-    center: np.ndarray | None = None,
+    around: np.ndarray | None = None,
 ) -> DataFrame:
     """(cell, pos, value): the sums that the parameter updates need.
 
     Each task reduces its rows to K packed vectors; the shuffle carries those,
-    not rows.  Sums of x are taken around ``center`` (the old means), so that
-    mean and variance come from a single pass.
+    not rows.  Sums of x are taken around ``around`` (the old means if not given), so
+    that mean and variance come from a single pass.
     """
-    center = model.cont_mean if center is None else center
     p = task_values(model, temperature, components)
     k, d, s = model.size, model.cont_size, model.bin_size
+    at = len(HEAD)
 
     def reduce_partition(batches):
         total = np.zeros((k, len(HEAD) + d + s))
@@ -64,22 +66,23 @@ def statistics(
             seen += n
             x = matrix(batch.column("x"), d) if p["use_x"] else None
             b = matrix(batch.column("b"), s) if p["use_b"] else None
-            got = row_posterior(log_density(x, b, p), p)
-            p_cell = np.exp(got["log_p_cell"])
-            best = got["log_p_winner"]
-            total[:, 0] += p_cell.sum(axis=0)
-            total[:, 1] += np.exp(best).sum(axis=0)
-            total[:, 2] += (best == best.max(axis=1, keepdims=True)).sum(axis=0)
-            total[0, 4] += n
-            total[0, 5] += got["log_px"].sum()
-            at = len(HEAD)
-            if x is not None:
-                for j in range(d):
-                    off = x[:, j : j + 1] - center[:, j]
-                    total[:, at + j] += np.einsum("nk,nk->k", p_cell, off)
-                    total[:, 3] += np.einsum("nk,nk->k", p_cell, off * off)
-            if b is not None:
-                total[:, at + d :] += p_cell.T @ b.astype(float)
+            for _, x_t, bits in chunks(x, b):
+                log_d, sq = log_density(x_t, bits, p)
+                p_cell, p_winner, log_px = weights(log_d, p)
+                n_cell = p_cell.sum(axis=1)
+                total[:, 0] += n_cell
+                total[:, 1] += p_winner.sum(axis=1)
+                total[:, 2] += (p_winner == p_winner.max(axis=0)).sum(axis=1)
+                total[0, 4] += len(log_px)
+                total[0, 5] += log_px.sum()
+                if x_t is not None:
+                    center = p["mean"]
+                    if around is not None:
+                        center, sq = around, squared_distances(around, x_t)
+                    total[:, 3] += np.einsum("kn,kn->k", p_cell, sq)
+                    total[:, at : at + d] += p_cell @ x_t.T - n_cell[:, None] * center
+                if bits is not None:
+                    total[:, at + d :] += p_cell @ bits
         if seen:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(k, dtype=np.int32)), pa.array(total.tolist())],
