@@ -7,6 +7,7 @@ with their closure.  ``CellModel`` refuses to grow past ``MAX_MODEL_VALUES``.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -31,6 +32,11 @@ CELL_SCHEMA = T.StructType(
 )
 
 
+def constant(value, kind: T.DataType) -> Column:
+    """A nested constant, parsed by the optimizer when it folds constants."""
+    return F.from_json(F.lit(json.dumps(value)), kind, {"mode": "FAILFAST"})
+
+
 @dataclass(frozen=True)
 class CellModel:
     rows: int
@@ -158,18 +164,8 @@ class CellModel:
 
     def as_literal(self) -> Column:
         """All cells as one constant array of structs (folded once per plan)."""
-
-        def cell(values: tuple) -> Column:
-            fields = []
-            for field, value in zip(CELL_SCHEMA, values):
-                if isinstance(field.dataType, T.ArrayType):
-                    items = F.array(*[F.lit(v) for v in value])
-                    fields.append(items.cast(field.dataType).alias(field.name))
-                else:
-                    fields.append(F.lit(value).cast(field.dataType).alias(field.name))
-            return F.struct(*fields)
-
-        return F.array(*[cell(values) for values in self.to_rows()])
+        rows = [dict(zip(CELL_SCHEMA.names, values)) for values in self.to_rows()]
+        return constant(rows, T.ArrayType(CELL_SCHEMA))
 
     # -- grid ---------------------------------------------------------------
 

@@ -39,7 +39,8 @@ CENTROID_STEMS = {"contCentroid": "cont_mean", "binCentroid": "bin_mean"}
 LABEL_STEM = "labels-"
 
 # Size bounds of this build (ours, not results): values held on the driver or
-# sent to every task, and rows held by one pairwise task per side.
+# sent to every task, rows held by one pairwise task and rows streamed past them.
 MAX_MODEL_VALUES = 4_000_000
 MAX_BROADCAST_VALUES = 4_000_000
-PAIR_BLOCK_ROWS = 2048
+PAIR_BLOCK_ROWS = 16_384
+STRIPE_ROWS = 4_000_000

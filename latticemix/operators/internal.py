@@ -6,15 +6,16 @@ Input is (id, x, label) with unique ids and labels matched to points by id.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import MAX_BROADCAST_VALUES, PAIR_BLOCK_ROWS
 from ..functions import vectors as V
 from ..session import materialize
-from .pairwise import reduce_block_pairs
-from .posterior import squared_distances
+from .pairwise import fold_over_all
+from .posterior import matrix, squared_distances
 
 
 def distinct_labels(labelled: DataFrame) -> DataFrame:
@@ -35,25 +36,27 @@ def cluster_centers(labelled: DataFrame, width: int) -> DataFrame:
     return labelled.groupBy("label").agg(_mean_vector(width).alias("center"))
 
 
-def attach_by_label(rows: DataFrame, table: DataFrame, width: int, salts: int = 64) -> DataFrame:
-    """Join a one-row-per-label table onto rows, whatever either's size.
+def attach(
+    rows: DataFrame, table: DataFrame, width: int, on: str = "label", salts: int = 64
+) -> DataFrame:
+    """Join a one-row-per-label table onto rows with an ``id``, whatever either's size.
 
-    ``table`` is a materialised aggregate.  It is broadcast if its counted size
-    is within bounds.  Beyond that both sides are shuffled, and rows of one
-    label are split over ``salts`` keys, so a label holding a third of all rows
-    is no single task.
+    ``table`` is a materialised aggregate of ``width`` values per row.  It is
+    broadcast if its counted size is within bounds.  Beyond that both sides are
+    shuffled, and rows of one label are split over ``salts`` keys, so a label
+    holding a third of all rows is no single task.
     """
-    if table.count() * (width + 1) <= MAX_BROADCAST_VALUES:
-        return rows.join(F.broadcast(table), "label")
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
-    return salted.join(copies.hint("shuffle_merge"), ["label", "_salt"]).drop("_salt")
+    if table.count() * width <= MAX_BROADCAST_VALUES:
+        return rows.join(F.broadcast(table), on)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies.hint("shuffle_merge"), [on, "_salt"]).drop("_salt")
 
 
 def cluster_scatter(labelled: DataFrame, width: int) -> DataFrame:
     """(label, scatter, center): mean Euclidean distance to the centre."""
     centers = materialize(cluster_centers(labelled, width))
-    with_center = attach_by_label(labelled.select("id", "label", "x"), centers, width)
+    with_center = attach(labelled.select("id", "label", "x"), centers, width + 1)
     return with_center.groupBy("label").agg(
         F.avg(V.euclidean(F.col("x"), F.col("center"), width)).alias("scatter"),
         F.first("center").alias("center"),
@@ -68,33 +71,26 @@ def cluster_similarities(scatters: DataFrame, block_rows: int = PAIR_BLOCK_ROWS)
     kind = scatters.schema["label"].dataType.simpleString()
     table = materialize(scatters)
 
-    def worst(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = pdf["_lo"].iloc[0], pdf["_hi"].iloc[0]
-        a = pdf[pdf["_block"] == lo]
-        b = pdf[pdf["_block"] == hi]
-        out = []
-        for one, two in ((a, b),) if lo == hi else ((a, b), (b, a)):
-            if len(one) == 0 or len(two) == 0:
-                continue
-            c1 = np.stack(one["center"])
-            c2_t = np.stack(two["center"]).T.copy()
-            s2 = two["scatter"].to_numpy()
-            best = np.full(len(one), -np.inf)
-            for start in range(0, len(one), 64):
-                part = slice(start, start + 64)
-                dist = np.sqrt(squared_distances(c1[part], c2_t))
+    def worst(targets, sources):
+        own = targets.column("scatter").to_numpy()
+        centers = vectors(targets.column("center"))
+        labels = targets.column("label")
+        best = np.full(len(own), -np.inf)
+        for batch in sources:
+            scatter = batch.column("scatter").to_numpy(zero_copy_only=False)
+            position = pc.index_in(batch.column("label"), value_set=labels).to_pylist()
+            for part, dist in distance_chunks(centers, vectors(batch.column("center"))):
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    ratio = (one["scatter"].to_numpy()[part, None] + s2) / dist
-                if lo == hi:
-                    rows = np.arange(start, start + len(ratio))
-                    ratio[rows - start, rows] = -np.inf
-                best[part] = ratio.max(axis=1)
-            out.append(pd.DataFrame({"label": one["label"].to_numpy(), "similarity": best}))
-        if not out:
-            return pd.DataFrame({"label": [], "similarity": []})
-        return pd.concat(out)
-
-    found = reduce_block_pairs(
+                    ratio = (own[part, None] + scatter) / dist
+                for j, i in enumerate(position):
+                    if i is not None and part.start <= i < part.stop:
+                        ratio[i - part.start, j] = -np.inf
+                best[part] = np.maximum(best[part], ratio.max(axis=1))
+        yield pa.RecordBatch.from_arrays(
+            [one_array(labels), pa.array(best)], names=["label", "similarity"]
+        )
+
+    found = fold_over_all(
         table, "label", table.count(), worst, f"label {kind}, similarity double", block_rows
     )
     best = found.groupBy("label").agg(F.max("similarity").alias("similarity"))
@@ -111,8 +107,51 @@ def davies_bouldin(labelled: DataFrame, width: int) -> DataFrame:
     )
 
 
+# -- numpy inside tasks --------------------------------------------------------------
+
+# Distances per numpy call, sized for a core's cache.
+CHUNK_DISTANCES = 1 << 16
+# Up to this width distances are summed from differences.
+NARROW = 8
+# Wider ones come from a matrix product, except where that would cancel.
+CLOSE = 1e-4
+
+
+def one_array(column) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
+def vectors(column) -> np.ndarray:
+    """Arrow list column as n x width, the width being that of the first row."""
+    column = one_array(column)
+    width = len(column[0]) if len(column) else 0
+    return matrix(column, width).astype(float, copy=False)
+
+
+def distance_chunks(a: np.ndarray, b: np.ndarray):
+    """(slice of a, its Euclidean distances to all of b), a few rows at a time."""
+    if a.shape[1] != b.shape[1]:
+        raise ValueError("every vector needs the same width")
+    b_t = np.ascontiguousarray(b.T)
+    norm = np.square(b).sum(axis=1)
+    step = max(1, CHUNK_DISTANCES // max(1, len(b)))
+    for start in range(0, len(a), step):
+        part = slice(start, min(start + step, len(a)))
+        if a.shape[1] <= NARROW:
+            sq = squared_distances(a[part], b_t)
+        else:
+            scale = np.square(a[part]).sum(axis=1)[:, None] + norm
+            sq = scale - 2 * (a[part] @ b_t)
+            i, j = np.nonzero(sq < CLOSE * scale)
+            sq[i, j] = np.square(a[part][i] - b[j]).sum(axis=1)
+        yield part, np.sqrt(sq)
+
+
 # -- silhouette -------------------------------------------------------------------
 
+# Sums a task holds before it passes them on.
+HELD_SUMS = 4_000_000
+
 
 def distance_sums(
     labelled: DataFrame, block_rows: int = PAIR_BLOCK_ROWS, n: int | None = None
@@ -121,60 +160,47 @@ def distance_sums(
     kinds = {f.name: f.dataType.simpleString() for f in labelled.schema}
     schema = f"id {kinds['id']}, label {kinds['label']}, other_label {kinds['label']}, sum_dist double"
 
-    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = pdf["_lo"].iloc[0], pdf["_hi"].iloc[0]
-        # Sorted by label, sums per label are sums of consecutive columns.
-        sides = []
-        for block in (lo,) if lo == hi else (lo, hi):
-            side = pdf[pdf["_block"] == block]
-            codes, names = pd.factorize(side["label"])
+    def sums(targets, sources):
+        x = vectors(targets.column("x"))
+        m = len(x)
+        totals: dict = {}
+
+        def emit():
+            k = len(totals)
+            at = pa.array(np.repeat(np.arange(m), k))
+            others = pa.array(list(totals), type=targets.schema.field("label").type)
+            arrays = [
+                one_array(targets.column("id")).take(at),
+                one_array(targets.column("label")).take(at),
+                others.take(pa.array(np.tile(np.arange(k), m))),
+                pa.array(np.column_stack(list(totals.values())).reshape(-1)),
+            ]
+            return pa.RecordBatch.from_arrays(arrays, names=["id", "label", "other_label", "sum_dist"])
+
+        for batch in sources:
+            # Sorted by label, sums per label are sums of consecutive columns.
+            coded = batch.column("label").dictionary_encode("encode")
+            codes, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
             order = np.argsort(codes, kind="stable")
-            side, codes = side.iloc[order], codes[order]
-            starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else []
-            x = np.stack(side["x"]).astype(float) if len(side) else np.empty((0, 0))
-            sides.append((side, x, np.asarray(starts, dtype=int), np.asarray(names, dtype=object)))
-        out = []
-
-        def emit(side, totals, names):
-            n, k = totals.shape
-            out.append(
-                pd.DataFrame(
-                    {
-                        "id": np.repeat(side["id"].to_numpy(), k),
-                        "label": np.repeat(side["label"].to_numpy(), k),
-                        "other_label": np.tile(names, n),
-                        "sum_dist": totals.reshape(-1),
-                    }
-                )
-            )
-
-        (a, xa, _, _), (b, xb, starts_b, names_b) = sides[0], sides[-1]
-        if len(a) and len(b):
-            xb_t = np.ascontiguousarray(xb.T)
-            if lo != hi:
-                _, _, starts_a, names_a = sides[0]
-                back = np.zeros((len(b), len(names_a)))
-                group = np.repeat(
-                    np.arange(len(starts_a)), np.diff(np.r_[starts_a, len(a)])
-                )
-            for start in range(0, len(a), 64):
-                part = slice(start, start + 64)
-                dist = np.sqrt(squared_distances(xa[part], xb_t))
-                emit(a.iloc[part], np.add.reduceat(dist, starts_b, axis=1), names_b)
-                if lo != hi:
-                    inside = group[part]
-                    first = np.flatnonzero(np.r_[True, inside[1:] != inside[:-1]])
-                    back[:, inside[first]] += np.add.reduceat(dist, first, axis=0).T
-            if lo != hi:
-                emit(b, back, names_a)
-        if not out:
-            return pd.DataFrame({"id": [], "label": [], "other_label": [], "sum_dist": []})
-        return pd.concat(out)
+            starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+            part_sums = np.empty((m, len(starts)))
+            for part, dist in distance_chunks(x, vectors(batch.column("x"))[order]):
+                part_sums[part] = np.add.reduceat(dist, starts, axis=1)
+            for i, code in enumerate(codes[order][starts]):
+                if names[code] in totals:
+                    totals[names[code]] += part_sums[:, i]
+                else:
+                    totals[names[code]] = part_sums[:, i].copy()
+            if len(totals) * m > HELD_SUMS:
+                yield emit()
+                totals.clear()
+        if totals:
+            yield emit()
 
     rows = labelled.select("id", "label", "x")
     if n is None:
         n = rows.count()
-    partial = reduce_block_pairs(rows, "id", n, sums, schema, block_rows)
+    partial = fold_over_all(rows, "id", n, sums, schema, block_rows)
     # One shuffle by id serves this sum and every later grouping by id.
     return (
         partial.repartition("id")
@@ -193,16 +219,7 @@ def silhouette_rows(labelled: DataFrame, block_rows: int = PAIR_BLOCK_ROWS) -> D
     by_other = sizes.select(F.col("label").alias("other_label"), F.col("n"))
     n = sizes.agg(F.sum("n")).first()[0] or 0
     sums = distance_sums(labelled, block_rows, n)
-    if sizes.count() * 2 <= MAX_BROADCAST_VALUES:
-        sized = sums.join(F.broadcast(by_other), "other_label")
-    else:
-        salts = 64
-        sized = sums.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts))).join(
-            by_other.withColumn(
-                "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long")
-            ),
-            ["other_label", "_salt"],
-        )
+    sized = attach(sums, by_other, 2, on="other_label")
     own = F.col("label") == F.col("other_label")
     per_row = sized.groupBy("id", "label").agg(
         F.max(F.when(own, F.try_divide(F.col("sum_dist"), F.col("n") - 1))).alias("a"),

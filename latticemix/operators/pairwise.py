@@ -1,45 +1,87 @@
-"""Reducing over all pairs of rows in bounded pieces.
+"""Folding every row over all rows, in bounded pieces.
 
-Some measures are defined over every pair.  Rows are hashed by their unique key
-into blocks of about ``block_rows``; each unordered pair of blocks is one group,
-which reduces its pairs to per-row sums before anything is shuffled on.  Group
-size depends on ``block_rows`` alone, whatever the labels' skew, and each
-distance is computed once.  Row volume of the shuffle is n * (n / block_rows).
+Some measures are defined over every pair of rows.  Rows are hashed by their
+unique key into target blocks of about ``block_rows``; every task holds one
+block and streams the rows of one stripe past it, folding pairs into per-row
+sums as they come, so no pair is ever a record.  A task's memory depends on
+``block_rows`` and its length on ``STRIPE_ROWS``, whatever the labels' skew.
+The shuffle carries n * (n / block_rows) source rows and returns sums only.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import PAIR_BLOCK_ROWS
+from ..constants import PAIR_BLOCK_ROWS, STRIPE_ROWS
 
 
-def reduce_block_pairs(
+# Source rows handed to a fold at a time.
+SOURCE_ROWS = 1024
+
+
+def fold_over_all(
     rows: DataFrame,
     key: str,
     n: int,
-    fn: Callable,
+    fold: Callable[[pa.Table, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     schema: str,
     block_rows: int = PAIR_BLOCK_ROWS,
 ) -> DataFrame:
-    """Apply ``fn`` to every pair of blocks.
+    """Run ``fold(targets, sources)`` for each block of targets and stripe of sources.
 
-    ``fn`` gets a pandas frame with ``_block``, ``_lo`` and ``_hi``: one block
-    where both are equal, else two.  ``key`` must be unique and ``n`` the number
-    of rows.
+    Every row is a target once per stripe and a source once per block; each
+    (target, source) combination meets exactly once, a row with itself too.
+    ``key`` must be unique and ``n`` the number of rows.
     """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
     blocks = max(1, math.ceil(n / block_rows))
-    mine = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    paired = (
-        rows.withColumn("_block", mine)
-        .withColumn("_other", other)
-        .withColumn("_lo", F.least("_block", "_other"))
-        .withColumn("_hi", F.greatest("_block", "_other"))
-        .drop("_other")
+    # More stripes than length requires only to keep all cores busy.
+    busy = min(math.ceil(2 * cores / blocks), math.ceil(n / 256))
+    stripes = max(1, busy, math.ceil(n / STRIPE_ROWS))
+    block = F.pmod(F.xxhash64(key), F.lit(blocks))
+    stripe = F.pmod(F.xxhash64(key, F.lit(1)), F.lit(stripes))
+    # One pass over the input: each row's places as target, then as source.
+    place = lambda task, source: F.struct(
+        task.cast("int").alias("_task"), F.lit(source).alias("_source")
     )
-    return paired.groupBy("_lo", "_hi").applyInPandas(fn, schema)
+    up_to = lambda count: F.sequence(F.lit(0), F.lit(count - 1))
+    as_target = F.transform(up_to(stripes), lambda s: place(block * stripes + s, False))
+    as_source = F.transform(up_to(blocks), lambda b: place(b * stripes + stripe, True))
+    both = (
+        rows.select("*", F.inline(F.concat(as_target, as_source)))
+        .repartitionById(blocks * stripes, "_task")
+        .sortWithinPartitions("_task", "_source")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, first = [], None
+        for batch in batches:
+            split = batch.column("_source").false_count
+            if split:
+                held.append(batch.slice(0, split))
+            if split < batch.num_rows:
+                first = batch.slice(split)
+                break
+        if not held or first is None:
+            return
+
+        def rest():
+            for batch in itertools.chain([first], batches):
+                if batch.column("_source").false_count:
+                    raise ValueError("targets must come before sources")
+                for start in range(0, batch.num_rows, SOURCE_ROWS):
+                    yield batch.slice(start, SOURCE_ROWS)
+
+        yield from fold(pa.Table.from_batches(held).combine_chunks(), rest())
+
+    run.__annotations__ = {
+        "batches": Iterator[pa.RecordBatch],
+        "return": Iterator[pa.RecordBatch],
+    }
+    return both.groupBy("_task").applyInArrow(run, schema)

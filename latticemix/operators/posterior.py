@@ -11,8 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..cells import CellModel
+from ..cells import CellModel, constant
 from ..constants import EPSILON_CEILING, EPSILON_FLOOR, VARIANCE_FLOOR
 from ..functions.reduce import argmax_first
 from .density import COMPONENTS
@@ -196,15 +197,10 @@ def joint_posterior(
     k = model.size
     with np.errstate(divide="ignore"):
         weight = np.log(model.neighborhood(temperature)) + np.log(model.prob)[:, None]
-    pairs = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("cell_star"), F.lit(j).alias("cell"), F.lit(float(weight[i, j])).alias("w")
-            )
-            for i in range(k)
-            for j in range(k)
-        ]
-    )
+    rows = [
+        {"cell_star": i, "cell": j, "w": float(weight[i, j])} for i in range(k) for j in range(k)
+    ]
+    pairs = constant(rows, T.ArrayType(T.StructType.fromDDL("cell_star int, cell int, w double")))
     scored = with_posterior(
         points, model, temperature, components=components, want=("log_px_cell", "log_px")
     )

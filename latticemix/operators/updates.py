@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..cells import CellModel
+from ..cells import CellModel, constant
 from ..functions import vectors as V
 from .posterior import with_posterior
 
@@ -36,8 +37,8 @@ def update_cont_mean(scored: DataFrame, width: int) -> DataFrame:
 
 def _of_cell(matrix: list[list[float]]) -> Column:
     """The current cell's vector out of a constant K-row table."""
-    rows = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in matrix])
-    return rows[F.col("cell")]
+    rows = [[float(v) for v in row] for row in matrix]
+    return constant(rows, T.ArrayType(T.ArrayType(T.DoubleType())))[F.col("cell")]
 
 
 def update_cont_variance(scored: DataFrame, means: list[list[float]]) -> DataFrame:

@@ -206,13 +206,22 @@ def _labels(points, model, temperature, components, assign) -> DataFrame:
     return by(points, model, temperature, components)
 
 
-def _spread(points: DataFrame, components: str) -> DataFrame:
-    """Only the needed columns, on at least as many partitions as there are cores."""
-    points = points.select(*{"mixed": ["x", "b"], "cont": ["x"], "bin": ["b"]}[components])
+def _cached(points: DataFrame, components: str) -> DataFrame:
+    """The needed columns, cached, on at least as many partitions as cores.
+
+    Only an input too small to fill the cores is moved; its partition count is
+    read off the finished cache, so nothing upstream runs twice.
+    """
+    needed = points.select(*{"mixed": ["x", "b"], "cont": ["x"], "bin": ["b"]}[components])
+    cached = needed.persist(StorageLevel.MEMORY_AND_DISK)
+    cached.count()
     cores = points.sparkSession.sparkContext.defaultParallelism
-    if points.rdd.getNumPartitions() < cores:
-        points = points.repartition(cores)
-    return points
+    if cached.rdd.getNumPartitions() >= cores:
+        return cached
+    spread = cached.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
+    spread.count()
+    cached.unpersist()
+    return spread
 
 
 def fit(
@@ -262,9 +271,7 @@ def fit(
     if done >= max_iter:
         raise ValueError(f"{output_path} already holds iteration {done} of {max_iter}")
 
-    train = _spread(points, components)
-    if cache:
-        train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    train = _cached(points, components) if cache else points
     steps: list[Step] = []
     label_cells = model
     try:

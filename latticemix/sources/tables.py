@@ -15,14 +15,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, scan: DataFrame, key: str = "id") -> DataFrame:
+    """``df`` hashed by its unique key if ``scan`` has fewer partitions than cores.
+
+    For tables of a file or two, ahead of work that multiplies rows; a table
+    with enough files stays as read.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return df if scan.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def event_points(spark: SparkSession, sf_dir: str, normalize: bool = True) -> DataFrame:
     """(id, x, b): value and hour, min-max normalised, and the one-hot type."""
-    points = table(spark, sf_dir, "events").select(
+    events = table(spark, sf_dir, "events")
+    points = events.select(
         F.col("event_id").alias("id"),
         F.array(F.col("value"), F.hour("ts").cast("double")).alias("x"),
         one_hot(F.col("event_type"), EVENT_TYPES).alias("b"),
     )
-    return minmax_normalize(points, 2) if normalize else points
+    return spread(minmax_normalize(points, 2) if normalize else points, events)
 
 
 def event_types(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -623,7 +623,7 @@ def cluster_scatter(spark, sf_dir) -> DataFrame:
 def distance_to_center(spark, sf_dir) -> DataFrame:
     points = T.embedding_points(spark, sf_dir)
     centers = I.materialize(I.cluster_centers(points, T.EMBEDDING_WIDTH))
-    joined = I.attach_by_label(points, centers, T.EMBEDDING_WIDTH)
+    joined = I.attach(points, centers, T.EMBEDDING_WIDTH + 1)
     return joined.select(
         F.col("id").alias("vec_id"),
         r6(V.euclidean(F.col("x"), F.col("center"), T.EMBEDDING_WIDTH), "distance"),
