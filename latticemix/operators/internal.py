@@ -18,6 +18,10 @@ from .pairwise import fold_over_all
 from .posterior import matrix, squared_distances
 
 
+# Labels above this share of the rows are fewer than HOT_SHARE.
+HOT_SHARE = 1000
+
+
 def distinct_labels(labelled: DataFrame) -> DataFrame:
     return labelled.select("label").distinct()
 
@@ -36,27 +40,37 @@ def cluster_centers(labelled: DataFrame, width: int) -> DataFrame:
     return labelled.groupBy("label").agg(_mean_vector(width).alias("center"))
 
 
-def attach(
-    rows: DataFrame, table: DataFrame, width: int, on: str = "label", salts: int = 64
-) -> DataFrame:
-    """Join a one-row-per-label table onto rows with an ``id``, whatever either's size.
+def cluster_profile(labelled: DataFrame, width: int) -> DataFrame:
+    """(label, n, center)."""
+    return labelled.groupBy("label").agg(
+        F.count("*").alias("n"), _mean_vector(width).alias("center")
+    )
 
-    ``table`` is a materialised aggregate of ``width`` values per row.  It is
-    broadcast if its counted size is within bounds.  Beyond that both sides are
-    shuffled, and rows of one label are split over ``salts`` keys, so a label
-    holding a third of all rows is no single task.
+
+def attach_center(rows: DataFrame, profile: DataFrame, width: int) -> DataFrame:
+    """``rows`` with the centre of their label, whatever the number of labels.
+
+    ``profile`` is a materialised ``cluster_profile``.  It is broadcast if its
+    counted size is within bounds.  Beyond that only the labels holding more
+    than 1/share of the rows are broadcast, fewer than ``share`` by counting;
+    the others are shuffled, and none of those is hot.
     """
-    if table.count() * width <= MAX_BROADCAST_VALUES:
-        return rows.join(F.broadcast(table), on)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies.hint("shuffle_merge"), [on, "_salt"]).drop("_salt")
+    size = profile.agg(F.count("*").alias("labels"), F.sum("n").alias("rows")).first()
+    centers = profile.select("label", "center")
+    if size.labels * (width + 1) <= MAX_BROADCAST_VALUES:
+        return rows.join(F.broadcast(centers), "label")
+    share = min(HOT_SHARE, MAX_BROADCAST_VALUES // (width + 1))
+    hot = profile.filter(F.col("n") * share > size.rows).select("label", "center")
+    cold = rows.join(F.broadcast(hot.select("label")), "label", "left_anti").join(
+        centers.hint("shuffle_merge"), "label"
+    )
+    return rows.join(F.broadcast(hot), "label").unionByName(cold)
 
 
 def cluster_scatter(labelled: DataFrame, width: int) -> DataFrame:
     """(label, scatter, center): mean Euclidean distance to the centre."""
-    centers = materialize(cluster_centers(labelled, width))
-    with_center = attach(labelled.select("id", "label", "x"), centers, width + 1)
+    profile = materialize(cluster_profile(labelled, width))
+    with_center = attach_center(labelled.select("label", "x"), profile, width)
     return with_center.groupBy("label").agg(
         F.avg(V.euclidean(F.col("x"), F.col("center"), width)).alias("scatter"),
         F.first("center").alias("center"),
@@ -156,14 +170,18 @@ HELD_SUMS = 4_000_000
 def distance_sums(
     labelled: DataFrame, block_rows: int = PAIR_BLOCK_ROWS, n: int | None = None
 ) -> DataFrame:
-    """(id, label, other_label, sum_dist) to all rows of each label."""
+    """(id, label, other_label, sum_dist, n) to all n rows of each label."""
     kinds = {f.name: f.dataType.simpleString() for f in labelled.schema}
-    schema = f"id {kinds['id']}, label {kinds['label']}, other_label {kinds['label']}, sum_dist double"
+    schema = (
+        f"id {kinds['id']}, label {kinds['label']}, other_label {kinds['label']}, "
+        "sum_dist double, n bigint"
+    )
 
     def sums(targets, sources):
         x = vectors(targets.column("x"))
         m = len(x)
         totals: dict = {}
+        counts: dict = {}
 
         def emit():
             k = len(totals)
@@ -174,8 +192,13 @@ def distance_sums(
                 one_array(targets.column("label")).take(at),
                 others.take(pa.array(np.tile(np.arange(k), m))),
                 pa.array(np.column_stack(list(totals.values())).reshape(-1)),
+                pa.array(np.tile([counts[name] for name in totals], m)),
             ]
-            return pa.RecordBatch.from_arrays(arrays, names=["id", "label", "other_label", "sum_dist"])
+            totals.clear()
+            counts.clear()
+            return pa.RecordBatch.from_arrays(
+                arrays, names=["id", "label", "other_label", "sum_dist", "n"]
+            )
 
         for batch in sources:
             # Sorted by label, sums per label are sums of consecutive columns.
@@ -186,14 +209,16 @@ def distance_sums(
             part_sums = np.empty((m, len(starts)))
             for part, dist in distance_chunks(x, vectors(batch.column("x"))[order]):
                 part_sums[part] = np.add.reduceat(dist, starts, axis=1)
+            lengths = np.diff(starts, append=len(codes))
             for i, code in enumerate(codes[order][starts]):
-                if names[code] in totals:
-                    totals[names[code]] += part_sums[:, i]
+                name = names[code]
+                counts[name] = counts.get(name, 0) + int(lengths[i])
+                if name in totals:
+                    totals[name] += part_sums[:, i]
                 else:
-                    totals[names[code]] = part_sums[:, i].copy()
+                    totals[name] = part_sums[:, i].copy()
             if len(totals) * m > HELD_SUMS:
                 yield emit()
-                totals.clear()
         if totals:
             yield emit()
 
@@ -205,7 +230,7 @@ def distance_sums(
     return (
         partial.repartition("id")
         .groupBy("id", "label", "other_label")
-        .agg(F.sum("sum_dist").alias("sum_dist"))
+        .agg(F.sum("sum_dist").alias("sum_dist"), F.sum("n").alias("n"))
     )
 
 
@@ -215,13 +240,8 @@ def silhouette_rows(labelled: DataFrame, block_rows: int = PAIR_BLOCK_ROWS) -> D
     ``a``: mean distance to the rest of the row's cluster, NULL when alone.
     ``b``: smallest mean distance to another cluster, NULL without one.
     """
-    sizes = materialize(cluster_sizes(labelled))
-    by_other = sizes.select(F.col("label").alias("other_label"), F.col("n"))
-    n = sizes.agg(F.sum("n")).first()[0] or 0
-    sums = distance_sums(labelled, block_rows, n)
-    sized = attach(sums, by_other, 2, on="other_label")
     own = F.col("label") == F.col("other_label")
-    per_row = sized.groupBy("id", "label").agg(
+    per_row = distance_sums(labelled, block_rows).groupBy("id", "label").agg(
         F.max(F.when(own, F.try_divide(F.col("sum_dist"), F.col("n") - 1))).alias("a"),
         F.min(F.when(~own, F.col("sum_dist") / F.col("n"))).alias("b"),
     )

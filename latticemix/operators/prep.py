@@ -32,6 +32,24 @@ def minmax_normalize(points: DataFrame, width: int, column: str = "x") -> DataFr
     )
 
 
+def vector_width(df: DataFrame, column: str = "x") -> DataFrame:
+    """One row: rows, NULL vectors, narrowest and widest vector."""
+    return df.agg(
+        F.count("*").alias("n"),
+        F.count(F.when(F.col(column).isNull(), 1)).alias("n_null"),
+        F.min(F.size(column)).alias("narrowest"),
+        F.max(F.size(column)).alias("widest"),
+    )
+
+
+def checked_width(df: DataFrame, column: str = "x") -> int:
+    """The common width of all rows' vectors, or an error."""
+    got = vector_width(df, column).first()
+    if got.n == 0 or got.n_null or got.narrowest != got.widest:
+        raise ValueError(f"every {column} must be a vector of one width: {got}")
+    return got.widest
+
+
 def first_n(df: DataFrame, n: int, key: str = "id") -> DataFrame:
     """Rows whose id is below n: a predicate, so it reaches the scan."""
     return df.filter(F.col(key) < n)

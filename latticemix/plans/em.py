@@ -28,6 +28,7 @@ from ..operators.posterior import (
     task_values,
     weights,
 )
+from ..operators.prep import checked_width
 from ..sources import trajectory as store
 
 # Leading entries of one cell's statistics; sums of x and of b follow.
@@ -257,7 +258,7 @@ def fit(
         raise ValueError("label_prior is 'updated' or 'current', assign 'cell' or 'winner'")
     spark = points.sparkSession
     if init_cells is None:
-        bits = 0 if components == "cont" else _width(points, "b")
+        bits = 0 if components == "cont" else checked_width(points, "b")
         init_cells = CellModel.initial(rows, cols, bin_size=bits, seed=seed)
     model, done = init_cells, 0
     if resume:
@@ -303,10 +304,3 @@ def fit(
             train.unpersist()
     return Fitted(model, label_cells, temperature, components, assign, steps)
 
-
-def _width(points: DataFrame, column: str) -> int:
-    """Vector width, checked over all rows with one aggregate."""
-    got = points.agg(F.min(F.size(column)).alias("lo"), F.max(F.size(column)).alias("hi")).first()
-    if got.lo is None or got.lo != got.hi or got.lo < 0:
-        raise ValueError(f"every {column} must have the same width")
-    return got.lo

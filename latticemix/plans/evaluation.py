@@ -12,10 +12,17 @@ from ..cells import CellModel
 from ..constants import DEFAULT_COLS, DEFAULT_ROWS, JOB_FIRST_N, JOB_MAX_ITER
 from ..operators.external import align_labels, contingency, external_indices
 from ..operators.internal import internal_indices
-from ..operators.prep import concat_features, first_n, join_features, minmax_normalize
+from ..operators.prep import (
+    checked_width,
+    concat_features,
+    first_n,
+    join_features,
+    minmax_normalize,
+)
+from ..session import materialize
 from ..sources import trajectory as store
 from ..sources.delimited import scan_binary, scan_continuous, scan_labels
-from .em import Fitted, _width, fit
+from .em import Fitted, fit
 
 
 def evaluate_external(true: DataFrame, predicted: DataFrame) -> DataFrame:
@@ -24,8 +31,11 @@ def evaluate_external(true: DataFrame, predicted: DataFrame) -> DataFrame:
 
 
 def evaluate_internal(points: DataFrame, predicted: DataFrame, width: int) -> DataFrame:
-    """Silhouette and Davies-Bouldin of (id, x) with (id, label), matched by id."""
-    return internal_indices(points.join(predicted, "id"), width)
+    """Silhouette and Davies-Bouldin of (id, x) with (id, label), matched by id.
+
+    The indices read the matched rows several times, so the join is kept.
+    """
+    return internal_indices(materialize(points.join(predicted, "id")), width)
 
 
 @dataclass
@@ -56,7 +66,7 @@ def run_job(
     are taken.
     """
     continuous = scan_continuous(spark, continuous_path, delimiter)
-    width = _width(continuous, "x")
+    width = checked_width(continuous)
     continuous = first_n(minmax_normalize(continuous, width), first)
     points = join_features(continuous, first_n(scan_binary(spark, binary_path, delimiter), first))
     points = points.persist(StorageLevel.MEMORY_AND_DISK)

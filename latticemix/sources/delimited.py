@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..constants import MAX_BROADCAST_VALUES
+from ..session import materialize
 
 # Characters a line is trimmed of on both sides (fixed: all up to the space).
 EDGE = r"[\x00-\x20]+"
@@ -48,7 +48,8 @@ def read_delimited(
         lines = _number_lines(lines, within_file=line_in_file)
         keep.append("line" if line_in_file else "id")
     if file_name:
-        lines = lines.withColumn("file_name", F.col("_file_name" if "_file_name" in lines.columns else "_metadata.file_name"))
+        known = "_file_name" if "_file_name" in lines.columns else "_metadata.file_name"
+        lines = lines.withColumn("file_name", F.col(known))
         keep.append("file_name")
     return lines.withColumn("tokens", split_line(F.col("value"), delimiter)).select(*keep)
 
@@ -71,33 +72,37 @@ def _number_lines(lines: DataFrame, within_file: bool) -> DataFrame:
         F.count("*").alias("_n"), F.min("_seq").alias("_first")
     )
     numbered = _with_offsets(blocks, ["_file", "_block"], within="_file" if within_file else None)
-    joined = _join_blocks(tagged, numbered, ["_file", "_block"])
     name = "line" if within_file else "id"
-    return joined.select(
-        "value", "_file_name", (F.col("_offset") + F.col("_seq") - F.col("_first")).alias(name)
-    )
+    return _shifted(tagged, numbered, ["_file", "_block"], name).select("value", "_file_name", name)
 
 
 def _with_offsets(blocks: DataFrame, order: list[str], within: str | None) -> DataFrame:
     """Rows before each block.  The window runs over blocks, not rows."""
-    from pyspark.sql import Window
-
     window = Window.orderBy(*order) if within is None else Window.partitionBy(within).orderBy(*order)
     before = window.rowsBetween(Window.unboundedPreceding, -1)
     return blocks.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
 
 
-def _join_blocks(rows: DataFrame, blocks: DataFrame, on: list[str]) -> DataFrame:
-    """Attach per-block values: broadcast while few blocks, else a shuffle.
+def _shifted(rows: DataFrame, blocks: DataFrame, on: list[str], name: str) -> DataFrame:
+    """``rows`` with the dense number ``name`` in place of ``_seq``.
 
-    A block holds at most one input split, so no join key is hot.
+    Blocks number about one per input split (a million for 100 TB), and each
+    needs two longs: a hashed key and its shift.  That table is counted and
+    broadcast.  Beyond the bound, or if two keys hash alike, rows are shuffled
+    by block instead; a block holds at most one split, so no key is hot.
     """
-    from ..session import materialize
-
-    table = materialize(blocks.drop("_n"))
-    if table.count() * len(table.columns) <= MAX_BROADCAST_VALUES // 8:
-        table = F.broadcast(table)
-    return rows.join(table, on)
+    table = materialize(
+        blocks.select(
+            *on, F.xxhash64(*on).alias("_key"), (F.col("_offset") - F.col("_first")).alias("_shift")
+        )
+    )
+    size = table.agg(F.count("*").alias("n"), F.count_distinct("_key").alias("keys")).first()
+    if size.n == size.keys and size.n * 2 <= MAX_BROADCAST_VALUES:
+        keyed = rows.withColumn("_key", F.xxhash64(*on))
+        joined = keyed.join(F.broadcast(table.select("_key", "_shift")), "_key")
+    else:
+        joined = rows.join(table.drop("_key").hint("shuffle_merge"), on)
+    return joined.withColumn(name, F.col("_shift") + F.col("_seq"))
 
 
 def with_row_id(df: DataFrame, name: str = "id") -> DataFrame:
@@ -111,10 +116,8 @@ def with_row_id(df: DataFrame, name: str = "id") -> DataFrame:
         "_seq", F.monotonically_increasing_id()
     )
     blocks = tagged.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_seq").alias("_first"))
-    joined = _join_blocks(tagged, _with_offsets(blocks, ["_part"], None), ["_part"])
-    return joined.select(
-        (F.col("_offset") + F.col("_seq") - F.col("_first")).alias(name), *df.columns
-    )
+    numbered = _with_offsets(blocks, ["_part"], None)
+    return _shifted(tagged, numbered, ["_part"], name).select(name, *df.columns)
 
 
 # -- typed scans ---------------------------------------------------------------------

@@ -82,6 +82,55 @@ def test_ties_count_for_every_cell_and_label_takes_the_first(spark):
     assert assign_by_winner(points, model, 1.0, "cont").first().cell == 0
 
 
+def test_uncached_training_and_default_start(spark):
+    points = tiny_points(spark)
+    cached = fit(points, rows=2, cols=2, max_iter=2, seed=3)
+    plain = fit(points, rows=2, cols=2, max_iter=2, seed=3, cache=False)
+    assert cached.cells.bin_size == 3
+    assert np.allclose(cached.cells.prob, plain.cells.prob, atol=1e-12)
+
+
+def test_a_cell_on_a_single_point_stays_finite(spark):
+    rows = [(i, [0.1 + 0.001 * i, 0.1], []) for i in range(20)] + [(20, [0.9, 0.9], [])]
+    points = spark.createDataFrame(rows, "id bigint, x array<double>, b array<int>")
+    fitted = fit(points, CellModel.initial(2, 2), max_iter=12, components="cont", update_continuous=True)
+    cells = fitted.cells
+    assert np.isfinite(cells.cont_mean).all() and np.isfinite(cells.prob).all()
+    assert (cells.cont_variance >= 0).all() and cells.prob.sum() == pytest.approx(1.0)
+    # Two passes over numpy give the same variances.
+    last = fitted.steps[-1]
+    from latticemix.operators import posterior as P
+
+    start = fitted.steps[-2].cells
+    x = np.array([r[1] for r in rows])
+    p = P.task_values(start, last.temperature, "cont")
+    log_d, _ = P.log_density(np.ascontiguousarray(x.T), None, p)
+    weight, _, _ = P.weights(log_d, p)
+    mean = weight @ x / weight.sum(axis=1, keepdims=True)
+    sq = ((x[None] - mean[:, None]) ** 2).sum(axis=2)
+    variance = (weight * sq).sum(axis=1) / (2 * weight.sum(axis=1))
+    assert np.allclose(last.computed.cont_variance, variance, rtol=1e-6, atol=1e-25)
+
+
+def test_predict_labels_a_stream(spark, tmp_path):
+    points = tiny_points(spark)
+    fitted = fit(points, tiny_model(), max_iter=2)
+    points.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(points.schema).parquet(str(tmp_path / "in"))
+    query = (
+        fitted.predict(stream)
+        .select("id", "cell")
+        .writeStream.format("memory")
+        .queryName("labelled_stream")
+        .option("checkpointLocation", str(tmp_path / "state"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination(120)
+    got = spark.table("labelled_stream").orderBy("id").collect()
+    assert [r.cell for r in got] == [r.cell for r in fitted.predict(points).orderBy("id").collect()]
+
+
 def test_rejects_bad_input(spark):
     with pytest.raises(ValueError):
         fit(tiny_points(spark), tiny_model(), max_iter=1)

@@ -101,11 +101,17 @@ def test_degenerate_clusters(spark):
     assert I.silhouette(singles).first()[0] == 0.0
 
 
-def test_large_tables_are_joined_without_broadcast(spark, monkeypatch):
-    rows = labelled(spark)
-    want = {r.id: r.center for r in I.attach(rows, I.materialize(I.cluster_centers(rows, 2)), 3).collect()}
-    monkeypatch.setattr(I, "MAX_BROADCAST_VALUES", 0)
-    wide = I.attach(rows, I.materialize(I.cluster_centers(rows, 2)), 3)
-    assert "BroadcastHashJoin" not in wide._jdf.queryExecution().toString()
-    assert {r.id: r.center for r in wide.collect()} == want
-    assert I.silhouette(rows).first()[0] == pytest.approx(0.1040411514, abs=1e-9)
+def test_many_labels_are_joined_in_two_parts(spark, monkeypatch):
+    x = np.random.default_rng(1).random((300, 2)).tolist()
+    names = ["hot" if i % 3 == 0 else f"l{i % 40}" for i in range(300)]
+    rows = labelled(spark, x, names)
+    profile = I.materialize(I.cluster_profile(rows, 2))
+    want = {r.id: r.center for r in I.attach_center(rows, profile, 2).collect()}
+    scatter = {r.label: r.scatter for r in I.cluster_scatter(rows, 2).collect()}
+    monkeypatch.setattr(I, "MAX_BROADCAST_VALUES", 100)  # 41 labels x 3 values
+    monkeypatch.setattr(I, "HOT_SHARE", 10)
+    split = I.attach_center(rows, profile, 2)
+    assert "SortMergeJoin" in split._jdf.queryExecution().toString()
+    assert {r.id: r.center for r in split.collect()} == want
+    assert split.count() == 300
+    assert {r.label: r.scatter for r in I.cluster_scatter(rows, 2).collect()} == pytest.approx(scatter)

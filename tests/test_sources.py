@@ -47,6 +47,16 @@ def test_ids_follow_files_and_lines(spark, tmp_path):
     assert ids == list(range(len(want)))
 
 
+def test_ids_without_a_broadcast(spark, tmp_path, monkeypatch):
+    for name in ("a", "b"):
+        write(tmp_path / name, "".join(f"{name},{i}\n" for i in range(50)))
+    monkeypatch.setattr(S, "MAX_BROADCAST_VALUES", 0)
+    rows = S.read_delimited(spark, str(tmp_path), ",", with_id=True)
+    assert "SortMergeJoin" in rows._jdf.queryExecution().toString()
+    got = [(r.id, r.tokens) for r in rows.orderBy("id").collect()]
+    assert got == [(i, ["ab"[i // 50], str(i % 50)]) for i in range(100)]
+
+
 def test_typed_scans(spark, tmp_path):
     cont = write(tmp_path / "c.csv", "9,0.5,1.5\n9,2.5,-3\n")
     assert [(r.id, r.x) for r in S.scan_continuous(spark, cont).orderBy("id").collect()] == [
@@ -125,6 +135,16 @@ def test_grids_samples_and_text_layout(spark, tmp_path):
     assert [(r.x, r.cell) for r in labels] == [(x, i % 4) for i, x in enumerate(X)]
 
 
+def test_labels_as_text(spark):
+    labelled = tiny_points(spark).withColumn("cell", F.col("id").cast("int") % 3)
+    path = new_path(spark, "labels")
+    store.write_labels_csv(labelled, path, 2)
+    back = spark.read.option("header", True).schema("id bigint, x0 double, x1 double, cell int").csv(path)
+    assert [(r.x0, r.x1, r.cell) for r in back.orderBy("id").collect()] == [
+        (*x, i % 3) for i, x in enumerate(X)
+    ]
+
+
 def test_index_values_append(spark):
     path = new_path(spark, "indices")
     internal = spark.createDataFrame([(0.5, 1.5)], "silhouette double, davies_bouldin double")

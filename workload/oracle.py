@@ -427,6 +427,8 @@ def all_oracles() -> dict[str, str]:
         ),
         "column_min_max": f"""SELECT 0::INTEGER AS pos, {r6('min(p_size)', 'lo')}, {r6('max(p_size)', 'hi')} FROM part
             UNION ALL SELECT 1, {r6('min(p_retailprice)', 'lo')}, {r6('max(p_retailprice)', 'hi')} FROM part""",
+        "vector_width": """SELECT count(*) AS n, count(*) FILTER (WHERE embedding IS NULL) AS n_null,
+            CAST(min(len(embedding)) AS INTEGER) AS narrowest, CAST(max(len(embedding)) AS INTEGER) AS widest FROM embeddings""",
         "minmax_normalize": with_ctes(BASE, f"SELECT id AS event_id, {r6('x0', 'x0')}, {r6('x1', 'x1')} FROM pts"),
         "first_n": with_ctes(
             BASE, f"SELECT id AS event_id, {r6('x0', 'x0')}, {r6('x1', 'x1')} FROM pts WHERE id < {FIRST_N}"

@@ -214,6 +214,10 @@ def column_min_max(spark, sf_dir) -> DataFrame:
     )
 
 
+def vector_width(spark, sf_dir) -> DataFrame:
+    return prep.vector_width(T.embedding_points(spark, sf_dir))
+
+
 def _coordinates(points: DataFrame, key: str = "event_id") -> DataFrame:
     return points.select(
         F.col("id").alias(key), r6(F.col("x")[0], "x0"), r6(F.col("x")[1], "x1")
@@ -622,8 +626,8 @@ def cluster_scatter(spark, sf_dir) -> DataFrame:
 
 def distance_to_center(spark, sf_dir) -> DataFrame:
     points = T.embedding_points(spark, sf_dir)
-    centers = I.materialize(I.cluster_centers(points, T.EMBEDDING_WIDTH))
-    joined = I.attach(points, centers, T.EMBEDDING_WIDTH + 1)
+    profile = I.materialize(I.cluster_profile(points, T.EMBEDDING_WIDTH))
+    joined = I.attach_center(points, profile, T.EMBEDDING_WIDTH)
     return joined.select(
         F.col("id").alias("vec_id"),
         r6(V.euclidean(F.col("x"), F.col("center"), T.EMBEDDING_WIDTH), "distance"),
@@ -677,7 +681,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [
         read_delimited, scan_continuous, scan_whitespace, scan_binary, scan_labels, with_row_id,
         write_cells, read_trajectory, trajectory_sample, write_labels, write_indices,
-        column_min_max, minmax_normalize, first_n, drop_leading, concat_features, join_features,
+        column_min_max, vector_width, minmax_normalize, first_n, drop_leading, concat_features, join_features,
         int_to_bits, vector_arithmetic, row_reductions,
         init_cells, grid_distance, neighborhood, annealing_schedule,
         hamming_to_cells, log_gaussian_cells, log_gaussian_scaled, gaussian_density,
