@@ -78,6 +78,7 @@ class CellModel:
         rows: int,
         cols: int,
         *,
+        cont_size: int = 2,
         bin_size: int = 0,
         cont_mean=None,
         bin_mean=None,
@@ -87,21 +88,24 @@ class CellModel:
     ) -> CellModel:
         """Starting cells: even priors, grid means, small variance.
 
-        Without ``cont_mean`` the means are the cell centres of the unit
-        square (two continuous features).  Missing prototypes and epsilons are
-        drawn from ``seed``.
+        Without ``cont_mean`` two continuous features start at the cell centres
+        of the unit square; any other number is drawn from [0, 1).  Missing
+        prototypes and epsilons are drawn too, each from its own stream of
+        ``seed``.
         """
         k = rows * cols
-        rng = np.random.default_rng(seed)
-        if cont_mean is None:
+        draw = lambda stream: np.random.default_rng([seed, stream])
+        if cont_mean is None and cont_size != 2:
+            cont_mean = draw(0).random((k, cont_size))
+        elif cont_mean is None:
             at = np.arange(k)
             cont_mean = np.column_stack(
                 [(at // cols) / rows + 1 / (2 * rows), (at % cols) / cols + 1 / (2 * cols)]
             )
         if bin_mean is None:
-            bin_mean = rng.integers(0, 2, size=(k, bin_size))
+            bin_mean = draw(1).integers(0, 2, size=(k, bin_size))
         if bin_epsilon is None:
-            bin_epsilon = rng.random(k)
+            bin_epsilon = draw(2).random(k)
         if cont_variance is None:
             cont_variance = 1.0 / (VARIANCE_SHARE * k)
         return cls(

@@ -158,9 +158,13 @@ INDEX_NAMES = tuple(
 
 
 def external_indices(table: DataFrame, names: tuple[str, ...] = INDEX_NAMES) -> DataFrame:
-    """One row with the chosen indices; undefined ones (0/0) are NULL."""
+    """One row with the chosen indices; undefined ones (0/0) are NULL.
+
+    ``names`` may also hold pair counts: yy, yn, ny, nn, nt.
+    """
     columns = _index_columns()
-    return _pairs(_levels(table)).select(*[columns[name].alias(name) for name in names])
+    chosen = [columns.get(name, F.col(name)).alias(name) for name in names]
+    return _pairs(_levels(table)).select(*chosen)
 
 
 def indices_from_pairs(pairs: DataFrame, names: tuple[str, ...]) -> DataFrame:

@@ -71,10 +71,11 @@ def cluster_scatter(labelled: DataFrame, width: int) -> DataFrame:
     """(label, scatter, center): mean Euclidean distance to the centre."""
     profile = materialize(cluster_profile(labelled, width))
     with_center = attach_center(labelled.select("label", "x"), profile, width)
-    return with_center.groupBy("label").agg(
-        F.avg(V.euclidean(F.col("x"), F.col("center"), width)).alias("scatter"),
-        F.first("center").alias("center"),
+    # Only doubles are aggregated, by hash; the centre joins one row per label.
+    scatter = with_center.groupBy("label").agg(
+        F.avg(V.euclidean(F.col("x"), F.col("center"), width)).alias("scatter")
     )
+    return scatter.join(profile, "label").select("label", "scatter", "center")
 
 
 def cluster_similarities(scatters: DataFrame, block_rows: int = PAIR_BLOCK_ROWS) -> DataFrame:
@@ -164,7 +165,7 @@ def distance_chunks(a: np.ndarray, b: np.ndarray):
 # -- silhouette -------------------------------------------------------------------
 
 # Sums a task holds before it passes them on.
-HELD_SUMS = 4_000_000
+HELD_SUMS = 1_000_000
 
 
 def distance_sums(

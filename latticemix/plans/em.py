@@ -259,7 +259,8 @@ def fit(
     spark = points.sparkSession
     if init_cells is None:
         bits = 0 if components == "cont" else checked_width(points, "b")
-        init_cells = CellModel.initial(rows, cols, bin_size=bits, seed=seed)
+        width = 2 if components == "bin" else checked_width(points)
+        init_cells = CellModel.initial(rows, cols, cont_size=width, bin_size=bits, seed=seed)
     model, done = init_cells, 0
     if resume:
         if output_path is None:

@@ -12,20 +12,23 @@ from ..session import materialize
 EDGE = r"[\x00-\x20]+"
 
 
-def split_line(line: Column, delimiter: str) -> Column:
-    """Trim, split by the regex ``delimiter``, drop empty tokens at the end.
+def _split(lines: DataFrame, delimiter: str) -> DataFrame:
+    """Adds ``tokens``: trimmed, split by the regex ``delimiter``, no empty end.
 
     A line without any delimiter is one token, even if empty.
     """
-    bare = F.regexp_replace(F.regexp_replace(line, "^" + EDGE, ""), EDGE + "$", "")
-    tokens = F.split(bare, delimiter)
+    bare = F.regexp_replace(F.regexp_replace("value", "^" + EDGE, ""), EDGE + "$", "")
+    tokens = F.col("_tokens")
     # Position of the last non-empty token, 0 when there is none.
     last = F.aggregate(
         F.transform(tokens, lambda t, i: F.when(t != "", i + 1).otherwise(0)),
         F.lit(0),
         lambda acc, i: F.greatest(acc, i),
     )
-    return F.when(F.size(tokens) == 1, tokens).otherwise(F.slice(tokens, 1, last))
+    as_is = (F.size(tokens) == 1) | (F.element_at(tokens, -1) != "")
+    return lines.withColumn("_tokens", F.split(bare, delimiter)).withColumn(
+        "tokens", F.when(as_is, tokens).otherwise(F.slice(tokens, 1, last))
+    )
 
 
 def read_delimited(
@@ -51,7 +54,7 @@ def read_delimited(
         known = "_file_name" if "_file_name" in lines.columns else "_metadata.file_name"
         lines = lines.withColumn("file_name", F.col(known))
         keep.append("file_name")
-    return lines.withColumn("tokens", split_line(F.col("value"), delimiter)).select(*keep)
+    return _split(lines, delimiter).select(*keep)
 
 
 def _number_lines(lines: DataFrame, within_file: bool) -> DataFrame:

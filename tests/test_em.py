@@ -149,6 +149,8 @@ def test_random_start_is_seeded():
     assert np.array_equal(one.bin_epsilon, two.bin_epsilon)
     assert not np.array_equal(one.bin_mean, other.bin_mean)
     assert set(np.unique(one.bin_mean)) <= {0, 1}
+    wide = CellModel.initial(3, 3, cont_size=5)
+    assert wide.cont_mean.shape == (9, 5) and (wide.cont_mean >= 0).all() and (wide.cont_mean < 1).all()
 
 
 def test_cells_round_trip(spark):

@@ -1,0 +1,41 @@
+"""Replay of stored training runs in the text layout.
+
+STORED_RUNS lists them as ``folder=iterations``, separated by ``;``: continuous
+features only, a 5 x 5 grid, moving means.  Skipped when unset.
+"""
+
+import os
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from latticemix.cells import CellModel
+from latticemix.plans.em import fit
+from latticemix.sources import trajectory as store
+
+RUNS = [r.rsplit("=", 1) for r in os.environ.get("STORED_RUNS", "").split(";") if r]
+TOLERANCE = 1e-11
+
+
+@pytest.mark.skipif(not RUNS, reason="STORED_RUNS is unset")
+@pytest.mark.parametrize("folder,iterations", RUNS)
+def test_replay(spark, folder, iterations):
+    last = int(iterations)
+    stored = store.read_text_cells(spark, folder, 5).toPandas().sort_values(["iteration", "cell"])
+    labels = store.read_text_labels(spark, folder).persist()
+    points = labels.filter("iteration = 1").select(F.col("line").cast("long").alias("id"), "x")
+    start = stored[stored.iteration == 0]
+    model = CellModel.initial(5, 5, cont_mean=np.stack(start.cont_mean), bin_size=0)
+    fitted = fit(points, model, max_iter=last, components="cont", update_continuous=True)
+    assert len(fitted.steps) == last
+    for step in fitted.steps:
+        want = stored[stored.iteration == step.iteration]
+        assert np.abs(np.stack(want.cont_mean) - step.cells.cont_mean).max() < TOLERANCE
+        assert np.abs(want.prob.to_numpy() - step.cells.prob).max() < TOLERANCE
+        assert (want.num_items.to_numpy() == step.cells.num_items).all()
+    # Rows are stored in no order: compare as multisets of (coordinates, label).
+    want = labels.filter(F.col("iteration") == last).select("x", "cell")
+    got = fitted.training_labels(points).select("x", "cell")
+    assert want.exceptAll(got).count() == 0 and got.exceptAll(want).count() == 0
+    labels.unpersist()

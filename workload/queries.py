@@ -571,14 +571,12 @@ def external_indices(spark, sf_dir) -> DataFrame:
 
 
 def _index(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    """One index; phi is scaled up, being around 1 / n^4 of its terms."""
+    """One index; phi, which shrinks with the fourth power of n, times nt * nt."""
 
     def run(spark, sf_dir) -> DataFrame:
-        got = X.external_indices(contingency(spark, sf_dir), (name,))
-        if name == "phi":
-            n2 = X.pair_counts(contingency(spark, sf_dir)).select("nt").scalar()
-            return got.select(r6(F.col("phi") * n2 * n2, "phi"))
-        return got.select(r6(name, name))
+        got = X.external_indices(contingency(spark, sf_dir), (name, "nt"))
+        value = F.col("phi") * F.col("nt") * F.col("nt") if name == "phi" else F.col(name)
+        return got.select(r6(value, name))
 
     return run
 
