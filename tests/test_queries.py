@@ -7,12 +7,14 @@ import pytest
 
 import __spark_entry__ as entry_module
 from conftest import SF_DIR
+from workload.queries import all_queries
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
 ).split()
-QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
+QUERIES = {k: v for k, v in entry_module.queries().items() if k in all_queries()}
+ORACLES = {k: v for k, v in entry_module.oracle_sql().items() if k in QUERIES}
 
 
 @pytest.fixture(scope="module")
