@@ -12,8 +12,8 @@ the slot tells it from those that have one.
 from __future__ import annotations
 
 import functools
-import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import new_path
-from .shared import arrow_schema, map_file, read_bytes, stored, texts_of, write_file
+from .shared import arrow_schema, map_file, stored, texts_of, write_file
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -117,59 +117,67 @@ def _open_shard(folder: str, shard: int) -> dict[str, np.ndarray]:
 
 
 def line_counts(docs: DataFrame, min_chars: int = 1) -> DataFrame:
-    """(h1, h2, n_docs) of every line key of at least ``min_chars`` code points."""
+    """(h1, h2, n) of every line key of at least ``min_chars`` code points."""
     keys = F.transform(_lines(F.col("text")), line_key)
     long_enough = F.filter(keys, lambda k: F.char_length(k) >= max(1, min_chars))
     pairs = docs.select(F.explode(F.array_distinct(F.transform(long_enough, _hash_pair))).alias("h"))
-    return pairs.groupBy("h.h1", "h.h2").agg(F.count("*").alias("n_docs"))
+    return pairs.groupBy("h.h1", "h.h2").agg(F.count("*").alias("n"))
 
 
-def write_index(docs: DataFrame, folder: str, min_chars: int = 1, keys_per_shard: int = KEYS_PER_SHARD) -> int:
-    """Write the shards over the keys of two or more documents; returns their number."""
-    counted = stored(line_counts(docs, min_chars).filter("n_docs >= 2"), "line-counts")
+def write_index(counted: DataFrame, folder: str, keys_per_shard: int = KEYS_PER_SHARD) -> HashCounts:
+    """Write the shards of an index over ``counted`` (h1, h2, n), a stored table of distinct keys."""
     shards = max(1, -(-counted.count() // keys_per_shard))
 
     def build(table: pa.Table) -> pa.Table:
         column = lambda name: table.column(name).to_numpy()
-        index = build_index(column("h1").view(np.uint64), column("h2").view(np.uint64), column("n_docs"))
+        index = build_index(column("h1").view(np.uint64), column("h2").view(np.uint64), column("n"))
         shard = table.column("shard")[0].as_py()
         for name, dtype in ARRAYS.items():
             write_file(_shard_name(folder, shard, name), [index[name].astype(dtype).tobytes()])
-        return pa.table({"shard": [shard], "n_keys": [table.num_rows]})
+        return pa.table({"shard": [shard]})
 
     keyed = counted.withColumn("shard", F.pmod("h1", F.lit(shards)))
-    built = keyed.groupBy("shard").applyInArrow(build, "shard long, n_keys long").collect()  # a row a shard
-    write_file(f"{folder}/index.json", [json.dumps({"shards": shards, "built": sorted(r.shard for r in built)}).encode()])
-    return shards
+    built = keyed.groupBy("shard").applyInArrow(build, "shard long").collect()  # a row a shard
+    return HashCounts(folder, shards, frozenset(r.shard for r in built))
 
 
-def drop_lines(docs: DataFrame, folder: str, min_docs: int) -> DataFrame:
-    """Lines whose indexed count is ``min_docs`` or more leave ``text``."""
-    meta = json.loads(read_bytes(f"{folder}/index.json"))
-    shards, built = meta["shards"], set(meta["built"])
-    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", _HASHES)]
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.transform(F.transform(_lines(F.col("text")), line_key), _hash_pair).alias(_HASHES))
-    schema = rows.drop(_HASHES).withColumns({"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long")}).schema
-    arrow = arrow_schema(schema)
-    at_text = names.index("text")
+@dataclass(frozen=True)
+class HashCounts:
+    """A written index; its arrays are mapped where they are probed."""
+
+    folder: str
+    shards: int
+    built: frozenset[int]
 
-    def counts_of(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    def counts(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """Counts of the keys, 0 for those without a slot; one shard at a time."""
         out = np.zeros(len(h1), np.int64)
-        shard = (h1.view(np.int64) % shards).astype(np.int64)
+        shard = h1.view(np.int64) % self.shards
         order = np.argsort(shard, kind="stable")
-        edges = np.searchsorted(shard[order], np.arange(shards + 1))
+        edges = np.searchsorted(shard[order], np.arange(self.shards + 1))
         for s in np.flatnonzero(np.diff(edges)).tolist():
-            if s in built:
+            if s in self.built:
                 mine = order[edges[s] : edges[s + 1]]
-                out[mine] = probe(_open_shard(folder, s), h1[mine], h2[mine])
+                out[mine] = probe(_open_shard(self.folder, s), h1[mine], h2[mine])
         return out
 
+
+def drop_lines(docs: DataFrame, index: HashCounts, min_docs: int) -> DataFrame:
+    """Lines whose indexed count is ``min_docs`` or more leave ``text``."""
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", _HASHES)]
+    hashes = F.transform(F.transform(_lines(F.col("text")), line_key), _hash_pair)
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], hashes.alias(_HASHES))
+    added = {c: F.lit(0).cast("long") for c in ("n_lines", "n_dropped")}
+    schema = rows.drop(_HASHES).withColumns(added).schema
+    arrow = arrow_schema(schema)
+    at_text = names.index("text")
+
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes = batch.column(_HASHES)
             flat = hashes.flatten()
             h1, h2 = (flat.field(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
-            gone = counts_of(h1, h2) >= min_docs
+            gone = index.counts(h1, h2) >= min_docs
             sizes = hashes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             ends = np.cumsum(sizes)
             texts, dropped = [], []
@@ -182,10 +190,8 @@ def drop_lines(docs: DataFrame, folder: str, min_docs: int) -> DataFrame:
                 dropped.append(n)
             columns = [batch.column(i) for i in range(len(names))]
             columns[at_text] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [c.cast(f.type) for c, f in zip([*columns, pa.array(sizes), pa.array(dropped, pa.int64())], arrow)],
-                schema=arrow,
-            )
+            columns += [pa.array(sizes), pa.array(dropped, pa.int64())]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     return rows.mapInArrow(rewrite, schema)
 
@@ -202,6 +208,6 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Data
     """
     if min_docs < 2:
         raise ValueError("min_docs must be 2 or more: the index holds no keys of single documents")
-    folder = new_path(docs.sparkSession, "line-index")
-    write_index(docs, folder, min_chars)
-    return drop_lines(docs, folder, min_docs)
+    counted = stored(line_counts(docs, min_chars).filter("n >= 2"), "line-counts")
+    index = write_index(counted, new_path(docs.sparkSession, "line-index"))
+    return drop_lines(docs, index, min_docs)

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_path
-from . import line_dedup, packing, quality_rules, simhash, token_files, vector_dedup
+from . import bpe_chunks, html_text, line_dedup, ngram_lm, packing, quality_knn, quality_rules, simhash, token_files, vector_dedup
 from .shared import text_table
 
 BYTE_BPE = "byte_bpe_50k.json"
+WORD_BPE = "word_bpe_49k.json"
 
 
 def op1_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,10 +45,33 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder)
 
 
+def op6_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_knn.classify(text_table(spark, sf_dir, "documents"), text_table(spark, sf_dir, "labels"))
+
+
+def op7_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = text_table(spark, sf_dir, "documents")
+    coded = bpe_chunks.encode_documents(docs, public_tokenizers.path(WORD_BPE))
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(text_table(spark, sf_dir, "documents"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(text_table(spark, sf_dir, "pages"))
+
+
+def op10_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_documents(text_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_vector_dedup,
@@ -55,7 +79,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op3_packing,
         op4_simhash,
         op5_token_files,
+        op6_quality_knn,
+        op7_bpe_chunks,
         op8_quality_rules,
+        op9_html_text,
+        op10_ngram_lm,
     )
     return {f.__name__: f for f in found}
 

@@ -87,3 +87,10 @@ def arrow_schema(df_schema) -> pa.Schema:
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings; null counts as empty."""
     return [t or "" for t in column.to_pylist()]
+
+
+def byte_letters() -> dict[int, str]:
+    """Byte-level alphabet: printable bytes stand for themselves, others for the letters from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
