@@ -1,9 +1,11 @@
-"""Byte-level BPE of whole texts, encoding each distinct space-led unit once per worker.
+"""Byte-level BPE of whole texts, encoding each distinct unit once per worker.
 
 The byte-level pattern always starts a new piece at a space that a non-space
 character follows.  A text can therefore be cut there, and the ids of the text
-are the ids of its units in order.  Texts that hold the string of an added
-token are encoded whole, as that string is matched before the pattern.
+are the ids of its units in order.  Pieces of a unit of Latin
+letters and ASCII marks go to the library's model as they are; any other unit
+goes through the whole library.  Texts that hold the string of an added token
+are encoded whole, as that string is matched before the pattern.
 """
 
 from __future__ import annotations
@@ -14,11 +16,16 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from .shared import byte_letters
+
 # Units kept per worker; a full cache is emptied and filled again.
-CACHE_UNITS = 1_000_000
-# Characters whose units are looked up together.
-SLICE_CHARS = 4_000_000
+CACHE_UNITS = 800_000
+# Characters after which the cache's size is looked at.
+SLICE_CHARS = 2_000_000
 _CUT = re.compile(r" (?=\S)")
+# spaces at which a text can't be cut
+_UNCUT = re.compile(r" (?!\S)")
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
 _encoders: dict[str, UnitEncoder] = {}
 
 
@@ -29,6 +36,18 @@ def encoder(path: str) -> UnitEncoder:
     return _encoders[path]
 
 
+class _Units(dict):
+    """Ids of units without their leading space, filled on demand."""
+
+    def __init__(self, owner: UnitEncoder):
+        super().__init__()
+        self.owner = owner
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self[unit] = self.owner.unit(unit)
+        return ids
+
+
 class UnitEncoder:
     def __init__(self, path: str, cache_units: int = CACHE_UNITS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -37,41 +56,59 @@ class UnitEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.letters = byte_letters()
         self.cache_units = cache_units
-        self.cache: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(texts), 10_000):
-            found = self.tokenizer.encode_batch_fast(texts[at : at + 10_000], add_special_tokens=False)
-            for one in found:
-                yield np.array(one.ids, self.dtype).tobytes()
-
-    def _slice(self, texts: list[str]) -> Iterator[bytes]:
-        whole = [any(a in t for a in self.added) for t in texts]
-        units = [[t] if w else _CUT.split(t) for t, w in zip(texts, whole)]
-        seen: set[str] = set()
-        for u in units:
-            seen.update(u[1:])
-        new = list(seen.difference(self.cache))
-        if len(self.cache) + len(new) > self.cache_units:
-            self.cache.clear()
-            new = list(seen)
-        for unit, ids in zip(new, self._encode([" " + u for u in new])):
-            self.cache[unit] = ids
-        get = self.cache.__getitem__
-        for u, head in zip(units, self._encode([u[0] for u in units])):
-            yield head + b"".join(map(get, u[1:]))
+        self.units, self.words, self.marks = _Units(self), {}, {}
+
+    def whole(self, text: str) -> bytes:
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.dtype).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        level = piece.encode().decode("latin-1").translate(self.letters)
+        return self._bytes([t.id for t in self.model.tokenize(level)])
+
+    def unit(self, unit: str) -> bytes:
+        """Ids of a space and ``unit``."""
+        parts = [_PLAIN.fullmatch(p) for p in unit.split("\n")]
+        if not all(parts) or not all(p[0] for p in parts) or not parts[0][1]:
+            return self.whole(" " + unit)
+        out = [self._word(" " + parts[0][1]), self._mark(parts[0][2])]
+        for part in parts[1:]:  # a line break between two others is a piece of its own
+            out += (self._mark("\n"), self._word(part[1]), self._mark(part[2]))
+        return b"".join(out)
+
+    def _word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            ids = self.words[word] = self._piece(word) if word else b""
+        return ids
+
+    def _mark(self, mark: str) -> bytes:
+        ids = self.marks.get(mark)
+        if ids is None:
+            ids = self.marks[mark] = self._piece(mark) if mark else b""
+        return ids
+
+    def _text(self, text: str) -> bytes:
+        if any(a in text for a in self.added):
+            return self.whole(text)
+        units = (_CUT.split if _UNCUT.search(text) else lambda t: t.split(" "))(text)
+        return self.whole(units[0]) + b"".join(map(self.units.__getitem__, units[1:]))
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text, as the library gives them for the whole text."""
-        at = 0
-        while at < len(texts):
-            end, chars = at, 0
-            while end < len(texts) and (end == at or chars + len(texts[end]) <= SLICE_CHARS):
-                chars += len(texts[end])
-                end += 1
-            for ids in self._slice(texts[at:end]):
-                yield np.frombuffer(ids, self.dtype)
-            at = end
+        chars = 0
+        for text in texts:
+            chars += len(text)
+            if chars > SLICE_CHARS:
+                chars = 0
+                for cache in (self.units, self.words, self.marks):
+                    if len(cache) > self.cache_units:
+                        cache.clear()
+            yield np.frombuffer(self._text(text), self.dtype)
