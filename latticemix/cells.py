@@ -52,7 +52,7 @@ class CellModel:
         k = self.rows * self.cols
         if self.cont_mean.shape[0] != k or self.bin_mean.shape[0] != k:
             raise ValueError(f"expected {k} cells")
-        if k * (self.cont_size + self.bin_size + 5) + k * k > MAX_MODEL_VALUES:
+        if k * (self.cont_size + self.bin_size + 5) > MAX_MODEL_VALUES:
             raise ValueError("the grid and its vectors are too large for one model")
 
     @property
@@ -130,7 +130,7 @@ class CellModel:
         ).first()
         if not shape.n == shape.distinct == shape.rows * shape.cols:
             raise ValueError("a cells table holds each grid cell exactly once")
-        if shape.n**2 > MAX_MODEL_VALUES:
+        if shape.n > MAX_MODEL_VALUES:
             raise ValueError("the grid is too large for one model")
         got = df.select(*CELL_SCHEMA.names).orderBy("cell").collect()
         column = lambda name, kind: np.array([r[name] for r in got], dtype=kind)
@@ -173,6 +173,20 @@ class CellModel:
 
     # -- grid ---------------------------------------------------------------
 
+    def neighborhood_factors(self, temperature: float) -> tuple[np.ndarray, np.ndarray]:
+        """R x R and C x C chances whose product over rows and columns is ``neighborhood``.
+
+        The kernel falls with the sum of row and column distance, so it and its
+        normaliser are products.
+        """
+
+        def factor(n: int) -> np.ndarray:
+            at = np.arange(n)
+            weight = np.exp(-KERNEL_RATE * np.abs(at[:, None] - at) / temperature)
+            return weight / weight.sum(axis=1, keepdims=True)
+
+        return factor(self.rows), factor(self.cols)
+
     def grid_distances(self) -> np.ndarray:
         at = np.arange(self.size)
         r, c = at // self.cols, at % self.cols

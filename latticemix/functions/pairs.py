@@ -11,7 +11,3 @@ def pair_notation(true_a: Column, pred_a: Column, true_b: Column, pred_b: Column
     letter = lambda same: F.when(same, F.lit("y")).otherwise(F.lit("n"))
     return F.concat(letter(true_a == true_b), letter(pred_a == pred_b))
 
-
-def cluster_similarity(scatter_a: Column, scatter_b: Column, center_distance: Column) -> Column:
-    """(S_a + S_b) / distance of centres; NULL for coincident centres."""
-    return F.try_divide(scatter_a + scatter_b, center_distance)

@@ -2,19 +2,34 @@
 
 Give ``width`` when the vector length is known: the sum is then written out
 element by element and compiled by Spark.  Without it the higher-order array
-functions are used, which work for any length but run interpreted.
+functions are used, which work for any length but run interpreted.  The two
+agree on vectors of that width; ``with_width`` holds a table to it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNROLL_LIMIT = 128
 
 
+def width_message(width: int) -> str:
+    return f"every vector needs exactly {width} values, none NULL"
+
+
+def of_width(v: Column, width: int) -> Column:
+    """``v``; the job fails where it is NULL or has another width."""
+    return F.when(F.size(v) == width, v).otherwise(F.raise_error(F.lit(width_message(width))))
+
+
+def with_width(df: DataFrame, **widths: int) -> DataFrame:
+    """``df`` with the named vector columns held to their widths."""
+    return df.withColumns({name: of_width(F.col(name), width) for name, width in widths.items()})
+
+
 def tree_sum(terms: list[Column]) -> Column:
     """Sum columns as a balanced tree, so wide vectors give shallow plans."""
     while len(terms) > 1:

@@ -19,7 +19,12 @@ COMPONENTS = ("mixed", "cont", "bin")
 
 
 def with_cells(df: DataFrame, model: CellModel) -> DataFrame:
-    """One row per input row and cell; the cell's values as struct ``c``."""
+    """One row per input row and cell; the cell's values as struct ``c``.
+
+    Vectors of another width than the model's fail the job.
+    """
+    widths = {"x": model.cont_size, "b": model.bin_size}
+    df = V.with_width(df, **{c: w for c, w in widths.items() if c in df.columns})
     return df.withColumn("c", F.explode(model.as_literal()))
 
 

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..cells import CellModel, constant
-from ..constants import EPSILON_CEILING, EPSILON_FLOOR, VARIANCE_FLOOR
+from ..constants import EPSILON_CEILING, EPSILON_FLOOR, KERNEL_RATE, VARIANCE_FLOOR
+from ..functions import lattice as L
 from ..functions.reduce import argmax_first
+from ..functions.vectors import width_message
 from .density import COMPONENTS
 
 VECTORS = ("log_px_cell", "log_px_winner", "log_p_cell", "log_p_winner")
@@ -31,10 +33,10 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
         column = column.combine_chunks()
     values = column.flatten()
     if column.null_count or values.null_count or len(values) != len(column) * width:
-        raise ValueError(f"every vector needs exactly {width} values, none NULL")
+        raise ValueError(width_message(width))
     offsets = column.offsets.to_numpy()
     if width and not (np.diff(offsets) == width).all():
-        raise ValueError(f"every vector needs exactly {width} values")
+        raise ValueError(width_message(width))
     return values.to_numpy(zero_copy_only=False).reshape(len(column), width)
 
 
@@ -60,10 +62,11 @@ def task_values(model: CellModel, temperature: float, components: str) -> dict:
     if components not in COMPONENTS:
         raise ValueError(f"components is one of {COMPONENTS}")
     use_x, use_b = components != "bin", components != "cont"
-    nb = model.neighborhood(temperature)
-    q = model.prob @ nb  # chance of each cell over all winners
+    by_row, by_col = model.neighborhood_factors(temperature)
+    # chance of each cell over all winners
+    q = (by_row.T @ model.prob.reshape(model.rows, model.cols) @ by_col).reshape(-1)
     log_scale = np.zeros(model.size)  # the part of the log-density without x or b
-    values = {"use_x": use_x, "use_b": use_b, "nb": nb, "q": q, "prior": model.prob}
+    values = {"use_x": use_x, "use_b": use_b, "by_row": by_row, "by_col": by_col, "q": q, "prior": model.prob}
     if use_x:
         variance = np.maximum(model.cont_variance, VARIANCE_FLOOR)
         values["mean"] = model.cont_mean
@@ -105,12 +108,33 @@ def log_density(x_t, bits, p: dict) -> tuple[np.ndarray, np.ndarray | None]:
     return out, sq
 
 
+def _along(factor: np.ndarray, v: np.ndarray, axis: int) -> np.ndarray:
+    """``factor`` applied along the grid's rows (0) or columns (1) of R x C x n values."""
+    out = np.zeros_like(v)
+    for j in range(len(factor)):
+        out += factor[:, j, None, None] * v[None, j] if axis == 0 else factor[None, :, j, None] * v[:, None, j]
+    return out
+
+
+def over_winners(v: np.ndarray, p: dict) -> np.ndarray:
+    """For each winner the mean of ``v`` (K x n) over the cells it may emit from.
+
+    The neighbourhood is a row factor times a column factor, so no K x K matrix
+    is formed.  Both orders are averaged, plain sums each: a pattern and its
+    transpose then give equal values, and ties stay ties.
+    """
+    grid = v.reshape(len(p["by_row"]), len(p["by_col"]), -1)
+    rows_first = _along(p["by_col"], _along(p["by_row"], grid, 0), 1)
+    cols_first = _along(p["by_row"], _along(p["by_col"], grid, 1), 0)
+    return (0.5 * (rows_first + cols_first)).reshape(v.shape)
+
+
 def weights(log_d: np.ndarray, p: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """K x n p(cell | x) and p(winner | x), and log p(x); one exp per value."""
     top = log_d.max(axis=0)
     p_cell = np.exp(log_d - top)
     total = p["q"] @ p_cell
-    p_winner = p["nb"] @ p_cell
+    p_winner = over_winners(p_cell, p)
     p_winner *= p["prior"][:, None]
     p_winner /= total
     p_cell *= p["q"][:, None]
@@ -123,7 +147,7 @@ def log_posterior(log_d: np.ndarray, p: dict) -> dict:
     top = log_d.max(axis=0)
     scaled = np.exp(log_d - top)
     log_px = top + np.log(p["q"] @ scaled)
-    log_winner = top + np.log(p["nb"] @ scaled)
+    log_winner = top + np.log(over_winners(scaled, p))
     return {
         "log_px_cell": log_d,
         "log_px_winner": log_winner,
@@ -191,24 +215,32 @@ def joint_posterior(
 ) -> DataFrame:
     """(id, cell_star, cell, log_p): K * K rows per input row, only on request.
 
-    A narrow step: both indexes are exploded from constants and looked up in
-    the row's own vectors.
+    A narrow step: both indexes are exploded from number ranges, the weight of a
+    pair follows from its cells' places, and the rest is looked up in the row's
+    own vectors.
     """
-    k = model.size
+    k, cols = model.size, model.cols
+    by_row, by_col = model.neighborhood_factors(temperature)
+    # ln of a winner's prior and of its normaliser, which is its chance of emitting from itself
     with np.errstate(divide="ignore"):
-        weight = np.log(model.neighborhood(temperature)) + np.log(model.prob)[:, None]
-    rows = [
-        {"cell_star": i, "cell": j, "w": float(weight[i, j])} for i in range(k) for j in range(k)
-    ]
-    pairs = constant(rows, T.ArrayType(T.StructType.fromDDL("cell_star int, cell int, w double")))
+        own = np.log(model.prob) + np.log(np.repeat(by_row.diagonal(), cols) * np.tile(by_col.diagonal(), model.rows))
+    own = constant([None if np.isneginf(v) else float(v) for v in own], T.ArrayType(T.DoubleType()))
     scored = with_posterior(
         points, model, temperature, components=components, want=("log_px_cell", "log_px")
     )
-    return scored.withColumn("p", F.explode(pairs)).select(
+    cells = F.sequence(F.lit(0), F.lit(k - 1))
+    pairs = scored.withColumn("_own", own).select(
+        "id", "_own", "log_px_cell", "log_px", F.explode(cells).alias("cell_star")
+    ).withColumn("cell", F.explode(cells))
+    distance = L.grid_distance(
+        *(at(F.col(c), cols) for c in ("cell_star", "cell") for at in (L.cell_row, L.cell_col))
+    )
+    weight = F.coalesce(F.col("_own")[F.col("cell_star")], F.lit(float("-inf"))) - KERNEL_RATE * distance / temperature
+    return pairs.select(
         "id",
-        "p.cell_star",
-        "p.cell",
-        (F.col("p.w") + F.col("log_px_cell")[F.col("p.cell")] - F.col("log_px")).alias("log_p"),
+        "cell_star",
+        "cell",
+        (weight + F.col("log_px_cell")[F.col("cell")] - F.col("log_px")).alias("log_p"),
     )
 
 

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import BITS_JITTER, BITS_STEP, BITS_WIDTH
+from ..functions.vectors import with_width
 
 
 def column_min_max(points: DataFrame, width: int, column: str = "x") -> DataFrame:
     """One row: arrays ``lo`` and ``hi`` over all rows."""
     v = F.col(column)
-    return points.agg(
+    return with_width(points, **{column: width}).agg(
         F.array(*[F.min(v[j]) for j in range(width)]).alias("lo"),
         F.array(*[F.max(v[j]) for j in range(width)]).alias("hi"),
     )
@@ -26,7 +27,8 @@ def minmax_normalize(points: DataFrame, width: int, column: str = "x") -> DataFr
     v, lo, hi = F.col(column), F.col("_bounds.lo"), F.col("_bounds.hi")
     scaled = [F.try_divide(v[j] - lo[j], hi[j] - lo[j]) for j in range(width)]
     return (
-        points.withColumn("_bounds", bounds)
+        with_width(points, **{column: width})
+        .withColumn("_bounds", bounds)
         .withColumn(column, F.array(*scaled))
         .select(*points.columns)
     )
@@ -42,12 +44,20 @@ def vector_width(df: DataFrame, column: str = "x") -> DataFrame:
     )
 
 
+def checked_widths(df: DataFrame, *columns: str) -> dict[str, int]:
+    """The common width of each column's vectors, from one pass, or an error."""
+    sizes = [f(F.size(c)).alias(f"{c}_{n}") for c in columns for n, f in (("low", F.min), ("high", F.max))]
+    nulls = [F.count(F.when(F.col(c).isNull(), 1)).alias(f"{c}_null") for c in columns]
+    got = df.agg(F.count("*").alias("n"), *sizes, *nulls).first().asDict()
+    for c in columns:
+        if got["n"] == 0 or got[f"{c}_null"] or got[f"{c}_low"] != got[f"{c}_high"]:
+            raise ValueError(f"every {c} must be a vector of one width: {got}")
+    return {c: got[f"{c}_high"] for c in columns}
+
+
 def checked_width(df: DataFrame, column: str = "x") -> int:
     """The common width of all rows' vectors, or an error."""
-    got = vector_width(df, column).first()
-    if got.n == 0 or got.n_null or got.narrowest != got.widest:
-        raise ValueError(f"every {column} must be a vector of one width: {got}")
-    return got.widest
+    return checked_widths(df, column)[column]
 
 
 def first_n(df: DataFrame, n: int, key: str = "id") -> DataFrame:

@@ -32,21 +32,25 @@ def update_cont_mean(scored: DataFrame, width: int) -> DataFrame:
     """(cell, cont_mean): weighted mean; NULL entries where a cell has no weight."""
     total = F.sum("p")
     means = [F.try_divide(F.sum(F.col("p") * F.col("x")[j]), total) for j in range(width)]
+    scored = V.with_width(scored, x=width)
     return _by_cell(scored, "log_p_cell", "x").groupBy("cell").agg(F.array(*means).alias("cont_mean"))
 
 
 def _of_cell(matrix: list[list[float]]) -> Column:
-    """The current cell's vector out of a constant K-row table."""
-    rows = [[float(v) for v in row] for row in matrix]
+    """The current cell's vector out of a constant K-row table; NULL entries stay."""
+    rows = [[None if v is None else float(v) for v in row] for row in matrix]
     return constant(rows, T.ArrayType(T.ArrayType(T.DoubleType())))[F.col("cell")]
 
 
 def update_cont_variance(scored: DataFrame, means: list[list[float]]) -> DataFrame:
-    """(cell, cont_variance) around the new ``means``, per dimension."""
+    """(cell, cont_variance) around the new ``means``, per dimension.
+
+    NULL for a cell without weight, whose mean has NULL entries.
+    """
     d = len(means[0])
     sq = V.squared_distance(F.col("x"), _of_cell(means), d)
     return (
-        _by_cell(scored, "log_p_cell", "x")
+        _by_cell(V.with_width(scored, x=d), "log_p_cell", "x")
         .groupBy("cell")
         .agg(F.try_divide(F.sum(F.col("p") * sq), d * F.sum("p")).alias("cont_variance"))
     )
@@ -63,6 +67,7 @@ def update_bin_prototype(scored: DataFrame, width: int) -> DataFrame:
     for j in range(width):
         zero, one = _bit_weights(j)
         bits.append(F.when(zero >= one, 0).otherwise(1))
+    scored = V.with_width(scored, b=width)
     return _by_cell(scored, "log_p_cell", "b").groupBy("cell").agg(F.array(*bits).alias("bin_mean"))
 
 
@@ -74,7 +79,7 @@ def update_bin_epsilon(scored: DataFrame, width: int) -> DataFrame:
     """
     off = V.tree_sum([F.least(*_bit_weights(j)) for j in range(width)])
     return (
-        _by_cell(scored, "log_p_cell", "b")
+        _by_cell(V.with_width(scored, b=width), "log_p_cell", "b")
         .groupBy("cell")
         .agg(F.try_divide(off, width * F.sum("p")).alias("bin_epsilon"))
     )
