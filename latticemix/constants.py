@@ -22,7 +22,6 @@ DEFAULT_ROWS = 5
 DEFAULT_COLS = 5
 DEFAULT_MAX_ITER = 10
 JOB_MAX_ITER = 50
-JOB_FIRST_N = 2000
 # Names of the reported index values, in report order.
 INTERNAL_REPORT = ("Silhouette", "Davies Bouldin")
 EXTERNAL_REPORT = (
@@ -43,4 +42,6 @@ LABEL_STEM = "labels-"
 MAX_MODEL_VALUES = 4_000_000
 MAX_BROADCAST_VALUES = 4_000_000
 PAIR_BLOCK_ROWS = 16_384
+BLOCK_BYTES = 1 << 25
+TASKS_PER_CORE = 64
 STRIPE_ROWS = 4_000_000

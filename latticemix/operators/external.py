@@ -24,20 +24,26 @@ def align_labels(true: DataFrame, predicted: DataFrame, strict: bool = True) ->
     p = predicted.select("id", F.col("label").alias("pred_label"))
     if not strict:
         return t.join(p, "id")
-    sides = t.withColumn("_t", F.lit(1)).unionByName(
-        p.withColumn("_p", F.lit(1)), allowMissingColumns=True
+    return match_one_to_one(t, p)
+
+
+def match_one_to_one(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Both sides' columns by id; the job fails unless they hold the same ids, each once.
+
+    One grouping brings the two sides together and checks them.
+    """
+    sides = left.withColumn("_l", F.lit(1)).unionByName(
+        right.withColumn("_r", F.lit(1)), allowMissingColumns=True
     )
+    values = [c for c in dict.fromkeys(left.columns + right.columns) if c != "id"]
     # Shuffled by id first: then one sort serves the grouping, none comes before.
     matched = sides.repartition("id").groupBy("id").agg(
-        F.max("true_label").alias("true_label"),
-        F.max("pred_label").alias("pred_label"),
-        F.count("_t").alias("_t"),
-        F.count("_p").alias("_p"),
+        *[F.max(c).alias(c) for c in values], F.count("_l").alias("_l"), F.count("_r").alias("_r")
     )
-    one_to_one = F.when((F.col("_t") == 1) & (F.col("_p") == 1), F.lit(True)).otherwise(
-        F.raise_error(F.lit("true and predicted labels must have the same ids, each once"))
+    one_to_one = F.when((F.col("_l") == 1) & (F.col("_r") == 1), F.lit(True)).otherwise(
+        F.raise_error(F.lit("both sides must have the same ids, each once"))
     )
-    return matched.filter(one_to_one).select("id", "true_label", "pred_label")
+    return matched.filter(one_to_one).select("id", *values)
 
 
 def alignment_report(true: DataFrame, predicted: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Indices from points and predicted labels alone.
 
 Input is (id, x, label) with unique ids and labels matched to points by id.
+Every row needs a label and a vector of the common width; a NULL fails the job.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from ..constants import MAX_BROADCAST_VALUES, PAIR_BLOCK_ROWS
 from ..functions import vectors as V
 from ..session import materialize
-from .pairwise import fold_over_all
+from .pairwise import fold_over_all, rows_per_block
 from .posterior import matrix, squared_distances
 
 
@@ -22,13 +23,20 @@ from .posterior import matrix, squared_distances
 HOT_SHARE = 1000
 
 
+def checked(labelled: DataFrame, width: int | None = None) -> DataFrame:
+    """``labelled``; the job fails on a NULL label and, given ``width``, on another width of ``x``."""
+    label = F.coalesce(F.col("label"), F.raise_error(F.lit("every row needs a label")))
+    labelled = labelled.withColumn("label", label)
+    return labelled if width is None else V.with_width(labelled, x=width)
+
+
 def distinct_labels(labelled: DataFrame) -> DataFrame:
     return labelled.select("label").distinct()
 
 
 def cluster_sizes(labelled: DataFrame) -> DataFrame:
     """(label, n)."""
-    return labelled.groupBy("label").agg(F.count("*").alias("n"))
+    return checked(labelled).groupBy("label").agg(F.count("*").alias("n"))
 
 
 def _mean_vector(width: int) -> Column:
@@ -37,12 +45,12 @@ def _mean_vector(width: int) -> Column:
 
 def cluster_centers(labelled: DataFrame, width: int) -> DataFrame:
     """(label, center)."""
-    return labelled.groupBy("label").agg(_mean_vector(width).alias("center"))
+    return checked(labelled, width).groupBy("label").agg(_mean_vector(width).alias("center"))
 
 
 def cluster_profile(labelled: DataFrame, width: int) -> DataFrame:
     """(label, n, center)."""
-    return labelled.groupBy("label").agg(
+    return checked(labelled, width).groupBy("label").agg(
         F.count("*").alias("n"), _mean_vector(width).alias("center")
     )
 
@@ -147,6 +155,9 @@ def distance_chunks(a: np.ndarray, b: np.ndarray):
     """(slice of a, its Euclidean distances to all of b), a few rows at a time."""
     if a.shape[1] != b.shape[1]:
         raise ValueError("every vector needs the same width")
+    if a.shape[1] > NARROW and len(b):  # the matrix product cancels less around the block's mean
+        middle = b.mean(axis=0)
+        a, b = a - middle, b - middle
     b_t = np.ascontiguousarray(b.T)
     norm = np.square(b).sum(axis=1)
     step = max(1, CHUNK_DISTANCES // max(1, len(b)))
@@ -158,20 +169,23 @@ def distance_chunks(a: np.ndarray, b: np.ndarray):
             scale = np.square(a[part]).sum(axis=1)[:, None] + norm
             sq = scale - 2 * (a[part] @ b_t)
             i, j = np.nonzero(sq < CLOSE * scale)
-            sq[i, j] = np.square(a[part][i] - b[j]).sum(axis=1)
+            few = max(1, CHUNK_DISTANCES // a.shape[1])
+            for at in range(0, len(i), few):
+                p, q = i[at : at + few], j[at : at + few]
+                sq[p, q] = np.square(a[part][p] - b[q]).sum(axis=1)
         yield part, np.sqrt(sq)
 
 
 # -- silhouette -------------------------------------------------------------------
 
-# Sums a task holds before it passes them on.
-HELD_SUMS = 1_000_000
-
-
 def distance_sums(
-    labelled: DataFrame, block_rows: int = PAIR_BLOCK_ROWS, n: int | None = None
+    labelled: DataFrame, block_rows: int | None = None, n: int | None = None
 ) -> DataFrame:
-    """(id, label, other_label, sum_dist, n) to all n rows of each label."""
+    """(id, label, other_label, sum_dist, n) to all n rows of each label.
+
+    A task sees its sources label by label and passes a label's sums on when it
+    ends, so it holds one sum per target and emits targets x labels rows.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in labelled.schema}
     schema = (
         f"id {kinds['id']}, label {kinds['label']}, other_label {kinds['label']}, "
@@ -180,53 +194,42 @@ def distance_sums(
 
     def sums(targets, sources):
         x = vectors(targets.column("x"))
-        m = len(x)
-        totals: dict = {}
-        counts: dict = {}
+        ids, own = one_array(targets.column("id")), one_array(targets.column("label"))
+        held: dict = {"label": None, "total": None, "n": 0}
 
         def emit():
-            k = len(totals)
-            at = pa.array(np.repeat(np.arange(m), k))
-            others = pa.array(list(totals), type=targets.schema.field("label").type)
-            arrays = [
-                one_array(targets.column("id")).take(at),
-                one_array(targets.column("label")).take(at),
-                others.take(pa.array(np.tile(np.arange(k), m))),
-                pa.array(np.column_stack(list(totals.values())).reshape(-1)),
-                pa.array(np.tile([counts[name] for name in totals], m)),
-            ]
-            totals.clear()
-            counts.clear()
+            others = pa.array([held["label"]] * len(x), type=own.type)
             return pa.RecordBatch.from_arrays(
-                arrays, names=["id", "label", "other_label", "sum_dist", "n"]
+                [ids, own, others, pa.array(held["total"]), pa.array(np.full(len(x), held["n"]))],
+                names=["id", "label", "other_label", "sum_dist", "n"],
             )
 
         for batch in sources:
-            # Sorted by label, sums per label are sums of consecutive columns.
-            coded = batch.column("label").dictionary_encode("encode")
-            codes, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-            order = np.argsort(codes, kind="stable")
-            starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
-            part_sums = np.empty((m, len(starts)))
-            for part, dist in distance_chunks(x, vectors(batch.column("x"))[order]):
+            names = batch.column("label")
+            codes = names.dictionary_encode().indices.to_numpy()
+            starts = np.flatnonzero(np.diff(codes, prepend=-1))
+            part_sums = np.empty((len(x), len(starts)))
+            for part, dist in distance_chunks(x, vectors(batch.column("x"))):
                 part_sums[part] = np.add.reduceat(dist, starts, axis=1)
             lengths = np.diff(starts, append=len(codes))
-            for i, code in enumerate(codes[order][starts]):
-                name = names[code]
-                counts[name] = counts.get(name, 0) + int(lengths[i])
-                if name in totals:
-                    totals[name] += part_sums[:, i]
-                else:
-                    totals[name] = part_sums[:, i].copy()
-            if len(totals) * m > HELD_SUMS:
-                yield emit()
-        if totals:
+            for i, start in enumerate(starts.tolist()):
+                name = names[start].as_py()
+                if held["n"] and name != held["label"]:
+                    yield emit()
+                    held["n"] = 0
+                if not held["n"]:
+                    held["label"], held["total"] = name, np.zeros(len(x))
+                held["total"] = held["total"] + part_sums[:, i]
+                held["n"] += int(lengths[i])
+        if held["n"]:
             yield emit()
 
-    rows = labelled.select("id", "label", "x")
-    if n is None:
-        n = rows.count()
-    partial = fold_over_all(rows, "id", n, sums, schema, block_rows)
+    rows = checked(labelled).select("id", "label", "x")
+    if n is None or block_rows is None:
+        size = rows.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("width")).first()
+        n, width = size.n if n is None else n, size.width or 1
+        block_rows = block_rows or rows_per_block(8 * (width + 4))
+    partial = fold_over_all(rows, "id", n, sums, schema, block_rows, ["label"])
     # One shuffle by id serves this sum and every later grouping by id.
     return (
         partial.repartition("id")
@@ -235,7 +238,7 @@ def distance_sums(
     )
 
 
-def silhouette_rows(labelled: DataFrame, block_rows: int = PAIR_BLOCK_ROWS) -> DataFrame:
+def silhouette_rows(labelled: DataFrame, block_rows: int | None = None) -> DataFrame:
     """(id, label, a, b, width): exact, with unsquared Euclidean distance.
 
     ``a``: mean distance to the rest of the row's cluster, NULL when alone.
@@ -251,7 +254,7 @@ def silhouette_rows(labelled: DataFrame, block_rows: int = PAIR_BLOCK_ROWS) -> D
     ).withColumn("width", F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.col("width")))
 
 
-def within_cluster_distance(labelled: DataFrame, block_rows: int = PAIR_BLOCK_ROWS) -> DataFrame:
+def within_cluster_distance(labelled: DataFrame, block_rows: int | None = None) -> DataFrame:
     """(id, label, sum_dist): summed distance to the rest of the row's cluster."""
     sums = distance_sums(labelled, block_rows)
     return sums.filter(F.col("label") == F.col("other_label")).select("id", "label", "sum_dist")
@@ -267,7 +270,7 @@ def silhouette_b(labelled: DataFrame) -> DataFrame:
     return silhouette_rows(labelled).filter(F.col("b").isNotNull()).select("id", "label", "b")
 
 
-def silhouette_by_cluster(labelled: DataFrame, block_rows: int = PAIR_BLOCK_ROWS) -> DataFrame:
+def silhouette_by_cluster(labelled: DataFrame, block_rows: int | None = None) -> DataFrame:
     """(label, width): mean width; 0 for a lone row or a lone cluster.
 
     NULL where some row's width is undefined (0/0: all its distances are 0).
@@ -284,7 +287,7 @@ def silhouette_by_cluster(labelled: DataFrame, block_rows: int = PAIR_BLOCK_ROWS
     )
 
 
-def silhouette(labelled: DataFrame, block_rows: int = PAIR_BLOCK_ROWS) -> DataFrame:
+def silhouette(labelled: DataFrame, block_rows: int | None = None) -> DataFrame:
     """One row: unweighted mean over clusters of their mean widths."""
     widths = silhouette_by_cluster(labelled, block_rows)
     return widths.agg(

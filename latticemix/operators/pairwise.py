@@ -12,19 +12,37 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import PAIR_BLOCK_ROWS, STRIPE_ROWS
+from ..constants import BLOCK_BYTES, PAIR_BLOCK_ROWS, STRIPE_ROWS, TASKS_PER_CORE
 
 
 # Source rows handed to a fold at a time.
 SOURCE_ROWS = 1024
 
 
+def rows_per_block(row_bytes: int) -> int:
+    """Targets of one task: as many as ``BLOCK_BYTES`` hold, but no fewer than a source batch."""
+    return max(SOURCE_ROWS, BLOCK_BYTES // row_bytes)
+
+
+def planned(n: int, block_rows: int, cores: int) -> tuple[int, int, int]:
+    """Blocks, stripes and shuffle partitions for ``n`` rows.
+
+    Combinations of block and stripe beyond ``TASKS_PER_CORE`` a core share
+    partitions, so their number does not follow n * n.
+    """
+    blocks = max(1, math.ceil(n / block_rows))
+    # More stripes than length requires only to keep all cores busy.
+    busy = min(math.ceil(2 * cores / blocks), math.ceil(n / 256))
+    stripes = max(1, busy, math.ceil(n / STRIPE_ROWS))
+    return blocks, stripes, min(blocks * stripes, TASKS_PER_CORE * cores)
+
+
 def fold_over_all(
     rows: DataFrame,
     key: str,
@@ -32,32 +50,38 @@ def fold_over_all(
     fold: Callable[[pa.Table, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     schema: str,
     block_rows: int = PAIR_BLOCK_ROWS,
+    source_order: Sequence[str] = (),
 ) -> DataFrame:
     """Run ``fold(targets, sources)`` for each block of targets and stripe of sources.
 
     Every row is a target once per stripe and a source once per block; each
     (target, source) combination meets exactly once, a row with itself too.
-    ``key`` must be unique and ``n`` the number of rows.
+    ``key`` must be unique and ``n`` the number of rows.  Sources come in
+    ``source_order``.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    blocks = max(1, math.ceil(n / block_rows))
-    # More stripes than length requires only to keep all cores busy.
-    busy = min(math.ceil(2 * cores / blocks), math.ceil(n / 256))
-    stripes = max(1, busy, math.ceil(n / STRIPE_ROWS))
+    blocks, stripes, partitions = planned(n, block_rows, cores)
+    tasks = blocks * stripes
     block = F.pmod(F.xxhash64(key), F.lit(blocks))
     stripe = F.pmod(F.xxhash64(key, F.lit(1)), F.lit(stripes))
-    # One pass over the input: each row's places as target, then as source.
-    place = lambda task, source: F.struct(
-        task.cast("int").alias("_task"), F.lit(source).alias("_source")
-    )
-    up_to = lambda count: F.sequence(F.lit(0), F.lit(count - 1))
-    as_target = F.transform(up_to(stripes), lambda s: place(block * stripes + s, False))
-    as_source = F.transform(up_to(blocks), lambda b: place(b * stripes + stripe, True))
     both = (
-        rows.select("*", F.inline(F.concat(as_target, as_source)))
-        .repartitionById(blocks * stripes, "_task")
-        .sortWithinPartitions("_task", "_source")
+        rows.withColumn("_source", F.explode(F.array(F.lit(False), F.lit(True))))
+        .withColumn("_times", F.when(F.col("_source"), F.lit(blocks)).otherwise(F.lit(stripes)))
+        # Numbers 0.._times - 1 in two steps, so that no row carries a long array.
+        .withColumn("_hundred", F.explode(F.expr("sequence(0, int((_times - 1) / 100))")))
+        .withColumn(
+            "_turn",
+            F.explode(F.expr("sequence(_hundred * 100, least(_hundred * 100 + 99, _times - 1))")),
+        )
+        .withColumn(
+            "_task",
+            F.when(F.col("_source"), F.col("_turn").cast("long") * stripes + stripe)
+            .otherwise(block * stripes + F.col("_turn")),
+        )
+        .drop("_times", "_hundred", "_turn")
     )
+    dealt = both.repartitionById(tasks, F.col("_task").cast("int")) if tasks <= partitions else both.repartition(partitions, "_task")
+    both = dealt.sortWithinPartitions("_task", "_source", *source_order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, first = [], None

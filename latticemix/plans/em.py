@@ -28,7 +28,7 @@ from ..operators.posterior import (
     task_values,
     weights,
 )
-from ..operators.prep import checked_width
+from ..operators.prep import checked_widths
 from ..sources import trajectory as store
 
 # Leading entries of one cell's statistics; sums of x and of b follow.
@@ -225,6 +225,27 @@ def _cached(points: DataFrame, components: str) -> DataFrame:
     return spread
 
 
+def _start(train: DataFrame, rows: int, cols: int, components: str, seed: int) -> CellModel:
+    """Starting cells for the widths of the rows, found in one pass over them."""
+    used = {"mixed": ("x", "b"), "cont": ("x",), "bin": ("b",)}[components]
+    width = checked_widths(train, *used)
+    return CellModel.initial(
+        rows, cols, cont_size=width.get("x", 2), bin_size=width.get("b", 0), seed=seed
+    )
+
+
+def _label_cells(before: CellModel, after: CellModel, label_prior: str) -> CellModel:
+    return before.with_values(prob=after.prob) if label_prior == "updated" else before
+
+
+def _finished(spark, path: str, max_iter: int, settings: dict) -> Fitted:
+    """The model of a complete stored run."""
+    before, after = (store.read_model(spark, path, t) for t in (max_iter - 1, max_iter))
+    temperature = temperature_at(max_iter, max_iter, settings["t_min"], settings["t_max"])
+    label_cells = _label_cells(before, after, settings["label_prior"])
+    return Fitted(after, label_cells, temperature, settings["components"], settings["assign"])
+
+
 def fit(
     points: DataFrame,
     init_cells: CellModel | None = None,
@@ -250,33 +271,50 @@ def fit(
     ``label_prior``: training labels use the last iteration's likelihood with
     the prior it just computed ("updated") or the one it began with ("current").
     ``output_path`` stores the cells of every iteration, ``label_every`` the
-    labels of every n-th; ``resume`` goes on from the last stored iteration.
+    labels of every n-th; ``resume`` goes on from the last committed iteration,
+    starts a new run where there is none, and returns the model of a complete one.
+    It takes no settings but those that the run was begun with.
     """
     if max_iter < 2:
         raise ValueError("max_iter must be at least 2")
     if label_prior not in ("updated", "current") or assign not in ("cell", "winner"):
         raise ValueError("label_prior is 'updated' or 'current', assign 'cell' or 'winner'")
     spark = points.sparkSession
-    if init_cells is None:
-        bits = 0 if components == "cont" else checked_width(points, "b")
-        width = 2 if components == "bin" else checked_width(points)
-        init_cells = CellModel.initial(rows, cols, cont_size=width, bin_size=bits, seed=seed)
-    model, done = init_cells, 0
-    if resume:
-        if output_path is None:
-            raise ValueError("resume needs output_path")
-        stored = store.last_iteration(spark, output_path)
-        if stored is not None:
-            done, model = stored
-    if output_path is not None and done == 0 and not resume:
-        store.write_cells(spark, output_path, 0, model)
-    if done >= max_iter:
-        raise ValueError(f"{output_path} already holds iteration {done} of {max_iter}")
+    if resume and output_path is None:
+        raise ValueError("resume needs output_path")
+    settings = {
+        "max_iter": max_iter,
+        "t_min": t_min,
+        "t_max": t_max,
+        "components": components,
+        "update_continuous": update_continuous,
+        "label_prior": label_prior,
+        "assign": assign,
+        "label_every": label_every,
+    }
+    stored = store.last_iteration(spark, output_path) if resume else None
+    before = store.read_settings(spark, output_path) if stored is not None else None
+    if before is not None and before != settings:
+        changed = sorted(k for k in settings if before.get(k) != settings[k])
+        raise ValueError(f"{output_path} was begun with other settings: {', '.join(changed)}")
+    if stored is not None and stored[0] >= max_iter:
+        return _finished(spark, output_path, max_iter, settings)
 
     train = _cached(points, components) if cache else points
     steps: list[Step] = []
-    label_cells = model
+    # what an interrupted run left of an iteration that it did not commit is replaced
+    mode = "overwrite" if resume else "errorifexists"
     try:
+        if stored is not None:
+            done, model = stored
+        else:
+            done, model = 0, init_cells or _start(train, rows, cols, components, seed)
+            if output_path is not None:
+                if not resume and store.committed_iterations(spark, output_path):
+                    raise ValueError(f"a run already exists in {output_path}")
+                store.write_settings(spark, output_path, settings)
+                store.write_cells(spark, output_path, 0, model, mode)
+        label_cells = model
         for t in range(done + 1, max_iter + 1):
             temperature = temperature_at(t, max_iter, t_min, t_max)
             step = em_step(
@@ -287,19 +325,14 @@ def fit(
                 update_continuous=update_continuous,
                 iteration=t,
             )
-            label_cells = (
-                model.with_values(prob=step.cells.prob) if label_prior == "updated" else model
-            )
+            label_cells = _label_cells(model, step.cells, label_prior)
             model = step.cells
             steps.append(step)
             if output_path is not None:
-                store.write_cells(spark, output_path, t, model)
                 if label_every and (t % label_every == 0 or t == max_iter):
-                    store.write_labels(
-                        _labels(points, label_cells, temperature, components, assign),
-                        output_path,
-                        t,
-                    )
+                    labelled = _labels(points, label_cells, temperature, components, assign)
+                    store.write_labels(labelled, output_path, t, mode)
+                store.write_cells(spark, output_path, t, model, mode)
     finally:
         if cache:
             train.unpersist()

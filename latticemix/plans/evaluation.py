@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cells import CellModel
-from ..constants import DEFAULT_COLS, DEFAULT_ROWS, JOB_FIRST_N, JOB_MAX_ITER
-from ..operators.external import align_labels, contingency, external_indices
+from ..constants import DEFAULT_COLS, DEFAULT_ROWS, JOB_MAX_ITER
+from ..operators.external import align_labels, contingency, external_indices, match_one_to_one
 from ..operators.internal import internal_indices
 from ..operators.prep import (
     checked_width,
@@ -33,9 +33,11 @@ def evaluate_external(true: DataFrame, predicted: DataFrame) -> DataFrame:
 def evaluate_internal(points: DataFrame, predicted: DataFrame, width: int) -> DataFrame:
     """Silhouette and Davies-Bouldin of (id, x) with (id, label), matched by id.
 
-    The indices read the matched rows several times, so the join is kept.
+    Both must hold the same ids, each once.  The indices read the matched rows
+    several times, so they are kept.
     """
-    return internal_indices(materialize(points.join(predicted, "id")), width)
+    matched = match_one_to_one(points.select("id", "x"), predicted.select("id", "label"))
+    return internal_indices(materialize(matched), width)
 
 
 @dataclass
@@ -53,22 +55,25 @@ def run_job(
     output_path: str,
     *,
     delimiter: str = ",",
-    first: int = JOB_FIRST_N,
+    first: int | None = None,
     rows: int = DEFAULT_ROWS,
     cols: int = DEFAULT_COLS,
     max_iter: int = JOB_MAX_ITER,
     init_cells: CellModel | None = None,
     update_continuous: bool = False,
+    label_every: int = 1,
 ) -> JobResult:
     """Delimited files in, trained cells, labels and index values out.
 
-    Continuous columns are normalised over all rows before the first ``first``
-    are taken.
+    Continuous columns are normalised over all rows.  ``first`` then takes the
+    rows below that number; without it all rows are used.  ``label_every`` stores
+    the labels of every n-th iteration beside those of the last.
     """
+    taken = lambda df: df if first is None else first_n(df, first)
     continuous = scan_continuous(spark, continuous_path, delimiter)
     width = checked_width(continuous)
-    continuous = first_n(minmax_normalize(continuous, width), first)
-    points = join_features(continuous, first_n(scan_binary(spark, binary_path, delimiter), first))
+    continuous = taken(minmax_normalize(continuous, width))
+    points = join_features(continuous, taken(scan_binary(spark, binary_path, delimiter)))
     points = points.persist(StorageLevel.MEMORY_AND_DISK)
     fitted = fit(
         points,
@@ -78,11 +83,11 @@ def run_job(
         max_iter=max_iter,
         update_continuous=update_continuous,
         output_path=output_path,
-        label_every=1,
+        label_every=label_every,
     )
     stored = store.read_labels(spark, output_path, max_iter)
     labels = stored.select("id", F.col("cell").alias("label"))
-    true = first_n(scan_labels(spark, labels_path, delimiter), first)
+    true = taken(scan_labels(spark, labels_path, delimiter))
     features = concat_features(points)
     internal = evaluate_internal(features, labels, width + fitted.cells.bin_size)
     external = evaluate_external(true, labels)

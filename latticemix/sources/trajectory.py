@@ -1,21 +1,27 @@
 """The stored run: cells, labels and index values as partitioned tables.
 
-    <path>/cells/iteration=t      K rows
+    <path>/settings               one JSON row
     <path>/labels/iteration=t     id, coordinates, cell
+    <path>/cells/iteration=t      K rows
     <path>/indices                kind, name, value (appended)
 
-Iterations are only ever added; writing one that exists fails.  The text layout
-of one file per quantity and iteration can be read as well.
+An iteration counts once its cells are completely written (Spark's ``_SUCCESS``
+file), and its labels are written before them.  Iterations are only ever added;
+writing one that exists fails, but for what an interrupted run left unfinished.
+The text layout of one file per quantity and iteration can be read as well.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..cells import CELL_SCHEMA, CellModel
 from ..constants import CENTROID_STEMS, EXTERNAL_REPORT, GRID_STEMS, INTERNAL_REPORT, LABEL_STEM
+from ..functions.vectors import with_width
 
 STORED_CELLS = T.StructType([*CELL_SCHEMA, T.StructField("iteration", T.IntegerType())])
 INDEX_SCHEMA = "kind string, name string, value double"
@@ -27,8 +33,10 @@ def cells_dataframe(spark: SparkSession, tables: list[tuple[int, CellModel]]) ->
     return spark.createDataFrame(rows, STORED_CELLS)
 
 
-def write_cells(spark: SparkSession, path: str, iteration: int, model: CellModel) -> None:
-    model.to_dataframe(spark).write.mode("errorifexists").parquet(
+def write_cells(
+    spark: SparkSession, path: str, iteration: int, model: CellModel, mode: str = "errorifexists"
+) -> None:
+    model.to_dataframe(spark).write.mode(mode).parquet(
         f"{path}/cells/iteration={iteration}"
     )
 
@@ -38,18 +46,47 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STORED_CELLS).parquet(f"{path}/cells")
 
 
+def _glob(spark: SparkSession, pattern: str) -> list[str]:
+    """Names that match a path pattern in whatever store it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return [str(f.getPath()) for f in found or []]
+
+
+def committed_iterations(spark: SparkSession, path: str) -> list[int]:
+    """Iterations whose cells are completely written, in order."""
+    done = _glob(spark, f"{path}/cells/iteration=*/_SUCCESS")
+    return sorted(int(name.split("iteration=")[-1].split("/")[0]) for name in done)
+
+
+def read_model(spark: SparkSession, path: str, iteration: int) -> CellModel:
+    one = spark.read.schema(CELL_SCHEMA).parquet(f"{path}/cells/iteration={iteration}")
+    return CellModel.from_dataframe(one)
+
+
 def last_iteration(spark: SparkSession, path: str) -> tuple[int, CellModel] | None:
-    cells = read_cells(spark, path)
-    last = cells.agg(F.max("iteration").alias("t")).first().t
-    if last is None:
+    """The last committed iteration and its cells; None for a run without any."""
+    done = committed_iterations(spark, path)
+    return (done[-1], read_model(spark, path, done[-1])) if done else None
+
+
+def write_settings(spark: SparkSession, path: str, settings: dict) -> None:
+    row = [(json.dumps(settings, sort_keys=True),)]
+    spark.createDataFrame(row, "value string").coalesce(1).write.mode("overwrite").text(f"{path}/settings")
+
+
+def read_settings(spark: SparkSession, path: str) -> dict | None:
+    if not _glob(spark, f"{path}/settings/_SUCCESS"):
         return None
-    return last, CellModel.from_dataframe(cells.filter(F.col("iteration") == last))
+    return json.loads(spark.read.text(f"{path}/settings").first().value)
 
 
-def write_labels(labelled: DataFrame, path: str, iteration: int) -> None:
+def write_labels(
+    labelled: DataFrame, path: str, iteration: int, mode: str = "errorifexists"
+) -> None:
     """Rows with ``cell``; written by the tasks that computed them."""
     keep = [c for c in ("id", "x", "cell") if c in labelled.columns]
-    labelled.select(*keep).write.mode("errorifexists").parquet(
+    labelled.select(*keep).write.mode(mode).parquet(
         f"{path}/labels/iteration={iteration}"
     )
 
@@ -61,7 +98,7 @@ def read_labels(spark: SparkSession, path: str, iteration: int | None = None) ->
 
 def write_labels_csv(labelled: DataFrame, path: str, width: int, delimiter: str = ",") -> None:
     """id, one column per coordinate, cell, as delimited text."""
-    labelled.select(
+    with_width(labelled, x=width).select(
         "id", *[F.col("x")[j].alias(f"x{j}") for j in range(width)], "cell"
     ).write.mode("errorifexists").option("sep", delimiter).option("header", True).csv(path)
 

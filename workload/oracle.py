@@ -338,14 +338,13 @@ EMB_MODEL = EMB[:3] + [
 # Training labels: likelihood of the last start, prior it just computed.
 EMB_FIT = (
     EMB_MODEL
-    + emb_iteration(1, temperature(1, 2))
-    + emb_iteration(2, temperature(2, 2))
+    + [cte for t in range(1, FIT_ITER + 1) for cte in emb_iteration(t, temperature(t, FIT_ITER))]
     + [
-        ("efq", "SELECT n.c AS cell, ln(sum(n.w * p.prob)) AS lq FROM enb2 n JOIN ep2 p ON p.cell = n.cs GROUP BY n.c"),
+        ("efq", f"SELECT n.c AS cell, ln(sum(n.w * p.prob)) AS lq FROM enb{FIT_ITER} n JOIN ep{FIT_ITER} p ON p.cell = n.cs GROUP BY n.c"),
         (
             "efl",
-            """SELECT id, cell, row_number() OVER (PARTITION BY id ORDER BY a DESC, cell) AS rn FROM (
-            SELECT l.id, l.cell, l.ld + q.lq AS a FROM eld2 l JOIN efq q USING (cell))""",
+            f"""SELECT id, cell, row_number() OVER (PARTITION BY id ORDER BY a DESC, cell) AS rn FROM (
+            SELECT l.id, l.cell, l.ld + q.lq AS a FROM eld{FIT_ITER} l JOIN efq q USING (cell))""",
         ),
     ]
 )
@@ -408,6 +407,13 @@ def all_oracles() -> dict[str, str]:
         "with_row_id": "SELECT count(*) AS n, count(*) AS n_ids, 0::BIGINT AS first_id, count(*) - 1 AS last_id, "
         + r6("sum(l_quantity)", "sum_quantity") + " FROM lineitem",
         "write_cells": with_ctes(STORED, f"SELECT iteration, {CELL_COLUMNS} FROM ({FIT_TABLES})"),
+        "resumed_fit": with_ctes(STORED, f"SELECT iteration, {CELL_COLUMNS} FROM ({FIT_TABLES})"),
+        "scan_ids": "SELECT row_number() OVER (ORDER BY event_id) - 1 AS id, event_id, event_type FROM events",
+        "job_labels": with_ctes(
+            LABELS_RUN,
+            "SELECT o.n AS id, b.cell FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS n FROM events) o JOIN ("
+            + FIRST_MAX.format(cell="cell", table="plab") + ") b ON b.id = o.event_id AND b.rn = 1",
+        ),
         "read_trajectory": with_ctes(STORED, f"SELECT iteration, r AS row, {GRID} FROM ({FIT_TABLES}) GROUP BY iteration, r"),
         "trajectory_sample": with_ctes(
             STORED, f"SELECT iteration, cell, {r6('eps', 'bin_epsilon')} FROM ({FIT_TABLES}) WHERE iteration % 2 = 0"

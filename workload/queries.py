@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticemix.cells import CellModel, temperature_at
+from latticemix.constants import EXTERNAL_REPORT, INTERNAL_REPORT
 from latticemix.functions import lattice as L
 from latticemix.functions import reduce as R
 from latticemix.functions import vectors as V
@@ -22,7 +23,7 @@ from latticemix.operators import posterior as P
 from latticemix.operators import prep
 from latticemix.operators import updates as U
 from latticemix.plans.em import em_step, fit
-from latticemix.plans.evaluation import evaluate_external
+from latticemix.plans.evaluation import evaluate_external, run_job
 from latticemix.session import new_path
 from latticemix.sources import delimited as S
 from latticemix.sources import tables as T
@@ -33,7 +34,7 @@ K = ROWS * COLS
 BITS = len(T.EVENT_TYPES)
 EPSILON = 0.25
 MAX_ITER = 10
-FIT_ITER = 4
+FIT_ITER = MAX_ITER
 FIRST_N = 2000
 EMBEDDING_ROWS, EMBEDDING_COLS = 2, 5
 
@@ -174,6 +175,53 @@ def write_cells(spark, sf_dir) -> DataFrame:
     return cell_columns(store.read_cells(spark, _stored_run(spark, sf_dir)), "iteration")
 
 
+def resumed_fit(spark, sf_dir) -> DataFrame:
+    """A run that broke off in its third iteration, with labels but no cells of it, and went on."""
+    points, path = T.event_points(spark, sf_dir), new_path(spark, "run")
+    settings = {"max_iter": FIT_ITER, "update_continuous": True, "label_every": FIT_ITER}
+    fitted = fit(points, start_model(), output_path=path, **settings)
+    broken = new_path(spark, "run")
+    store.write_settings(spark, broken, store.read_settings(spark, path))
+    store.write_cells(spark, broken, 0, start_model())
+    for step in fitted.steps[:2]:
+        store.write_cells(spark, broken, step.iteration, step.cells)
+    store.write_labels(fitted.predict(points), broken, 3)
+    fit(points, output_path=broken, resume=True, **settings)
+    return cell_columns(store.read_cells(spark, broken), "iteration")
+
+
+def _ordered_file(spark, sf_dir, name: str, *values) -> str:
+    """Lines in event order: the files' names follow it, so line numbers do."""
+    lines = _events(spark, sf_dir).orderBy("event_id").select(F.concat_ws(",", *values).alias("value"))
+    return _written(spark, lines, name)
+
+
+def scan_ids(spark, sf_dir) -> DataFrame:
+    """Each line's number beside the key that the line itself holds."""
+    path = _ordered_file(spark, sf_dir, "ordered", "event_id", "event_type")
+    rows = S.read_delimited(spark, path, ",", with_id=True)
+    return rows.select("id", F.col("tokens")[0].cast("long").alias("event_id"), F.col("tokens")[1].alias("event_type"))
+
+
+def job_labels(spark, sf_dir) -> DataFrame:
+    """The whole job on files, from reading to both evaluations; its last labels by line."""
+    bits = prep.one_hot(F.col("event_type"), T.EVENT_TYPES).cast("array<string>")
+    done = run_job(
+        spark,
+        _ordered_file(spark, sf_dir, "continuous", "event_id", "value", F.hour("ts")),
+        _ordered_file(spark, sf_dir, "binary", bits),
+        _ordered_file(spark, sf_dir, "labels", "event_type"),
+        new_path(spark, "job"),
+        max_iter=FIT_ITER,
+        init_cells=start_model(),
+        update_continuous=True,
+        label_every=FIT_ITER,
+    )
+    if done.indices.count() != len(INTERNAL_REPORT) + len(EXTERNAL_REPORT):
+        raise ValueError("the job stores every reported index")
+    return done.labels.select("id", F.col("label").alias("cell"))
+
+
 def read_trajectory(spark, sf_dir) -> DataFrame:
     cells = store.read_cells(spark, _stored_run(spark, sf_dir))
     grid = store.cell_grid(cells, "num_items", COLS)
@@ -490,12 +538,14 @@ def predict(spark, sf_dir) -> DataFrame:
 def embedding_model(spark, sf_dir) -> tuple[DataFrame, CellModel]:
     """64 dimensions, ten cells started at the class means (ten rows)."""
     points = T.embedding_points(spark, sf_dir)
-    centers = I.cluster_centers(points, T.EMBEDDING_WIDTH).orderBy("label").collect()
     k = EMBEDDING_ROWS * EMBEDDING_COLS
+    centers = I.cluster_centers(points, T.EMBEDDING_WIDTH).orderBy("label").limit(k + 1).collect()
+    if len(centers) != k:
+        raise ValueError(f"the grid of {k} cells needs as many classes")
     model = CellModel.initial(
         EMBEDDING_ROWS,
         EMBEDDING_COLS,
-        cont_mean=[r.center for r in centers[:k]],
+        cont_mean=[r.center for r in centers],
         cont_variance=0.02,
     )
     return points, model
@@ -503,7 +553,7 @@ def embedding_model(spark, sf_dir) -> tuple[DataFrame, CellModel]:
 
 def fit_embeddings(spark, sf_dir) -> DataFrame:
     points, model = embedding_model(spark, sf_dir)
-    fitted = fit(points, model, max_iter=2, components="cont", update_continuous=True)
+    fitted = fit(points, model, max_iter=FIT_ITER, components="cont", update_continuous=True)
     labelled = fitted.training_labels(points)
     return labelled.select(F.col("id").alias("vec_id"), "label", "cell")
 
@@ -585,7 +635,7 @@ def model_quality(spark, sf_dir) -> DataFrame:
     """Flagship: label events with the start model and compare with their type."""
     got = P.assign_by_cell(T.event_points(spark, sf_dir), start_model(), START_T)
     predicted = got.select("id", F.col("cell").cast("string").alias("label"))
-    table = X.contingency(X.align_labels(T.event_types(spark, sf_dir), predicted, strict=False))
+    table = X.contingency(X.align_labels(T.event_types(spark, sf_dir), predicted))
     names = ("rand", "precision", "recall", "purity", "nmi")
     return X.external_indices(table, names).select(*[r6(n, n) for n in names])
 
@@ -678,7 +728,7 @@ def internal_indices(spark, sf_dir) -> DataFrame:
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [
         read_delimited, scan_continuous, scan_whitespace, scan_binary, scan_labels, with_row_id,
-        write_cells, read_trajectory, trajectory_sample, write_labels, write_indices,
+        scan_ids, write_cells, resumed_fit, job_labels, read_trajectory, trajectory_sample, write_labels, write_indices,
         column_min_max, vector_width, minmax_normalize, first_n, drop_leading, concat_features, join_features,
         int_to_bits, vector_arithmetic, row_reductions,
         init_cells, grid_distance, neighborhood, annealing_schedule,
