@@ -353,6 +353,8 @@ def _count_successors(docs: DataFrame, trie: Trie, k: int, shards: int, hot: np.
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys, counts = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    if not len(keys):
+        return keys, counts.astype(np.int64)
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))

@@ -61,7 +61,7 @@ def test_a_perfect_hash_finds_its_keys_and_no_others():
         index = line_dedup.build_index(h1, h2, counts)
         assert (line_dedup.probe(index, h1, h2) == counts).all()
         assert not line_dedup.probe(index, h1 + np.uint64(1), h2 + np.uint64(3)).any()
-        assert sum(np.bitwise_count(index["bits"])) == n == len(index["prints"])
+        assert int(np.bitwise_count(index["bits"]).sum()) == n == len(index["prints"])
 
 
 @pytest.mark.parametrize("min_docs", [2, 3])
