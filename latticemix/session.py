@@ -27,9 +27,23 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """An unused path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def remove_intermediate(spark: SparkSession) -> int:
+    """Delete what was written below ``new_path`` so far; call it once results have been read."""
+    paths, _made[:] = list(_made), []
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -24,6 +24,9 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from latticemix.session import remove_intermediate
+
+    remove_intermediate(session)
     session.stop()
 
 
