@@ -43,6 +43,11 @@ MARKS = frozenset(
     "subscribe subscription signup login comment comments reply replies respond disqus copyright legal "
     "pagination pager skip toolbar".split()
 )
+# The words that count on an article itself: readers' comments and teasers are often articles.
+ARTICLE_MARKS = frozenset(
+    "ad ads advert advertisement sponsored promo comment comments reply replies respond related teaser".split()
+)
+COMMENT_MARKS = frozenset("comment comments reply replies respond disqus".split())
 _CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
@@ -61,7 +66,7 @@ _SPACE = re.compile(r"\s+")
 class Node:
     __slots__ = ("tag", "parts", "skipped", "chars", "tags", "link_chars", "link_tags", "density", "total", "parent")
 
-    def __init__(self, tag: str, parent: Node | None, skipped: bool):
+    def __init__(self, tag: str, parent: Node | None, skipped: int):
         self.tag, self.parent, self.skipped = tag, parent, skipped
         self.parts: list[Node | str] = []
 
@@ -69,23 +74,29 @@ class Node:
         return (p for p in self.parts if not isinstance(p, str) and not p.skipped)
 
 
-def _boilerplate(tag: str, attributes: str) -> bool:
+_BY_NAME, _BY_TAG = 1, 2
+
+
+def _boilerplate(tag: str, attributes: str) -> int:
+    """Not (0), by a role, class or id (``_BY_NAME``), or whatever it holds (``_BY_TAG``)."""
     if tag in SKIPPED:
-        return True
-    if not attributes or tag in SECTIONS or tag == "html":
-        return False
+        return _BY_TAG
+    if not attributes or tag in ("html", "body", "main"):
+        return 0
     if _HIDDEN.search(attributes):
-        return True
+        return _BY_TAG
+    marks = ARTICLE_MARKS if tag == "article" else MARKS
     for name, *values in _ATTRIBUTE.findall(attributes):
         value = "".join(values).lower()
-        if value in ROLES if name.lower() == "role" else not MARKS.isdisjoint(_NAMES.findall(value)):
-            return True
-    return False
+        words = _NAMES.findall(value)
+        if value in ROLES if name.lower() == "role" else not marks.isdisjoint(words):
+            return _BY_NAME if COMMENT_MARKS.isdisjoint(words) else _BY_TAG
+    return 0
 
 
 def parse(page: str) -> Node:
     """The tree of a page, with the end tags that HTML lets authors leave out."""
-    root = Node("html", None, False)
+    root = Node("html", None, 0)
     at, node, end = 0, root, len(page)
     while at < end:
         found = _TOKEN.search(page, at)
@@ -105,8 +116,8 @@ def parse(page: str) -> Node:
         if tag in _CLOSES_P or tag in _SAME:
             node = _implied(node, tag)
         child = Node(tag, node, _boilerplate(tag, attributes))
-        if tag == "html" or tag == "body" and node is root:
-            child.skipped = False
+        if tag in ("article", "main") and not child.skipped:
+            _keep_around(node)
         node.parts.append(child)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
@@ -117,6 +128,18 @@ def parse(page: str) -> Node:
     return root
 
 
+def _keep_around(node: Node | None) -> None:
+    """A frame named for its sidebar or header is no boilerplate if it holds the article."""
+    around, walk = [], node
+    while walk is not None:
+        if walk.skipped == _BY_TAG or walk.tag == "article":
+            return
+        around.append(walk)
+        walk = walk.parent
+    for frame in around:
+        frame.skipped = 0
+
+
 def _close(node: Node, tag: str) -> Node:
     """The node after an end tag; one that closes nothing is ignored."""
     found: Node | None = node

@@ -98,6 +98,12 @@ def test_page_text():
         "Title & more\nFirst para with bold text that goes on for a while.\n"
         "Second one, also with some words A.\nitem a\nitem b"
     )
+    framed = (
+        '<body><div class="page has-sidebar"><article class="post"><h1>Head</h1><p>Body text of it.</p></article>'
+        '<section id="comments"><article class="comment"><p>What a long and thoughtful comment that is, indeed.</p>'
+        '</article></section></div></body>'
+    )
+    assert html_text.main_text(framed) == "Head\nBody text of it."
     assert html_text.main_text("plain text  only") == "plain text only"
     assert html_text.main_text("<p>a<p>b") == "a\nb"
     for broken in ("", "<", "<div", "<p", "</p></div>", "<!-- open", "<script>never closed", "<a href='x", "<p>\x00&bogus;"):
