@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import MAX_BROADCAST_VALUES, PAIR_BLOCK_ROWS
@@ -39,20 +39,27 @@ def cluster_sizes(labelled: DataFrame) -> DataFrame:
     return checked(labelled).groupBy("label").agg(F.count("*").alias("n"))
 
 
-def _mean_vector(width: int) -> Column:
-    return F.array(*[F.avg(F.col("x")[j].cast("double")) for j in range(width)])
+def cluster_profile(labelled: DataFrame, width: int) -> DataFrame:
+    """(label, n, center).
+
+    Wide vectors are averaged as rows of (label, position), as one aggregate
+    expression for each element would make a plan that takes longer than the work.
+    """
+    rows = checked(labelled, width)
+    if width <= V.UNROLL_LIMIT:
+        means = [F.avg(F.col("x")[j].cast("double")) for j in range(width)]
+        return rows.groupBy("label").agg(F.count("*").alias("n"), F.array(*means).alias("center"))
+    long = rows.select("label", F.posexplode("x").alias("pos", "v"))
+    means = long.groupBy("label", "pos").agg(F.count("*").alias("n"), F.avg(F.col("v").cast("double")).alias("v"))
+    placed = F.array_sort(F.collect_list(F.struct("pos", "v")))
+    return means.groupBy("label").agg(
+        F.max("n").alias("n"), F.transform(placed, lambda p: p["v"]).alias("center")
+    )
 
 
 def cluster_centers(labelled: DataFrame, width: int) -> DataFrame:
     """(label, center)."""
-    return checked(labelled, width).groupBy("label").agg(_mean_vector(width).alias("center"))
-
-
-def cluster_profile(labelled: DataFrame, width: int) -> DataFrame:
-    """(label, n, center)."""
-    return checked(labelled, width).groupBy("label").agg(
-        F.count("*").alias("n"), _mean_vector(width).alias("center")
-    )
+    return cluster_profile(labelled, width).select("label", "center")
 
 
 def attach_center(rows: DataFrame, profile: DataFrame, width: int) -> DataFrame:

@@ -6,15 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import BITS_JITTER, BITS_STEP, BITS_WIDTH
-from ..functions.vectors import with_width
+from ..functions.vectors import UNROLL_LIMIT, with_width
 
 
 def column_min_max(points: DataFrame, width: int, column: str = "x") -> DataFrame:
-    """One row: arrays ``lo`` and ``hi`` over all rows."""
-    v = F.col(column)
-    return with_width(points, **{column: width}).agg(
-        F.array(*[F.min(v[j]) for j in range(width)]).alias("lo"),
-        F.array(*[F.max(v[j]) for j in range(width)]).alias("hi"),
+    """One row: arrays ``lo`` and ``hi`` over all rows; wide vectors by position."""
+    rows = with_width(points, **{column: width})
+    if width <= UNROLL_LIMIT:
+        v = F.col(column)
+        return rows.agg(
+            F.array(*[F.min(v[j]) for j in range(width)]).alias("lo"),
+            F.array(*[F.max(v[j]) for j in range(width)]).alias("hi"),
+        )
+    bounds = rows.select(F.posexplode(column).alias("pos", "v")).groupBy("pos").agg(
+        F.min("v").alias("lo"), F.max("v").alias("hi")
+    )
+    placed = F.array_sort(F.collect_list(F.struct("pos", "lo", "hi")))
+    return bounds.agg(
+        F.transform(placed, lambda p: p["lo"]).alias("lo"), F.transform(placed, lambda p: p["hi"]).alias("hi")
     )
 
 
@@ -25,11 +34,15 @@ def minmax_normalize(points: DataFrame, width: int, column: str = "x") -> DataFr
     """
     bounds = column_min_max(points, width, column).select(F.struct("lo", "hi").alias("b")).scalar()
     v, lo, hi = F.col(column), F.col("_bounds.lo"), F.col("_bounds.hi")
-    scaled = [F.try_divide(v[j] - lo[j], hi[j] - lo[j]) for j in range(width)]
+    if width <= UNROLL_LIMIT:
+        scaled = F.array(*[F.try_divide(v[j] - lo[j], hi[j] - lo[j]) for j in range(width)])
+    else:
+        minus = lambda a, b: F.zip_with(a, b, lambda u, w: u - w)
+        scaled = F.zip_with(minus(v, lo), minus(hi, lo), lambda u, w: F.try_divide(u, w))
     return (
         with_width(points, **{column: width})
         .withColumn("_bounds", bounds)
-        .withColumn(column, F.array(*scaled))
+        .withColumn(column, scaled)
         .select(*points.columns)
     )
 

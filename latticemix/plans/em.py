@@ -35,6 +35,8 @@ from ..sources import trajectory as store
 HEAD = ("n_cell", "n_winner", "items", "sq_dist", "rows", "log_likelihood")
 
 
+# Tasks of one pass over the rows, a core.
+TASKS_PER_CORE = 4
 # A variance this much smaller than the squared move of its mean is mostly
 # cancellation, and is summed again around the new mean.
 CANCELLATION = 1e-6
@@ -300,7 +302,10 @@ def fit(
     if stored is not None and stored[0] >= max_iter:
         return _finished(spark, output_path, max_iter, settings)
 
-    train = _cached(points, components) if cache else points
+    cache = cache and not points.is_cached
+    held = _cached(points, components) if cache else points
+    # one task sums several splits before its sums are shuffled
+    train = held.coalesce(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
     steps: list[Step] = []
     # what an interrupted run left of an iteration that it did not commit is replaced
     mode = "overwrite" if resume else "errorifexists"
@@ -335,6 +340,6 @@ def fit(
                 store.write_cells(spark, output_path, t, model, mode)
     finally:
         if cache:
-            train.unpersist()
+            held.unpersist()
     return Fitted(model, label_cells, temperature, components, assign, steps)
 

@@ -133,3 +133,18 @@ def test_silhouette_of_offset_rows(spark):
     rows = spark.createDataFrame([(i, v.tolist(), n) for i, (v, n) in enumerate(zip(x, names))], "id bigint, x array<double>, label string")
     moved = rows.withColumn("x", F.transform("x", lambda v: v - 1e7))
     assert I.silhouette(rows).first()[0] == pytest.approx(I.silhouette(moved).first()[0], abs=1e-6)
+
+
+def test_wide_vectors_keep_their_results(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    for width in (128, 129, 1000):
+        x = rng.random((6, width))
+        names = list("aabbcc")
+        rows = spark.createDataFrame([(i, v.tolist(), n) for i, (v, n) in enumerate(zip(x, names))], "id bigint, x array<double>, label string")
+        got = {r.label: (r.n, r.center) for r in I.cluster_profile(rows, width).collect()}
+        for k, name in enumerate("abc"):
+            assert got[name][0] == 2 and got[name][1] == pytest.approx(x[2 * k : 2 * k + 2].mean(axis=0).tolist())
+        scaled = np.array([r.x for r in prep.minmax_normalize(rows, width).orderBy("id").collect()])
+        assert np.allclose(scaled, (x - x.min(0)) / (x.max(0) - x.min(0)))
