@@ -106,6 +106,7 @@ def test_page_text():
     assert html_text.main_text(framed) == "Head\nBody text of it."
     assert html_text.main_text("plain text  only") == "plain text only"
     assert html_text.main_text("<p>a<p>b") == "a\nb"
+    assert html_text.main_text("<p title=it's>one</p><p title=\"a > b\">two's</p>") == "one\ntwo's"
     for broken in ("", "<", "<div", "<p", "</p></div>", "<!-- open", "<script>never closed", "<a href='x", "<p>\x00&bogus;"):
         html_text.main_text(broken)
     assert html_text.main_text("<body><article><p>" + "x " * 50000 + "</article>").startswith("x x")
