@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import new_path
 from . import bpe_chunks, html_text, line_dedup, ngram_lm, packing, quality_knn, quality_rules, simhash, token_files, vector_dedup
+from .oracle import oracle_sql  # noqa: F401  registered beside the queries
 from .shared import text_table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -86,7 +87,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_ngram_lm,
     )
     return {f.__name__: f for f in found}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
