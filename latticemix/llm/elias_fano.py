@@ -35,17 +35,25 @@ def encode(values: np.ndarray) -> np.ndarray:
     return np.concatenate([np.array([n, width, len(low), len(high)], "<u8"), low, high, ones])
 
 
+_ODD, _PAIRS, _NIBBLES, _BYTES, _TOPS = (
+    np.uint64(int(byte * 8, 16)) for byte in ("55", "33", "0f", "01", "80")
+)
+# Place of the nth set bit of a byte.
+_IN_BYTE = np.array(
+    [[([k for k in range(8) if byte >> k & 1] + [0] * 8)[n] for n in range(8)] for byte in range(256)], np.uint8
+)
+
+
 def _nth_set(words: np.ndarray, nth: np.ndarray) -> np.ndarray:
-    """Place of the nth set bit (from 0) of each word."""
-    words, nth, place = words.copy(), nth.astype(np.uint64), np.zeros(len(words), np.uint64)
-    for half in (32, 16, 8, 4, 2, 1):
-        below = np.bitwise_count(words & np.uint64((1 << half) - 1)).astype(np.uint64)
-        up = nth >= below
-        nth = np.where(up, nth - below, nth)
-        shift = np.where(up, np.uint64(half), np.uint64(0))
-        words >>= shift
-        place += shift
-    return place.astype(np.int64)
+    """Place of the nth set bit (from 0) of each word: its byte from running counts, then a table."""
+    nth = nth.astype(np.uint64)
+    counts = words - ((words >> _ONE) & _ODD)
+    counts = (counts & _PAIRS) + ((counts >> np.uint64(2)) & _PAIRS)
+    running = ((counts + (counts >> np.uint64(4))) & _NIBBLES) * _BYTES
+    shift = np.bitwise_count(((nth * _BYTES) | _TOPS) - running & _TOPS).astype(np.uint64) * np.uint64(8)
+    before = ((running << np.uint64(8)) >> shift) & np.uint64(255)
+    byte = (words >> shift) & np.uint64(255)
+    return shift.astype(np.int64) + _IN_BYTE[byte, nth - before]
 
 
 class EliasFano:
@@ -85,10 +93,18 @@ class EliasFano:
         bucket = x >> np.uint64(self.width)
         inside = bucket < np.uint64(self.buckets)
         where = np.where(inside, bucket, np.uint64(0)).astype(np.int64)
-        end = self._select(self.zeros, True, where) - where  # values up to this bucket
-        start = np.zeros(len(x), np.int64)
+        # the bucket's ones follow the zero that ends the bucket before it
+        begin = np.zeros(len(x), np.int64)
         later = where > 0
-        start[later] = self._select(self.zeros, True, where[later] - 1) - (where[later] - 1)
+        begin[later] = self._select(self.zeros, True, where[later] - 1) + 1
+        start = begin - where
+        word, shift = begin >> 6, (begin & 63).astype(np.uint64)
+        after = self.high[np.minimum(word + 1, len(self.high) - 1)]
+        run = (self.high[word] >> shift) | ((after << (np.uint64(63) - shift)) << _ONE)
+        held = np.bitwise_count(run & ~(run + _ONE)).astype(np.int64)  # ones below the next zero
+        end = start + held
+        long = np.flatnonzero((run == ~np.uint64(0)) | (word + 1 >= len(self.high)))
+        end[long] = self._select(self.zeros, True, where[long]) - where[long]
         lo, hi = np.where(inside, start, self.n), np.where(inside, end, self.n)
         target = x & np.uint64((1 << self.width) - 1)
         stop = hi.copy()

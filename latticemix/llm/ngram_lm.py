@@ -104,6 +104,8 @@ def _shard_of(context: np.ndarray, word: np.ndarray, contexts: int, shards: int,
 
 
 def _by_shard(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    if shards <= 1 << 16:
+        shard = shard.astype(np.uint16)  # sorted by radix
     order = np.argsort(shard, kind="stable")
     edges = np.searchsorted(shard[order], np.arange(shards + 1))
     for s in np.flatnonzero(np.diff(edges)).tolist():
@@ -124,31 +126,48 @@ def word_nodes(level: Level, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return nodes, counts
 
 
-def successor_nodes(trie: Trie, k: int, context: np.ndarray, word: np.ndarray):
-    """Of level ``k`` (from 1): node (-1: none) and discounted probability of the word, successors of the context."""
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First positions of the runs of equal values, and each element's run."""
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def successor_nodes(trie: Trie, k: int, context: np.ndarray, word: np.ndarray, nodes_only: bool = False):
+    """Of level ``k`` (from 1), for pairs in ascending order: node of the word (-1: none) and its
+    discounted probability, successors and count of the context."""
     level, v = trie.levels[k], trie.vocabulary
     nodes, alpha = np.full(len(context), -1, np.int64), np.zeros(len(context))
-    follow = np.zeros(len(context), np.int64)
+    follow, seen = np.zeros((2, len(context)), np.int64)
     shards, hot = len(level.bases) - 1, np.array(sorted(level.hot), np.int64)
     shard = _shard_of(context, word, level.contexts, shards, hot)
     for s, mine in _by_shard(shard, shards):
         if s not in level.shards:
             continue
-        place, known = _sequence(level.folder, s, "contexts").successor(context[mine])
-        mine, place = mine[known], place[known]
-        pointers = _sequence(level.folder, s, "pointers")
-        ends = np.unique(place)
-        degree = pointers.get(ends + 1).astype(np.int64) - pointers.get(ends).astype(np.int64)
-        follow[mine] = degree[np.searchsorted(ends, place)]
+        first, run = _runs(context[mine])  # each context is looked up once
+        place, known = _sequence(level.folder, s, "contexts").successor(context[mine[first]])
+        if not nodes_only:
+            held = np.flatnonzero(known)
+            pointers = _sequence(level.folder, s, "pointers")
+            degree = np.zeros(len(first), np.int64)
+            degree[held] = pointers.get(place[held] + 1).astype(np.int64) - pointers.get(place[held]).astype(np.int64)
+            follow[mine] = degree[run]
+        inside = known[run]
+        mine, place = mine[inside], place[run[inside]]
         target = place.astype(np.uint64) * np.uint64(v) + word[mine].astype(np.uint64)
         at, found = _sequence(level.folder, s, "successors").successor(target)
         mine, at = mine[found], at[found]
         nodes[mine] = level.bases[s] + at
-        alpha[mine] = 10.0 ** (_array(level.folder, s, "alpha", "<u2")[at] * (-_FLOOR / _STEPS))
+        if not nodes_only:
+            alpha[mine] = 10.0 ** (_array(level.folder, s, "alpha", "<u2")[at] * (-_FLOOR / _STEPS))
+    if nodes_only:
+        return nodes, alpha, follow, seen
     if len(hot):
         dealt = np.isin(context, hot)
         follow[dealt] = [level.hot[c] for c in context[dealt].tolist()]
-    return nodes, alpha, follow
+    first, run = _runs(context)
+    seen = node_counts(trie.levels[k - 1], context[first])[run]
+    return nodes, alpha, follow, seen
 
 
 def node_counts(level: Level, nodes: np.ndarray) -> np.ndarray:
@@ -209,7 +228,7 @@ class _WordCache:
             self.nodes, self.counts = self.nodes[:0], self.counts[:0]
             new = set(words)
         if new:
-            new = sorted(new)
+            new = list(new)
             hashes = np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))
             nodes, counts = word_nodes(self.level, hashes)
             self.slots.update(zip(new, range(len(self.nodes), len(self.nodes) + len(new))))
@@ -218,8 +237,9 @@ class _WordCache:
         return self.nodes[slots], self.counts[slots]
 
 
-def _walk(trie: Trie, docs: list[list[bytes]]):
-    """Per token of some documents: counts, and per level the contexts and nodes.
+def _walk(trie: Trie, docs: list[list[bytes]], nodes_only: bool = False):
+    """Per token of some documents: first counts, nodes and contexts of words, then what
+    ``successor_nodes`` has for each further level.
 
     The end token is also the context of a document's first word.
     """
@@ -233,19 +253,18 @@ def _walk(trie: Trie, docs: list[list[bytes]]):
     word = nodes
     for k in range(1, len(trie.levels)):
         found, alpha = np.full(len(word), -1, np.int64), np.zeros(len(word))
-        follow = np.zeros(len(word), np.int64)
-        known = np.flatnonzero((context >= 0) & (word >= 0))
-        # equal pairs are looked up once; ones with an unknown word still need the context's successors
-        pairs = np.column_stack([context[context >= 0], np.maximum(word[context >= 0], 0)])
-        keys = pairs[:, 0].astype(np.uint64) * np.uint64(trie.vocabulary) + pairs[:, 1].astype(np.uint64)
-        _, first, back = np.unique(keys, return_index=True, return_inverse=True)
-        got = successor_nodes(trie, k, pairs[first, 0], pairs[first, 1])
-        for out, values in zip((found, alpha, follow), got):
-            out[context >= 0] = values[back]
-        unknown = np.ones(len(word), bool)
-        unknown[known] = False
+        follow, seen = np.zeros((2, len(word)), np.int64)
+        # equal pairs are looked up once; one with an unknown word still needs the context's successors
+        asked = (context >= 0) & (word >= 0) if nodes_only else context >= 0
+        keys = context[asked].astype(np.uint64) * np.uint64(trie.vocabulary) + np.maximum(word[asked], 0).astype(np.uint64)
+        keys, back = np.unique(keys, return_inverse=True)
+        pairs = (part.astype(np.int64) for part in np.divmod(keys, np.uint64(trie.vocabulary)))
+        got = successor_nodes(trie, k, *pairs, nodes_only)
+        for out, values in zip((found, alpha, follow, seen), got):
+            out[asked] = values[back]
+        unknown = word < 0
         found[unknown], alpha[unknown] = -1, 0.0
-        yield k, context, found, alpha, follow
+        yield found, alpha, follow, seen
         context = np.empty_like(found)
         context[1:], context[starts] = found[:-1], -1
 
@@ -332,9 +351,9 @@ def _count_successors(docs: DataFrame, trie: Trie, k: int, shards: int, hot: np.
         held, n = [], 0
         for batch in batches:
             for some in _slices(_text_column(batch, 0)):
-                steps = _walk(trie, some)
+                steps = _walk(trie, some, nodes_only=True)
                 _, _, _, word, context = next(steps)
-                for _, _, found, _, _ in steps:
+                for found, *_ in steps:
                     starts = np.cumsum([0, *map(len, some[:-1])])
                     context = np.empty_like(found)
                     context[1:], context[starts] = found[:-1], -1
@@ -373,7 +392,8 @@ def _build_successors(packed: DataFrame, trie: Trie, k: int, shards: int, hot: n
         ]
         keys, counts = _summed(parts)
         context = (keys // np.uint64(v)).astype(np.int64)
-        places, first, place = np.unique(context, return_index=True, return_inverse=True)
+        first, place = _runs(context)
+        places = context[first]
         target = place.astype(np.uint64) * np.uint64(v) + keys % np.uint64(v)
         share = np.maximum(counts - discount, 0) / node_counts(before, places)[place]
         alpha = np.round(np.clip(-np.log10(np.maximum(share, 1e-300)), 0, _FLOOR) * (_STEPS / _FLOOR))
@@ -455,11 +475,9 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
                 starts, sizes, counts, nodes, context = next(steps)
                 base = np.log10((counts + 0.5) / below)
                 p = (counts + 0.5) / below
-                for k, context, found, alpha, follow in steps:
-                    used = np.flatnonzero((context >= 0) & (follow > 0))
-                    distinct, back = np.unique(context[used], return_inverse=True)
-                    seen = node_counts(model.levels[k - 1], distinct)[back]
-                    p[used] = alpha[used] + model.discount * follow[used] / seen * p[used]
+                for _, alpha, follow, seen in steps:
+                    used = np.flatnonzero(follow)
+                    p[used] = alpha[used] + model.discount * follow[used] / seen[used] * p[used]
                 part = batch.slice(at, len(some))
                 at += len(some)
                 sums = [np.add.reduceat(x, starts) for x in (counts > 0).astype(np.int64)[None]]
