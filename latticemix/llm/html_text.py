@@ -58,7 +58,8 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_PAIR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]+)\s*(!?)", re.I)
 _NAMES = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -77,13 +78,29 @@ class Node:
 _BY_NAME, _BY_TAG = 1, 2
 
 
+def _attributes(text: str) -> dict[str, str]:
+    """Values by name in lower case; the first of a name counts, one without a value is empty."""
+    found: dict[str, str] = {}
+    for name, *values in _PAIR.findall(text):
+        found.setdefault(name.lower(), "".join(values))
+    return found
+
+
+def _hidden(attributes: dict[str, str]) -> bool:
+    if "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true":
+        return True
+    # the last declaration counts, or the last important one
+    shown = _DISPLAY.findall(attributes.get("style", ""))
+    return bool(shown) and ([d for d in shown if d[1]] or shown)[-1][0].lower() == "none"
+
+
 def _boilerplate(tag: str, attributes: str) -> int:
     """Not (0), by a role, class or id (``_BY_NAME``), or whatever it holds (``_BY_TAG``)."""
     if tag in SKIPPED:
         return _BY_TAG
     if not attributes or tag in ("html", "body", "main"):
         return 0
-    if _HIDDEN.search(attributes):
+    if _hidden(_attributes(attributes)):
         return _BY_TAG
     marks = ARTICLE_MARKS if tag == "article" else MARKS
     for name, *values in _ATTRIBUTE.findall(attributes):

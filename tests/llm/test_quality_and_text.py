@@ -113,6 +113,25 @@ def test_page_text():
     assert html_text.main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
 
+@pytest.mark.parametrize(
+    "attribute",
+    ['class="overflow-hidden"', 'style="overflow:hidden"', 'aria-hidden="false"', 'data-hidden-sm="x"', "data-aria-hidden=true",
+     'title="hidden"', 'data-style="display:none"', 'title="display: none"', 'style="display:none;display:block"', "class=hidden-xs"],
+)
+def test_attributes_that_hide_nothing(attribute):
+    for page in (f"<div {attribute}><article><p>Body text.</p></article></div>", f"<article {attribute}><p>Body text.</p></article>"):
+        assert html_text.main_text(f"<body>{page}</body>") == "Body text."
+
+
+@pytest.mark.parametrize(
+    "attribute",
+    ["hidden", "HIDDEN", 'hidden=""', 'id="x" hidden class="y"', "aria-hidden=true", 'aria-hidden="TRUE"', "style='color:red; Display : none'",
+     'style="display:none !important;display:block"'],
+)
+def test_attributes_that_hide(attribute):
+    assert html_text.main_text(f"<body><p>Body text.</p><div {attribute}>not to be seen</div></body>") == "Body text."
+
+
 def test_page_query_gives_the_articles(spark, sf_dir):
     import html
     import re
