@@ -2,7 +2,8 @@
 
 A page becomes a tree; what never belongs to an article (scripts, menus,
 headers, footers, sidebars, notices, adverts, forms, reader comments) is cut by
-element, role and class name.  Every other node has its characters per tag,
+element, role and class name; if cuts by name leave no text, the outermost of them
+are taken back.  Every other node has its characters per tag,
 adjusted by the share of its link text; a node's density sum is the sum of its
 children's densities.  The subtree with the largest sum is chosen.  The least
 density on the path from it to the body is the threshold: the chosen node
@@ -57,10 +58,11 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?=[!?])[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PAIR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]+)\s*(!?)", re.I)
 _NAMES = re.compile(r"[a-z]+")
+# What follows says what a node has beside or within it: has-sidebar, page-no-header.
+_BESIDE = re.compile(r"(?<![a-z])(?:has|no|with|without)[-_]\S*")
 _SPACE = re.compile(r"\s+")
 
 
@@ -100,13 +102,14 @@ def _boilerplate(tag: str, attributes: str) -> int:
         return _BY_TAG
     if not attributes or tag in ("html", "body", "main"):
         return 0
-    if _hidden(_attributes(attributes)):
+    values = _attributes(attributes)
+    if _hidden(values):
         return _BY_TAG
     marks = ARTICLE_MARKS if tag == "article" else MARKS
-    for name, *values in _ATTRIBUTE.findall(attributes):
-        value = "".join(values).lower()
-        words = _NAMES.findall(value)
-        if value in ROLES if name.lower() == "role" else not marks.isdisjoint(words):
+    for name in [n for n in values if n in ("class", "id", "role")]:
+        value = values[name].strip().lower()
+        words = _NAMES.findall(_BESIDE.sub(" ", value))
+        if value in ROLES if name == "role" else not marks.isdisjoint(words):
             return _BY_NAME if COMMENT_MARKS.isdisjoint(words) else _BY_TAG
     return 0
 
@@ -277,10 +280,36 @@ def blocks(node: Node) -> list[str]:
     return out
 
 
+def _undo_names(root: Node) -> None:
+    """Take back cuts by name, the outermost first, until there is text; cuts within those stay."""
+    level, held = [root], False
+    while level and not held:
+        inner = []
+        for node in level:
+            node.skipped = 0
+            stack = [node]
+            while stack:
+                for part in stack.pop().parts:
+                    if isinstance(part, str):
+                        held = held or bool(html.unescape(part).strip())
+                    elif not part.skipped:
+                        stack.append(part)
+                    elif part.skipped == _BY_NAME:
+                        inner.append(part)
+        level = inner
+
+
 def main_text(page: str) -> str:
     """The article of a page: its blocks, one per line; empty if there is none."""
-    node = main_node(parse(page))
-    return "" if node is None else "\n".join(blocks(node))
+    root = parse(page)
+    for again in (False, True):
+        if again:
+            _undo_names(root)
+        node = main_node(root)
+        text = "" if node is None else "\n".join(blocks(node))
+        if text:
+            break
+    return text
 
 
 def extract(pages: DataFrame) -> DataFrame:

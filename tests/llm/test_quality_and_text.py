@@ -132,6 +132,27 @@ def test_attributes_that_hide(attribute):
     assert html_text.main_text(f"<body><p>Body text.</p><div {attribute}>not to be seen</div></body>") == "Body text."
 
 
+@pytest.mark.parametrize(
+    "attribute",
+    ['class="content has-sidebar"', "class=no-sidebar", 'class="page with-header"', 'id="page-header-fixed"', 'class="layout-no-sidebar"',
+     'data-id="header"', "data-class='sidebar'", 'data-role="navigation"', 'class="post no-comments"', 'id="page-header" role="banner"'],
+)
+def test_frames_whose_name_has_a_mark(attribute):
+    """An article in plain nodes within such a frame, whose own menus and adverts still go."""
+    page = (
+        f'<body><nav>Home</nav><div {attribute}><div class="ad">Buy now</div>'
+        '<div><p>Body text of it.</p><p>And more of it.</p></div></div><footer>end</footer></body>'
+    )
+    assert html_text.main_text(page) == "Body text of it.\nAnd more of it."
+
+
+def test_marks_still_cut():
+    page = '<body><div class="content has-sidebar"><p>Body text of it.</p></div><div {}>Something else.</div></body>'
+    for attribute in ('class="sidebar"', 'id="sidebar-with-ads"', "role=navigation", 'class="x comments"', "CLASS=Header"):
+        assert html_text.main_text(page.format(attribute)) == "Body text of it."
+    assert html_text.main_text('<body><div class="header">' * 2000 + "deep" + "</div>" * 2000) == "deep"
+
+
 def test_page_query_gives_the_articles(spark, sf_dir):
     import html
     import re
