@@ -1,6 +1,7 @@
 """Each stage of the pipeline against a brute-force version, on its own input."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 import reference as R
@@ -75,3 +76,32 @@ def test_run_is_its_stages(spark, sf_dir, stages):
     got = corpus_pipeline.run(spark, sf_dir)
     key = lambda rows: sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in rows)
     assert key(got.collect()) == key(stages[1]["packing"][1])
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Odd texts and columns with the names that operators and stages use for themselves."""
+    docs = R.edge_documents(spark)
+    for name in ("N_Dropped", "__line_hashes", "__row", "__kept", "n", "column_0", "digest", "fingerprint"):
+        docs = docs.withColumn(name, F.lit("taken"))
+    return stored(docs.withColumn("n_chars", F.char_length("text")), "odd")
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES, ids=lambda x: x if isinstance(x, str) else "")
+def test_stages_take_odd_texts_clashing_names_and_empty_tables(spark, sf_dir, odd, name, stage):
+    last = name == corpus_pipeline.STAGES[-1][0]
+    made = stored(stage(spark, odd, sf_dir), "odd-stage")
+    assert last or made.columns == odd.columns
+    if not last:
+        taken = [c for c in odd.columns if c not in ("doc_id", "text", "n_chars")]
+        assert all(r[c] == "taken" for r in made.collect() for c in taken)
+    empty = stage(spark, odd.limit(0), sf_dir)
+    assert empty.count() == 0 and (last or empty.columns == odd.columns)
+
+
+def test_line_stage_of_odd_texts(spark, sf_dir, odd):
+    docs = odd.union(odd.filter("doc_id = 3").crossJoin(spark.range(7).select()))
+    made = corpus_pipeline.drop_lines(spark, docs, sf_dir).collect()
+    want = R.lines([r.text for r in docs.collect()], 10)
+    assert sorted((r.text, r.n_chars) for r in made) == sorted((t, len(t)) for _, _, t in want)
+    assert sum(n for _, n, _ in want) >= 10
