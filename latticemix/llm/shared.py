@@ -9,6 +9,7 @@ from urllib.parse import urlparse
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import new_path
 
@@ -24,6 +25,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` as a stored table with one more column, a number for each row, and that column's name."""
+    row = "__row"
+    while row in {c.lower() for c in docs.columns}:
+        row += "_"
+    # the numbers hold once they are stored
+    return stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
 def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

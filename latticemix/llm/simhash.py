@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, forest
-from .shared import stored
+from .shared import numbered, stored
 
 RADIUS = 2
 SHINGLE = 3
@@ -159,9 +159,15 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 
 
 def keep_first(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: the one with the least ``doc_id``."""
-    found = near_duplicates(docs, radius, shingle)
-    first = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    unnamed = docs.filter("doc_id is null")
-    kept = docs.join(first, docs["doc_id"] == first["__kept"], "left_semi")
-    return kept.unionByName(unnamed)
+    """``docs`` with one row of each near-duplicate group: the one with the least ``doc_id``.
+
+    A row without a ``doc_id`` stays only if its group has none with one; of rows
+    with equal ids, or of a group without ids, one stays.
+    """
+    rows, row = numbered(docs)
+    found = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), radius, shingle)
+    found = found.select(F.col("doc_id").alias(row), "component_id")
+    ids = rows.select(row, F.col("doc_id").cast("long").alias("id")).join(found, row)
+    best = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", row)).alias("best")
+    kept = stored(ids.groupBy("component_id").agg(best).select(f"best.{row}"), "kept")
+    return rows.join(kept, row, "left_semi").drop(row)
