@@ -1,13 +1,5 @@
-import os
-import sys
-
 import pytest
 
-HERE = os.path.dirname(os.path.abspath(__file__))
-for folder in (HERE, os.path.dirname(HERE), os.path.dirname(os.path.dirname(HERE))):
-    if folder not in sys.path:
-        sys.path.insert(0, folder)
-
 
 @pytest.fixture(scope="session")
 def documents(spark, sf_dir):
