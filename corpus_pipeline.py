@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticemix.llm import line_dedup, near_copies, packing, quality_knn, quality_rules
+from latticemix.llm import line_dedup, packing, quality_knn, quality_rules, simhash
 from latticemix.llm.shared import stored, text_table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -38,8 +38,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group that five-word Jaccard of 0.8 or more links, the one with the least id."""
-    return near_copies.keep_first(docs)
+    """Keep the document with the least id of each group whose fingerprints link at two bits or fewer."""
+    return simhash.keep_first(docs, radius=2, shingle=3)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

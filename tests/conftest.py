@@ -6,8 +6,6 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -32,6 +30,8 @@ def spark():
 
 @pytest.fixture(scope="session")
 def sf_dir():
+    from fixtures import SF_DIR
+
     if not os.path.isdir(SF_DIR):
         pytest.skip(f"{SF_DIR} not found")
     return SF_DIR

@@ -1,9 +1,13 @@
 """Small inputs with known results."""
 
+import os
+
 import numpy as np
 
 from latticemix.cells import CellModel
 
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 X = [[0.0, 0.0], [0.1, 0.2], [0.2, 0.1], [0.8, 0.9], [0.9, 0.8], [1.0, 1.0], [0.1, 0.9], [0.9, 0.1]]
 B = [[0, 0, 0], [0, 0, 1], [0, 0, 0], [1, 1, 1], [1, 1, 0], [1, 1, 1], [0, 1, 1], [1, 0, 0]]
 TRUE = list("aaabbbcc")

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
-from conftest import SF_DIR
+from fixtures import SF_DIR
 from workload.queries import all_queries
 
 TABLES = (
