@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import arrow_schema, stored, texts_of
+from .shared import arrow_schema, stored
 from .token_units import encoder
 
 WINDOW = 2048
@@ -112,16 +112,16 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         enc, ranks = encoder(tokenizer), Counter()
+        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out = []
-            for key, ids in zip(batch.column(0).to_pylist(), enc.encode(texts_of(batch.column(1)))):
-                ids = np.append(ids, enc.dtype.type(end_id)).astype("<u4")
-                for start in range(0, len(ids), window):
-                    piece = ids[start : start + window]
-                    data = piece.tobytes()
-                    row = (part, ranks[len(piece)], key, start, len(piece), zlib.crc32(data), len(ids))
-                    out.append((*row, data) if with_ids else row)
-                    ranks[len(piece)] += 1
+            for key, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1))):
+                data, n = ids.astype("<u4").tobytes() + end, len(ids) + 1
+                for start in range(0, n, window):
+                    length, piece = min(window, n - start), data[4 * start : 4 * (start + window)]
+                    row = (part, ranks[length], key, start, length, zlib.crc32(piece), n)
+                    out.append((*row, piece) if with_ids else row)
+                    ranks[length] += 1
             columns = list(zip(*out)) or [[]] * (8 if with_ids else 7)
             types = [pa.int64()] * 7 + [pa.binary()] * with_ids
             names = [c.split()[0] for c in schema.split(", ")]

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import map_file, read_bytes, texts_of, write_file
+from .shared import map_file, read_bytes, write_file
 from .token_units import encoder
 
 COUNTS = "part long, n_docs long, n_ids long, dtype string"
@@ -37,15 +37,17 @@ def write_token_files(
 
     ``docs`` has ``doc_id`` (long) and ``text``; other columns are ignored.  A
     null text is empty and yields the end id alone; null keys come first;
-    repeated keys and rows are all kept, ties in order of their texts.  An empty
+    repeated keys and rows are all kept, ties in order of their texts' hashes.  An empty
     table gives a manifest without ids.  The driver gets one row of counts per
     part and computes the bases from them.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    spread = (
-        rows.repartitionByRange(partitions, "doc_id") if partitions else rows.repartitionByRange("doc_id")
-    )
-    ordered = spread.sortWithinPartitions("doc_id", "text")
+    # rows of one key, or of none, need not share a part: their texts' hashes, then their places, divide them
+    place = [F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("place")]
+    order = ["doc_id", "hash", "place"]
+    keyed = rows.select("doc_id", "text", *place)
+    spread = keyed.repartitionByRange(partitions, *order) if partitions else keyed.repartitionByRange(*order)
+    ordered = spread.sortWithinPartitions(*order).select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -54,7 +56,7 @@ def write_token_files(
         ids, sizes, keys = [], [], []
         for batch in batches:
             keys.append(batch.column(0))
-            for one in enc.encode(texts_of(batch.column(1))):
+            for one in enc.encode(batch.column(1)):
                 ids += (one.tobytes(), end)
                 sizes.append(len(one) + 1)
         offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.uint64)]).astype("<u8")

@@ -1,114 +1,162 @@
-"""Byte-level BPE of whole texts, encoding each distinct unit once per worker.
-
-The byte-level pattern always starts a new piece at a space that a non-space
-character follows.  A text can therefore be cut there, and the ids of the text
-are the ids of its units in order.  Pieces of a unit of Latin
-letters and ASCII marks go to the library's model as they are; any other unit
-goes through the whole library.  Texts that hold the string of an added token
-are encoded whole, as that string is matched before the pattern.
+"""Ids of whole texts by a byte-level BPE file, as the tokenizers library gives them.
+
+The library is slow on whole texts, so those of well-known letters and marks go
+to an engine made from the file's own vocabulary and pattern, where ranks of
+tokens stand for ranks of merges.  That needs a file whose ids rise with its
+merges and that splits by the byte-level pattern; it is looked at when it is
+loaded.  Any other text (rare scripts, on which pattern engines may differ by
+their Unicode tables, or the string of an added token) and any other byte-level
+file goes through the library itself.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .shared import byte_letters
 
-# Units kept per worker; a full cache is emptied and filled again.
-CACHE_UNITS = 800_000
-# Characters after which the cache's size is looked at.
-SLICE_CHARS = 2_000_000
-_CUT = re.compile(r" (?=\S)")
-# spaces at which a text can't be cut
-_UNCUT = re.compile(r" (?!\S)")
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
-_encoders: dict[str, UnitEncoder] = {}
-
-
-def encoder(path: str) -> UnitEncoder:
-    """The worker's encoder for a tokenizer file; its cache outlives tasks."""
-    if path not in _encoders:
-        _encoders[path] = UnitEncoder(path)
-    return _encoders[path]
-
-
-class _Units(dict):
-    """Ids of units without their leading space, filled on demand."""
-
-    def __init__(self, owner: UnitEncoder):
-        super().__init__()
-        self.owner = owner
-
-    def __missing__(self, unit: str) -> bytes:
-        ids = self[unit] = self.owner.unit(unit)
-        return ids
-
-
-class UnitEncoder:
-    def __init__(self, path: str, cache_units: int = CACHE_UNITS):
+# Bytes of text taken at once.
+SLICE_BYTES = 2_000_000
+# The pattern of byte-level pre-tokenizers (fixed value of that format).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Characters whose classes have long been fixed: Latin, Cyrillic, kana, common ideographs, Hangul, usual marks.
+KNOWN = r"\x00-ɏЀ-ҁҊ-ӿ‐-‧‰-⁞€ぁ-ゖァ-ヺ一-龥가-힣"
+_CUT = re.compile(r"(?<! ) (?=\S)")
+# a space at which a text isn't cut, as wide as the white space of any pattern
+_UNCUT = r" (?:[\s\x0b\x1c-\x1f\x{85}\p{Z}]|$)"
+_encoders: dict[tuple[str, bool], ByteEncoder] = {}
+
+
+def encoder(path: str, plain_specials: bool = False) -> ByteEncoder:
+    """The worker's encoder for a tokenizer file."""
+    if (path, plain_specials) not in _encoders:
+        _encoders[path, plain_specials] = ByteEncoder(path, plain_specials)
+    return _encoders[path, plain_specials]
+
+
+def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts): consecutive parts of about ``size`` bytes, one text at least; null counts as empty."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        done = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, done + size, "right")))
+        yield at, texts.slice(at, stop - at)
+        at = stop
+
+
+def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` with these starts and lengths, one after the other."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
+
+
+def cut_texts(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct units, the place among them of every unit in text order, and each text's number of units.
+
+    A text is its units joined by single spaces.  It has one unit at least, the
+    first of which may be empty; any other follows a space that has no space
+    before it and no white space behind it.
+    """
+    odd = pc.match_substring_regex(texts, _UNCUT)
+    plain = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
+    if not pc.any(odd).as_py():
+        lists = plain
+    else:
+        cut = pa.array([_CUT.split(t) for t in texts.filter(odd).to_pylist()], plain.type)
+        lists = pa.concat_arrays([plain, cut])
+        odd = odd.to_numpy(zero_copy_only=False)
+        place = np.empty(len(texts), np.int64)
+        place[np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])] = np.arange(len(texts))
+        lists = lists.take(pa.array(place))
+    units = lists.flatten().dictionary_encode()
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    return units.dictionary, units.indices.to_numpy(zero_copy_only=False).astype(np.int64), sizes
+
+
+class ByteEncoder:
+    """Ids of a byte-level BPE file; other kinds of tokenizers are refused.
+
+    With ``plain_specials`` the strings of special tokens are ordinary text.
+    """
+
+    def __init__(self, path: str, plain_specials: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model = self.tokenizer.model
+        self.tokenizer.encode_special_tokens = plain_specials
+        parts = json.loads(self.tokenizer.to_str())
+        split, model = parts["pre_tokenizer"] or {}, parts["model"]
+        usual = split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
+        if not usual or parts["normalizer"] or model["type"] != "BPE":
+            raise ValueError(f"{path}: not a plain byte-level BPE")
+        vocab = model["vocab"]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.letters = byte_letters()
-        self.cache_units = cache_units
-        self.units, self.words, self.marks = _Units(self), {}, {}
-
-    def whole(self, text: str) -> bytes:
-        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        level = piece.encode().decode("latin-1").translate(self.letters)
-        return self._bytes([t.id for t in self.model.tokenize(level)])
-
-    def unit(self, unit: str) -> bytes:
-        """Ids of a space and ``unit``."""
-        parts = [_PLAIN.fullmatch(p) for p in unit.split("\n")]
-        if not all(parts) or not all(p[0] for p in parts) or not parts[0][1]:
-            return self.whole(" " + unit)
-        out = [self._word(" " + parts[0][1]), self._mark(parts[0][2])]
-        for part in parts[1:]:  # a line break between two others is a piece of its own
-            out += (self._mark("\n"), self._word(part[1]), self._mark(part[2]))
-        return b"".join(out)
-
-    def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            ids = self.words[word] = self._piece(word) if word else b""
-        return ids
-
-    def _mark(self, mark: str) -> bytes:
-        ids = self.marks.get(mark)
-        if ids is None:
-            ids = self.marks[mark] = self._piece(mark) if mark else b""
-        return ids
-
-    def _text(self, text: str) -> bytes:
-        if any(a in text for a in self.added):
-            return self.whole(text)
-        units = (_CUT.split if _UNCUT.search(text) else lambda t: t.split(" "))(text)
-        return self.whole(units[0]) + b"".join(map(self.units.__getitem__, units[1:]))
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """The ids of each text, as the library gives them for the whole text."""
-        chars = 0
-        for text in texts:
-            chars += len(text)
-            if chars > SLICE_CHARS:
-                chars = 0
-                for cache in (self.units, self.words, self.marks):
-                    if len(cache) > self.cache_units:
-                        cache.clear()
-            yield np.frombuffer(self._text(text), self.dtype)
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = [t.content for t in added.values() if not (plain_specials and t.special)]
+        letters = {c: b for b, c in byte_letters().items()}
+        self.bytes_of = [b""] * (1 + max(*vocab.values(), *added, 0))
+        for token, i in vocab.items():
+            if i not in added:
+                self.bytes_of[i] = bytes(letters[c] for c in token)
+        self.width = np.array([len(b) for b in self.bytes_of])
+        made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        singles = sum(len(b) == 1 for b in self.bytes_of)
+        self.ranked = (
+            singles == 256
+            and all(a < b for a, b in zip(made, made[1:]))
+            and len(made) + 256 == len(vocab) - sum(i in added for i in vocab.values())
+            and not any(model.get(k) for k in ("dropout", "ignore_merges", "byte_fallback", "end_of_word_suffix"))
+        )
+        self.ranked = self.ranked and not model.get("continuing_subword_prefix")
+        if self.ranked:
+            import tiktoken
+
+            ranks = {b: i for i, b in enumerate(self.bytes_of) if b}
+            self.engine = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def _library(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+
+    def _engine(self, text: str) -> np.ndarray:
+        return np.frombuffer(array(self.dtype.char, self.engine.encode_ordinary(text)), self.dtype)
+
+    def _others(self, texts: pa.Array) -> np.ndarray:
+        """Which texts only the library may encode."""
+        found = pc.match_substring_regex(texts, f"[^{KNOWN}]").to_numpy(zero_copy_only=False)
+        for name in self.added:
+            found = found | pc.match_substring(texts, name).to_numpy(zero_copy_only=False)
+        return found
+
+    def encode(self, texts: list[str] | pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text; null counts as empty."""
+        if isinstance(texts, list):
+            texts = pa.array(texts, pa.string())
+        for _, part in slices(texts):
+            other = self._others(part)
+            if not self.ranked:
+                other = np.ones(len(part), bool)
+            for text, by_library in zip(part.to_pylist(), other.tolist()):
+                yield self._library(text) if by_library else self._engine(text)
+
+    def encode_units(self, units: list[str], joined: int = 256) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units of ``cut_texts``, each behind a space, and each unit's number of ids."""
+        found = [" " + " ".join(units[i : i + joined]) for i in range(0, len(units), joined)]
+        found = list(self.encode(found))
+        ids = np.concatenate([np.empty(0, self.dtype), *found])
+        ends = np.cumsum([1 + len(u.encode()) for u in units])
+        stops = np.searchsorted(np.cumsum(self.width[ids]), ends, "right")
+        return ids, np.diff(stops, prepend=0)

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import reference as R
-from latticemix.llm import line_dedup, near_copies, queries, simhash, vector_dedup
+from latticemix.llm import line_dedup, queries, simhash, vector_dedup
 from latticemix.llm.components import components, forest
 
 
@@ -134,14 +134,13 @@ def test_simhash_of_odd_texts(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("keep_first", [simhash.keep_first, near_copies.keep_first], ids=["simhash", "near_copies"])
-def test_one_row_of_each_group_stays(spark, keep_first):
+def test_one_row_of_each_group_stays(spark):
     """Repeated rows, rows without an id that copy a named one, and groups without any id."""
     words = [" ".join(f"{t}{i}" for i in range(40)) for t in "abcd"]
     rows = [(4, words[0]), (4, words[0]), (9, words[0]), (None, words[0]), (None, words[1]), (None, words[1])]
     rows += [(7, words[2]), (7, words[3]), (7, words[3]), (None, None), (2, ""), (2, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    kept = keep_first(docs).collect()
+    kept = simhash.keep_first(docs).collect()
     assert sorted(((r.doc_id, r.text or "") for r in kept), key=repr) == sorted(
         [(4, words[0]), (None, words[1]), (7, words[2]), (7, words[3]), (2, "")], key=repr
     )

@@ -1,13 +1,14 @@
 import random
+import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 import reference as R
-from latticemix.llm import bpe_chunks, packing, queries, token_files
-from latticemix.llm.token_units import UnitEncoder
+from latticemix.llm import bpe_chunks, packing, queries, token_files, token_units
 from latticemix.session import new_path
 
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -26,11 +27,42 @@ def library(path):
     return tokenizer
 
 
-def test_units_give_the_ids_of_whole_texts():
-    texts = odd_texts()
+def test_texts_get_the_ids_of_the_library():
+    rng = random.Random(3)
+    texts = odd_texts() + ["  lead", " x", "a \n b", "tail ", "a\u3000 b"]
+    texts += ["".join(rng.choices("abcdeinorstäé", k=rng.randint(1, 40))) for _ in range(20000)]
+    tokenizer = library(BYTE)
+    for plain in (False, True):
+        tokenizer.encode_special_tokens = plain
+        want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [i.tolist() for i in token_units.ByteEncoder(BYTE, plain).encode(texts)] == want
+
+
+def test_both_engines_class_the_known_characters_alike():
+    known = [c for c in map(chr, range(1 << 16)) if re.match(f"[{token_units.KNOWN}]", c)]
+    texts = [f"a{c}b {c}1{c} {c}{c}\n{c}.{c}" for c in known]
     want = [e.ids for e in library(BYTE).encode_batch(texts, add_special_tokens=False)]
-    for cache in (10, 10**6):
-        assert [i.tolist() for i in UnitEncoder(BYTE, cache).encode(texts)] == want
+    encoder = token_units.ByteEncoder(BYTE)
+    assert encoder.ranked and [i.tolist() for i in encoder.encode(texts)] == want
+
+
+def test_units_are_cut_where_pieces_start():
+    texts = odd_texts()
+    encoder = token_units.ByteEncoder(BYTE, plain_specials=True)
+    units, at, sizes = token_units.cut_texts(pa.array([" " + t for t in texts]))
+    names, stops = units.to_pylist(), np.cumsum(sizes)
+    assert [" ".join(names[i] for i in at[b - n : b]) for n, b in zip(sizes, stops)] == [" " + t for t in texts]
+    ids, lengths = encoder.encode_units(names)
+    apart = np.split(ids, np.cumsum(lengths)[:-1])
+    for text, n, b in zip(texts, sizes, stops):
+        first = names[at[b - n]]
+        got = [*encoder.encode([first])] + [apart[i] for i in at[b - n + 1 : b]]
+        assert np.concatenate(got).tolist() == next(encoder.encode([" " + text])).tolist()
+
+
+def test_files_of_other_kinds_are_refused():
+    with pytest.raises(ValueError, match="byte-level"):
+        token_units.ByteEncoder(WORD)
 
 
 def test_chunks_give_the_ids_of_whole_texts():
