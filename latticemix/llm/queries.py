@@ -9,12 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_path
-from . import bpe_chunks, html_text, line_dedup, ngram_lm, packing, quality_knn, quality_rules, simhash, token_files, vector_dedup
+from . import (
+    bpe_chunks,
+    html_text,
+    line_dedup,
+    ngram_lm,
+    packing,
+    personal_data,
+    quality_knn,
+    quality_rules,
+    simhash,
+    token_files,
+    token_pairs,
+    vector_dedup,
+    whitening,
+)
 from .oracle import oracle_sql  # noqa: F401  registered beside the queries
 from .shared import text_table
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
+PIECE_BPE = "piece_bpe_32k.model"
 
 
 def op1_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +88,20 @@ def op10_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score_documents(text_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten_vectors(text_table(spark, sf_dir, "embeddings"))
+
+
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.find_personal_data(text_table(spark, sf_dir, "documents"))
+    return found.withColumn("base_sha256", F.sha2("base", 256)).drop("base")
+
+
+def op13_token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = text_table(spark, sf_dir, "documents")
+    return token_pairs.align_documents(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_vector_dedup,
@@ -85,5 +114,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_quality_rules,
         op9_html_text,
         op10_ngram_lm,
+        op11_whitening,
+        op12_personal_data,
+        op13_token_pairs,
     )
     return {f.__name__: f for f in found}
