@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 from ..constants import MAX_BROADCAST_VALUES, PAIR_BLOCK_ROWS
 from ..functions import vectors as V
 from ..session import materialize
-from .pairwise import fold_over_all, rows_per_block
-from .posterior import matrix, squared_distances
-
+from .label_files import LabelFiles, distance_chunks, one_array, over_targets, vectors, write_label_files
+from .pairwise import fold_over_all
 
 # Labels above this share of the rows are fewer than HOT_SHARE.
 HOT_SHARE = 1000
@@ -137,134 +136,75 @@ def davies_bouldin(labelled: DataFrame, width: int) -> DataFrame:
     )
 
 
-# -- numpy inside tasks --------------------------------------------------------------
-
-# Distances per numpy call, sized for a core's cache.
-CHUNK_DISTANCES = 1 << 16
-# Up to this width distances are summed from differences.
-NARROW = 8
-# Wider ones come from a matrix product, except where that would cancel.
-CLOSE = 1e-4
-
-
-def one_array(column) -> pa.Array:
-    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-
-
-def vectors(column) -> np.ndarray:
-    """Arrow list column as n x width, the width being that of the first row."""
-    column = one_array(column)
-    width = len(column[0]) if len(column) else 0
-    return matrix(column, width).astype(float, copy=False)
-
-
-def distance_chunks(a: np.ndarray, b: np.ndarray):
-    """(slice of a, its Euclidean distances to all of b), a few rows at a time."""
-    if a.shape[1] != b.shape[1]:
-        raise ValueError("every vector needs the same width")
-    if a.shape[1] > NARROW and len(b):  # the matrix product cancels less around the block's mean
-        middle = b.mean(axis=0)
-        a, b = a - middle, b - middle
-    b_t = np.ascontiguousarray(b.T)
-    norm = np.square(b).sum(axis=1)
-    step = max(1, CHUNK_DISTANCES // max(1, len(b)))
-    for start in range(0, len(a), step):
-        part = slice(start, min(start + step, len(a)))
-        if a.shape[1] <= NARROW:
-            sq = squared_distances(a[part], b_t)
-        else:
-            scale = np.square(a[part]).sum(axis=1)[:, None] + norm
-            sq = scale - 2 * (a[part] @ b_t)
-            i, j = np.nonzero(sq < CLOSE * scale)
-            few = max(1, CHUNK_DISTANCES // a.shape[1])
-            for at in range(0, len(i), few):
-                p, q = i[at : at + few], j[at : at + few]
-                sq[p, q] = np.square(a[part][p] - b[q]).sum(axis=1)
-        yield part, np.sqrt(sq)
+# -- silhouette -------------------------------------------------------------------
 
 
-# -- silhouette -------------------------------------------------------------------
+def _files(labelled: DataFrame) -> LabelFiles:
+    rows = checked(labelled).select("id", "label", "x")
+    return write_label_files(rows, lambda width: cluster_profile(labelled, width))
 
-def distance_sums(
-    labelled: DataFrame, block_rows: int | None = None, n: int | None = None
-) -> DataFrame:
+
+def distance_sums(labelled: DataFrame, block_rows: int | None = None) -> DataFrame:
     """(id, label, other_label, sum_dist, n) to all n rows of each label.
 
-    A task sees its sources label by label and passes a label's sums on when it
-    ends, so it holds one sum per target and emits targets x labels rows.
+    Rows are shuffled once, into files; a task streams the clusters past its
+    targets and emits targets x labels rows.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in labelled.schema}
+    files = _files(labelled)
     schema = (
-        f"id {kinds['id']}, label {kinds['label']}, other_label {kinds['label']}, "
+        f"id {files.id_type}, label {files.label_type}, other_label {files.label_type}, "
         "sum_dist double, n bigint"
     )
 
-    def sums(targets, sources):
-        x = vectors(targets.column("x"))
-        ids, own = one_array(targets.column("id")), one_array(targets.column("label"))
-        held: dict = {"label": None, "total": None, "n": 0}
-
-        def emit():
-            others = pa.array([held["label"]] * len(x), type=own.type)
-            return pa.RecordBatch.from_arrays(
-                [ids, own, others, pa.array(held["total"]), pa.array(np.full(len(x), held["n"]))],
+    def measure(reader, ids, code, x):
+        labels = one_array(reader.clusters["label"])
+        own = labels.take(pa.array(code))
+        for c, size in enumerate(reader.sizes.tolist()):
+            others = labels.take(pa.array(np.full(len(x), c)))
+            yield pa.RecordBatch.from_arrays(
+                [ids, own, others, pa.array(reader.sums(x, c)), pa.array(np.full(len(x), size))],
                 names=["id", "label", "other_label", "sum_dist", "n"],
             )
 
-        for batch in sources:
-            names = batch.column("label")
-            codes = names.dictionary_encode().indices.to_numpy()
-            starts = np.flatnonzero(np.diff(codes, prepend=-1))
-            part_sums = np.empty((len(x), len(starts)))
-            for part, dist in distance_chunks(x, vectors(batch.column("x"))):
-                part_sums[part] = np.add.reduceat(dist, starts, axis=1)
-            lengths = np.diff(starts, append=len(codes))
-            for i, start in enumerate(starts.tolist()):
-                name = names[start].as_py()
-                if held["n"] and name != held["label"]:
-                    yield emit()
-                    held["n"] = 0
-                if not held["n"]:
-                    held["label"], held["total"] = name, np.zeros(len(x))
-                held["total"] = held["total"] + part_sums[:, i]
-                held["n"] += int(lengths[i])
-        if held["n"]:
-            yield emit()
-
-    rows = checked(labelled).select("id", "label", "x")
-    if n is None or block_rows is None:
-        size = rows.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("width")).first()
-        n, width = size.n if n is None else n, size.width or 1
-        block_rows = block_rows or rows_per_block(8 * (width + 4))
-    partial = fold_over_all(rows, "id", n, sums, schema, block_rows, ["label"])
-    # One shuffle by id serves this sum and every later grouping by id.
-    return (
-        partial.repartition("id")
-        .groupBy("id", "label", "other_label")
-        .agg(F.sum("sum_dist").alias("sum_dist"), F.sum("n").alias("n"))
-    )
+    return over_targets(labelled.sparkSession, files, measure, schema, block_rows)
 
 
 def silhouette_rows(labelled: DataFrame, block_rows: int | None = None) -> DataFrame:
-    """(id, label, a, b, width): exact, with unsquared Euclidean distance.
+    """(id, label, a, b, width, looked): exact, with unsquared Euclidean distance.
 
     ``a``: mean distance to the rest of the row's cluster, NULL when alone.
-    ``b``: smallest mean distance to another cluster, NULL without one.
+    ``b``: smallest mean distance to another cluster, NULL without one; found by
+    going through the ``looked`` clusters whose centres are near enough.
     """
-    own = F.col("label") == F.col("other_label")
-    per_row = distance_sums(labelled, block_rows).groupBy("id", "label").agg(
-        F.max(F.when(own, F.try_divide(F.col("sum_dist"), F.col("n") - 1))).alias("a"),
-        F.min(F.when(~own, F.col("sum_dist") / F.col("n"))).alias("b"),
-    )
-    return per_row.withColumn(
-        "width", F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b"))
-    ).withColumn("width", F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.col("width")))
+    files = _files(labelled)
+    schema = f"id {files.id_type}, label {files.label_type}, a double, b double, looked bigint"
+
+    def measure(reader, ids, code, x):
+        rest = reader.sizes[code] - 1
+        with np.errstate(divide="ignore", invalid="ignore"):
+            a = reader.own_sums(x, code) / rest
+        b, looked = reader.nearest_means(x, code)
+        labels = one_array(reader.clusters["label"]).take(pa.array(code))
+        columns = [ids, labels, pa.array(a, mask=rest == 0), pa.array(b, mask=looked == 0), pa.array(looked)]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "label", "a", "b", "looked"])
+
+    rows = over_targets(labelled.sparkSession, files, measure, schema, block_rows)
+    known = F.col("a").isNotNull() & F.col("b").isNotNull()
+    ratio = F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b"))
+    return rows.select("id", "label", "a", "b", F.when(known, ratio).alias("width"), "looked")
 
 
 def within_cluster_distance(labelled: DataFrame, block_rows: int | None = None) -> DataFrame:
     """(id, label, sum_dist): summed distance to the rest of the row's cluster."""
-    sums = distance_sums(labelled, block_rows)
-    return sums.filter(F.col("label") == F.col("other_label")).select("id", "label", "sum_dist")
+    files = _files(labelled)
+    schema = f"id {files.id_type}, label {files.label_type}, sum_dist double"
+
+    def measure(reader, ids, code, x):
+        labels = one_array(reader.clusters["label"]).take(pa.array(code))
+        columns = [ids, labels, pa.array(reader.own_sums(x, code))]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "label", "sum_dist"])
+
+    return over_targets(labelled.sparkSession, files, measure, schema, block_rows)
 
 
 def silhouette_a(labelled: DataFrame) -> DataFrame:

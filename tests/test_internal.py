@@ -60,6 +60,44 @@ def test_silhouette_equals_brute_force(spark, width, block_rows):
     )
 
 
+def test_far_clusters_are_not_looked_through(spark):
+    rng = np.random.default_rng(3)
+    centers = rng.random((20, 5)) * 100
+    x = np.concatenate([c + rng.normal(size=(30, 5)) for c in centers])
+    names = np.repeat([f"c{i}" for i in range(20)], 30)
+    rows = labelled(spark, x.tolist(), names.tolist())
+    found = I.silhouette_rows(rows).collect()
+    looked = sum(r.looked for r in found)
+    assert len(x) <= looked < 0.1 * len(x) * 20
+    dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    for r in found:
+        means = {c: dist[r.id, names == c].mean() for c in set(names) - {r.label}}
+        assert r.b == pytest.approx(min(means.values()))
+        assert r.a == pytest.approx(dist[r.id, names == r.label].sum() / 29)
+
+
+def test_rows_are_shuffled_once_whatever_they_meet(spark):
+    """The evaluating job reads files: its plan has no exchange but the dealing of row ranges."""
+    rng = np.random.default_rng(4)
+    rows = labelled(spark, rng.random((400, 3)).tolist(), [str(i % 7) for i in range(400)])
+    plan = I.distance_sums(rows, block_rows=10)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert plan.count("Exchange") == 1 and "Scan ExistingRDD" in plan
+    total = I.distance_sums(rows, block_rows=10).groupBy("id").sum("n").collect()
+    assert len(total) == 400 and {r[1] for r in total} == {400}
+
+
+@pytest.mark.parametrize("block_rows", [7, 300])
+def test_distance_sums_and_own_sums(spark, block_rows):
+    rng = np.random.default_rng(6)
+    x, names = rng.random((90, 9)), rng.integers(0, 5, 90).astype(str)
+    rows = labelled(spark, x.tolist(), names.tolist())
+    dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    for r in I.distance_sums(rows, block_rows).collect():
+        assert r.sum_dist == pytest.approx(dist[r.id, names == r.other_label].sum()) and r.label == names[r.id]
+    for r in I.within_cluster_distance(rows, block_rows).collect():
+        assert r.sum_dist == pytest.approx(dist[r.id, names == r.label].sum())
+
+
 @pytest.mark.parametrize("block_rows", [5, 1000])
 def test_davies_bouldin_of_many_clusters(spark, block_rows):
     rng = np.random.default_rng(0)
