@@ -70,6 +70,12 @@ class CellModel:
     def with_values(self, **values) -> CellModel:
         return replace(self, **values)
 
+    def same_as(self, other: CellModel) -> bool:
+        """Whether both have the same grid and values."""
+        names = ("prob", "num_items", "cont_mean", "cont_variance", "bin_mean", "bin_epsilon")
+        same = all(np.array_equal(getattr(self, n), getattr(other, n)) for n in names)
+        return (self.rows, self.cols) == (other.rows, other.cols) and same
+
     # -- construction ----------------------------------------------------
 
     @classmethod

@@ -11,13 +11,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..cells import CellModel, temperature_at
 from ..constants import DEFAULT_COLS, DEFAULT_MAX_ITER, DEFAULT_ROWS, T_MAX, T_MIN
+from ..operators.partials import FAN_IN, add_up
 from ..operators.posterior import (
     assign_by_cell,
     assign_by_winner,
@@ -35,8 +34,11 @@ from ..sources import trajectory as store
 HEAD = ("n_cell", "n_winner", "items", "sq_dist", "rows", "log_likelihood")
 
 
-# Tasks of one pass over the rows, a core.
+# Tasks of one pass over the rows: at least so many a core, and else so many
+# bytes of rows, or times the bytes of the sums they send.
 TASKS_PER_CORE = 4
+TASK_BYTES = 1 << 28
+MODEL_TIMES = 16
 # A variance this much smaller than the squared move of its mean is mostly
 # cancellation, and is summed again around the new mean.
 CANCELLATION = 1e-6
@@ -48,12 +50,14 @@ def statistics(
     temperature: float,
     components: str = "mixed",
     around: np.ndarray | None = None,
-) -> DataFrame:
-    """(cell, pos, value): the sums that the parameter updates need.
-
-    Each task reduces its rows to K packed vectors; the shuffle carries those,
-    not rows.  Sums of x are taken around ``around`` (the old means if not given), so
-    that mean and variance come from a single pass.
+    tasks: int = FAN_IN,
+) -> np.ndarray:
+    """K x (head, sums of x, sums of b): what the parameter updates need.
+
+    Each task reduces its rows to one packed array; those travel, not rows.  Sums
+    of x are taken around ``around`` (the old means if not given), so that mean and
+    variance come from a single pass.  ``tasks`` is about the number of partitions
+    of ``points``.
     """
     p = task_values(model, temperature, components)
     k, d, s = model.size, model.cont_size, model.bin_size
@@ -86,27 +90,11 @@ def statistics(
                     total[:, at : at + d] += p_cell @ x_t.T - n_cell[:, None] * center
                 if bits is not None:
                     total[:, at + d :] += p_cell @ bits
-        if seen:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(k, dtype=np.int32)), pa.array(total.tolist())],
-                names=["cell", "stats"],
-            )
+        return total if seen else None
 
     needed = [name for name, used in (("x", p["use_x"]), ("b", p["use_b"])) if used]
-    partial = points.select(*needed).mapInArrow(reduce_partition, "cell int, stats array<double>")
-    return (
-        partial.select("cell", F.posexplode("stats").alias("pos", "value"))
-        .groupBy("cell", "pos")
-        .agg(F.sum("value").alias("value"))
-    )
-
-
-def _collected(stats: DataFrame, model: CellModel) -> np.ndarray:
-    """K * (d + s + 6) sums on the driver, bounded by the model's own size check."""
-    sums = np.zeros((model.size, len(HEAD) + model.cont_size + model.bin_size))
-    for cell, pos, value in stats.collect():
-        sums[cell, pos] = value
-    return sums
+    found = add_up(points.select(*needed), reduce_partition, tasks)
+    return np.zeros((k, len(HEAD) + d + s)) if found is None else found
 
 
 @dataclass
@@ -129,10 +117,11 @@ def em_step(
     components: str = "mixed",
     update_continuous: bool = False,
     iteration: int = 1,
+    tasks: int = FAN_IN,
 ) -> Step:
-    """One iteration: a distributed aggregate, then K-row arithmetic."""
+    """One iteration: a distributed aggregate over about ``tasks`` partitions, then K-row arithmetic."""
     d, s = model.cont_size, model.bin_size
-    sums = _collected(statistics(points, model, temperature, components), model)
+    sums = statistics(points, model, temperature, components, tasks=tasks)
     head = dict(zip(HEAD, sums.T))
     rows = int(head["rows"].sum())
     if rows == 0:
@@ -148,7 +137,7 @@ def em_step(
         moved = np.square(shift).sum(axis=1)
         spread = (head["sq_dist"] / safe[:, 0] - moved) / d
         if (alive & (spread < CANCELLATION * moved)).any():
-            around = _collected(statistics(points, model, temperature, components, mean), model)
+            around = statistics(points, model, temperature, components, mean, tasks)
             rest = np.square(around[:, at : at + d] / safe).sum(axis=1)
             spread = (around[:, HEAD.index("sq_dist")] / safe[:, 0] - rest) / d
         spread = spread.clip(min=0.0)
@@ -209,22 +198,33 @@ def _labels(points, model, temperature, components, assign) -> DataFrame:
     return by(points, model, temperature, components)
 
 
-def _cached(points: DataFrame, components: str) -> DataFrame:
-    """The needed columns, cached, on at least as many partitions as cores.
+def planned_tasks(n_bytes: int, model_bytes: int, partitions: int, cores: int) -> int:
+    """Tasks of one pass over rows of ``n_bytes`` that lie in ``partitions``.
+
+    A task takes ``TASK_BYTES`` of rows, and many times the array of sums it
+    sends, but there are a few for each core known now.  Tasks join whole
+    partitions, so there are no more than those.
+    """
+    by_size = -(-n_bytes // max(TASK_BYTES, MODEL_TIMES * model_bytes))
+    return max(1, min(partitions, max(by_size, TASKS_PER_CORE * cores)))
+
+
+def _cached(points: DataFrame, components: str) -> tuple[DataFrame, int]:
+    """The needed columns, cached, on at least as many partitions as cores; and the number of rows.
 
     Only an input too small to fill the cores is moved; its partition count is
     read off the finished cache, so nothing upstream runs twice.
     """
     needed = points.select(*{"mixed": ["x", "b"], "cont": ["x"], "bin": ["b"]}[components])
     cached = needed.persist(StorageLevel.MEMORY_AND_DISK)
-    cached.count()
+    n = cached.count()
     cores = points.sparkSession.sparkContext.defaultParallelism
     if cached.rdd.getNumPartitions() >= cores:
-        return cached
+        return cached, n
     spread = cached.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
     spread.count()
     cached.unpersist()
-    return spread
+    return spread, n
 
 
 def _start(train: DataFrame, rows: int, cols: int, components: str, seed: int) -> CellModel:
@@ -275,7 +275,8 @@ def fit(
     ``output_path`` stores the cells of every iteration, ``label_every`` the
     labels of every n-th; ``resume`` goes on from the last committed iteration,
     starts a new run where there is none, and returns the model of a complete one.
-    It takes no settings but those that the run was begun with.
+    It takes no settings but those that the run was begun with; start cells, or the
+    grid and seed they were drawn from, count too where they are given.
     """
     if max_iter < 2:
         raise ValueError("max_iter must be at least 2")
@@ -296,16 +297,22 @@ def fit(
     }
     stored = store.last_iteration(spark, output_path) if resume else None
     before = store.read_settings(spark, output_path) if stored is not None else None
-    if before is not None and before != settings:
+    start = "given" if init_cells is not None else {"rows": rows, "cols": cols, "seed": seed}
+    if before is not None:
         changed = sorted(k for k in settings if before.get(k) != settings[k])
-        raise ValueError(f"{output_path} was begun with other settings: {', '.join(changed)}")
+        began = before.get("start", "given")
+        if init_cells is not None:
+            changed += [] if init_cells.same_as(store.read_model(spark, output_path, 0)) else ["start"]
+        elif began != "given" and began != start:
+            changed.append("start")
+        if changed:
+            raise ValueError(f"{output_path} was begun with other settings: {', '.join(changed)}")
     if stored is not None and stored[0] >= max_iter:
         return _finished(spark, output_path, max_iter, settings)
 
     cache = cache and not points.is_cached
-    held = _cached(points, components) if cache else points
-    # one task sums several splits before its sums are shuffled
-    train = held.coalesce(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+    held, n_rows = _cached(points, components) if cache else (points, None)
+    train, tasks = held, held.rdd.getNumPartitions()
     steps: list[Step] = []
     # what an interrupted run left of an iteration that it did not commit is replaced
     mode = "overwrite" if resume else "errorifexists"
@@ -317,8 +324,13 @@ def fit(
             if output_path is not None:
                 if not resume and store.committed_iterations(spark, output_path):
                     raise ValueError(f"a run already exists in {output_path}")
-                store.write_settings(spark, output_path, settings)
+                store.write_settings(spark, output_path, settings | {"start": start})
                 store.write_cells(spark, output_path, 0, model, mode)
+        if n_rows is not None:  # splits of an uncached input are cut by bytes already
+            width = model.cont_size + model.bin_size
+            cores = spark.sparkContext.defaultParallelism
+            tasks = planned_tasks(8 * n_rows * width, 8 * model.size * (width + len(HEAD)), tasks, cores)
+            train = held.coalesce(tasks)
         label_cells = model
         for t in range(done + 1, max_iter + 1):
             temperature = temperature_at(t, max_iter, t_min, t_max)
@@ -329,6 +341,7 @@ def fit(
                 components=components,
                 update_continuous=update_continuous,
                 iteration=t,
+                tasks=tasks,
             )
             label_cells = _label_cells(model, step.cells, label_prior)
             model = step.cells

@@ -90,6 +90,15 @@ def test_a_run_that_broke_off_loses_nothing(spark):
     assert (again.label_cells.prob == rest.label_cells.prob).all() and again.temperature == rest.temperature
     with pytest.raises(ValueError, match="max_iter"):
         fit(points, output_path=broken, resume=True, **SETTINGS | {"max_iter": 5})
+    moved = tiny_model().with_values(prob=tiny_model().prob[::-1] * 2)
+    with pytest.raises(ValueError, match="start"):
+        fit(points, moved, output_path=whole, resume=True, **SETTINGS)
+    assert not fit(points, tiny_model(), output_path=whole, resume=True, **SETTINGS).steps
+    drawn = new_path(spark, "run")
+    fit(points, rows=2, cols=3, seed=4, output_path=drawn, **SETTINGS)
+    assert not fit(points, rows=2, cols=3, seed=4, output_path=drawn, resume=True, **SETTINGS).steps
+    with pytest.raises(ValueError, match="start"):
+        fit(points, rows=2, cols=3, seed=5, output_path=drawn, resume=True, **SETTINGS)
 
 
 def test_a_large_grid_trains(spark):
@@ -141,3 +150,54 @@ def test_wide_vectors_keep_their_results(spark):
             assert got[name][0] == 2 and got[name][1] == pytest.approx(x[2 * k : 2 * k + 2].mean(axis=0).tolist())
         scaled = np.array([r.x for r in prep.minmax_normalize(rows, width).orderBy("id").collect()])
         assert np.allclose(scaled, (x - x.min(0)) / (x.max(0) - x.min(0)))
+
+
+@pytest.mark.parametrize("width", [128, 129, 600])
+def test_wide_updates(spark, width):
+    import time
+
+    import numpy as np
+
+    rng = np.random.default_rng(width)
+    k, n = 25, 20
+    log_p = np.log(rng.dirichlet(np.ones(k), n))
+    log_p[:, 3] = -np.inf  # a cell without weight
+    x, b = rng.random((n, width)), rng.integers(0, 2, (n, width))
+    rows = [(i, u.tolist(), v.tolist(), p.tolist()) for i, (u, v, p) in enumerate(zip(x, b, log_p))]
+    scored = spark.createDataFrame(rows, "id bigint, x array<double>, b array<int>, log_p_cell array<double>")
+    p = np.exp(log_p)
+    start = time.perf_counter()
+    got = {f.__name__: f(scored, width).orderBy("cell").collect() for f in (U.update_cont_mean, U.update_bin_prototype, U.update_bin_epsilon)}
+    assert time.perf_counter() - start < 20
+    ones, zeros = p.T @ b, p.T @ (1 - b)
+    for c in range(k):
+        mean, proto, eps = (got[f][c][1] for f in ("update_cont_mean", "update_bin_prototype", "update_bin_epsilon"))
+        if c == 3:
+            assert mean == [None] * width and proto == [0] * width and eps is None
+            continue
+        assert np.allclose(mean, p[:, c] @ x / p[:, c].sum()) and proto == (zeros[c] < ones[c]).astype(int).tolist()
+        assert eps == pytest.approx(np.minimum(zeros[c], ones[c]).sum() / (width * p[:, c].sum()))
+    assert U.update_cont_mean(scored.limit(0), width).count() == 0
+
+
+def test_tasks_follow_the_bytes():
+    from latticemix.plans.em import TASK_BYTES, TASKS_PER_CORE, planned_tasks
+
+    assert planned_tasks(10**14, 10**5, 10**6, cores=2) == -(-(10**14) // TASK_BYTES)  # cores not known yet
+    assert planned_tasks(10**14, 32 * 10**6, 10**6, cores=2) < 200_000  # large models are sent less often
+    assert planned_tasks(10**6, 10**5, 10**4, cores=8) == 8 * TASKS_PER_CORE
+    assert planned_tasks(10**6, 10**5, 3, cores=8) == 3
+
+
+@pytest.mark.parametrize("partitions", [1, 40, 1200])
+def test_partials_add_up_over_a_tree(spark, partitions):
+    import numpy as np
+
+    from latticemix.operators.partials import add_up
+
+    def partial(batches):
+        ids = [i for b in batches for i in b.column("id").to_pylist()]
+        return np.array([[len(ids), sum(ids)]], float) if ids else None
+
+    assert add_up(spark.range(0, 3000, 1, partitions), partial, partitions).tolist() == [[3000.0, 3000 * 2999 / 2]]
+    assert add_up(spark.range(0), partial, 8) is None
