@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .constants import KERNEL_RATE, MAX_MODEL_VALUES, T_MAX, T_MIN, VARIANCE_SHARE
+from .functions.random import uniform, uniform_table
 
 CELL_SCHEMA = T.StructType(
     [
@@ -32,6 +33,27 @@ CELL_SCHEMA = T.StructType(
 )
 
 
+# Streams of random numbers of a start.
+MEANS, BITS, EPSILONS = 0, 1, 2
+
+
+def random_cells(spark: SparkSession, k: int, cont_size: int, bin_size: int, seed: int = 1) -> DataFrame:
+    """(cell, cont_mean, bin_mean, bin_epsilon): the numbers that ``CellModel.initial`` draws, as columns."""
+
+    def drawn(stream: int, width: int) -> Column:
+        if not width:
+            return F.array().cast("array<double>")
+        return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: uniform(seed, stream, F.col("cell"), j))
+
+    cells = spark.range(k).select(F.col("id").cast("int").alias("cell"))
+    return cells.select(
+        "cell",
+        drawn(MEANS, cont_size).alias("cont_mean"),
+        F.transform(drawn(BITS, bin_size), lambda u: (u >= 0.5).cast("int")).alias("bin_mean"),
+        uniform(seed, EPSILONS, F.col("cell"), 0).alias("bin_epsilon"),
+    )
+
+
 def constant(value, kind: T.DataType) -> Column:
     """A nested constant, parsed by the optimizer when it folds constants."""
     return F.from_json(F.lit(json.dumps(value)), kind, {"mode": "FAILFAST"})
@@ -97,21 +119,20 @@ class CellModel:
         Without ``cont_mean`` two continuous features start at the cell centres
         of the unit square; any other number is drawn from [0, 1).  Missing
         prototypes and epsilons are drawn too, each from its own stream of
-        ``seed``.
+        ``seed``: ``functions.random`` gives the same numbers as columns.
         """
         k = rows * cols
-        draw = lambda stream: np.random.default_rng([seed, stream])
         if cont_mean is None and cont_size != 2:
-            cont_mean = draw(0).random((k, cont_size))
+            cont_mean = uniform_table(seed, MEANS, k, cont_size)
         elif cont_mean is None:
             at = np.arange(k)
             cont_mean = np.column_stack(
                 [(at // cols) / rows + 1 / (2 * rows), (at % cols) / cols + 1 / (2 * cols)]
             )
         if bin_mean is None:
-            bin_mean = draw(1).integers(0, 2, size=(k, bin_size))
+            bin_mean = uniform_table(seed, BITS, k, bin_size) >= 0.5
         if bin_epsilon is None:
-            bin_epsilon = draw(2).random(k)
+            bin_epsilon = uniform_table(seed, EPSILONS, k, 1)[:, 0]
         if cont_variance is None:
             cont_variance = 1.0 / (VARIANCE_SHARE * k)
         return cls(

@@ -51,6 +51,17 @@ def map_file(uri: str, dtype) -> np.ndarray:
     return np.memmap(local, dtype, mode="r")
 
 
+def names_in(uri: str) -> list[str]:
+    """Names of the files in a folder; none if it does not exist."""
+    local = _local(uri)
+    if local is not None:
+        return sorted(os.listdir(local)) if os.path.isdir(local) else []
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri)
+    return sorted(f.base_name for f in system.get_file_info(fs.FileSelector(path, allow_not_found=True)))
+
+
 def read_bytes(uri: str) -> bytes:
     local = _local(uri)
     if local is None:

@@ -60,9 +60,9 @@ def alignment_report(true: DataFrame, predicted: DataFrame) -> DataFrame:
     )
 
 
-def contingency(labels: DataFrame) -> DataFrame:
-    """(true_label, pred_label, n)."""
-    return labels.groupBy("true_label", "pred_label").agg(F.count("*").alias("n"))
+def contingency(labels: DataFrame, *by: str) -> DataFrame:
+    """(by, true_label, pred_label, n)."""
+    return labels.groupBy(*by, "true_label", "pred_label").agg(F.count("*").alias("n"))
 
 
 def label_marginals(table: DataFrame) -> DataFrame:
@@ -74,15 +74,17 @@ def label_marginals(table: DataFrame) -> DataFrame:
     )
 
 
-def _levels(table: DataFrame) -> DataFrame:
-    """One row of sums over table cells (ij), classes (i) and clusters (j)."""
-    # groupingSets marks a rolled-up column: ij -> 0, i -> 1, j -> 2.
+def _levels(table: DataFrame, *by: str) -> DataFrame:
+    """Sums over table cells (ij), classes (i) and clusters (j): one row, or one for each ``by``."""
+    keys = [F.col(c) for c in by]
+    # groupingSets marks a rolled-up column, and ``by`` never is one: ij -> 0, i -> 1, j -> 2.
     grouped = table.groupingSets(
         [
-            [F.col("true_label"), F.col("pred_label")],
-            [F.col("true_label")],
-            [F.col("pred_label")],
+            [*keys, F.col("true_label"), F.col("pred_label")],
+            [*keys, F.col("true_label")],
+            [*keys, F.col("pred_label")],
         ],
+        *keys,
         F.col("true_label"),
         F.col("pred_label"),
     ).agg(F.grouping_id().alias("level"), F.sum("n").alias("m"), F.max("n").alias("top"))
@@ -99,7 +101,7 @@ def _levels(table: DataFrame) -> DataFrame:
     sums.append(
         F.avg(F.when(F.col("level") == 2, F.try_divide(F.col("top").cast("double"), F.col("m")))).alias("purity")
     )
-    return grouped.agg(*sums)
+    return grouped.groupBy(*keys).agg(*sums)
 
 
 def _pairs(levels: DataFrame) -> DataFrame:
@@ -163,14 +165,14 @@ INDEX_NAMES = tuple(
 )
 
 
-def external_indices(table: DataFrame, names: tuple[str, ...] = INDEX_NAMES) -> DataFrame:
-    """One row with the chosen indices; undefined ones (0/0) are NULL.
+def external_indices(table: DataFrame, names: tuple[str, ...] = INDEX_NAMES, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row with the chosen indices, or one for each ``by``; undefined ones (0/0) are NULL.
 
     ``names`` may also hold pair counts: yy, yn, ny, nn, nt.
     """
     columns = _index_columns()
     chosen = [columns.get(name, F.col(name)).alias(name) for name in names]
-    return _pairs(_levels(table)).select(*chosen)
+    return _pairs(_levels(table, *by)).select(*by, *chosen)
 
 
 def indices_from_pairs(pairs: DataFrame, names: tuple[str, ...]) -> DataFrame:

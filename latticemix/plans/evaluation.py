@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..cells import CellModel
 from ..constants import DEFAULT_COLS, DEFAULT_ROWS, JOB_MAX_ITER
-from ..operators.external import align_labels, contingency, external_indices, match_one_to_one
+from ..operators.external import INDEX_NAMES, align_labels, contingency, external_indices, match_one_to_one
 from ..operators.internal import internal_indices
 from ..operators.prep import (
     checked_width,
@@ -30,6 +30,31 @@ def evaluate_external(true: DataFrame, predicted: DataFrame) -> DataFrame:
     return external_indices(contingency(align_labels(true, predicted)))
 
 
+def evaluate_run(spark: SparkSession, path: str, true: DataFrame, names: tuple[str, ...] = INDEX_NAMES) -> DataFrame:
+    """(iteration, external indices) for every iteration of a stored run that has labels.
+
+    One grouping by id brings the true label to all iterations' labels of a row
+    and checks that each id has one of either; one contingency table holds them
+    all.  ``true`` is (id, label).
+    """
+    iterations = store.labelled_iterations(spark, path)
+    stored = store.read_labels(spark, path).filter(F.col("iteration").isin(iterations))
+    labels = stored.select("id", F.lit(0).alias("given"), F.struct("iteration", "cell").alias("at"))
+    sides = labels.unionByName(
+        true.select("id", F.lit(1).alias("given"), F.col("label").alias("true_label")), allowMissingColumns=True
+    )
+    matched = sides.groupBy("id").agg(
+        F.max("true_label").alias("true_label"), F.sum("given").alias("given"), F.collect_list("at").alias("at")
+    )
+    each_once = (F.col("given") == 1) & (F.size("at") == len(iterations)) & (
+        F.size(F.array_distinct(F.transform("at", lambda a: a["iteration"]))) == len(iterations)
+    )
+    failed = F.raise_error(F.lit("both sides must have the same ids, each once"))
+    rows = matched.filter(F.when(each_once, F.lit(True)).otherwise(failed))
+    rows = rows.select("true_label", F.inline("at")).withColumnRenamed("cell", "pred_label")
+    return external_indices(contingency(rows, "iteration"), names, by=("iteration",))
+
+
 def evaluate_internal(points: DataFrame, predicted: DataFrame, width: int) -> DataFrame:
     """Silhouette and Davies-Bouldin of (id, x) with (id, label), matched by id.
 

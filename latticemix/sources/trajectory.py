@@ -59,6 +59,13 @@ def committed_iterations(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(name.split("iteration=")[-1].split("/")[0]) for name in done)
 
 
+def labelled_iterations(spark: SparkSession, path: str) -> list[int]:
+    """Committed iterations that have labels, in order."""
+    found = _glob(spark, f"{path}/labels/iteration=*")
+    stored = {int(name.rstrip("/").split("iteration=")[-1]) for name in found}
+    return [t for t in committed_iterations(spark, path) if t in stored]
+
+
 def read_model(spark: SparkSession, path: str, iteration: int) -> CellModel:
     one = spark.read.schema(CELL_SCHEMA).parquet(f"{path}/cells/iteration={iteration}")
     return CellModel.from_dataframe(one)

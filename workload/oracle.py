@@ -395,6 +395,44 @@ QUALITY = START + [
 ]
 
 
+# -- indices along a run ------------------------------------------------------------------
+
+RUN_TABLES = [
+    (
+        "lab",
+        " UNION ALL ".join(
+            f"SELECT {t}::INTEGER AS it, id, cell AS p FROM ({FIRST_MAX.format(cell='cell', table=f'pc{t}')}) WHERE rn = 1"
+            for t in range(1, FIT_ITER + 1)
+        ),
+    ),
+    ("tab", "SELECT it, event_type AS t, p, count(*)::DOUBLE AS n FROM lab JOIN events ON event_id = id GROUP BY it, event_type, p"),
+    ("mt", "SELECT it, t, sum(n) AS a FROM tab GROUP BY it, t"),
+    ("mp", "SELECT it, p, sum(n) AS b, max(n) AS top FROM tab GROUP BY it, p"),
+    ("tot", "SELECT it, sum(n) AS n FROM tab GROUP BY it"),
+    (
+        "pr",
+        """SELECT it, yy, sa - yy AS yn, sb - yy AS ny, n * (n - 1) / 2 - sa - sb + yy AS nn, n * (n - 1) / 2 AS nt FROM
+        (SELECT it, sum(n * (n - 1)) / 2 AS yy FROM tab GROUP BY it) JOIN
+        (SELECT it, sum(a * (a - 1)) / 2 AS sa FROM mt GROUP BY it) USING (it) JOIN
+        (SELECT it, sum(b * (b - 1)) / 2 AS sb FROM mp GROUP BY it) USING (it) JOIN tot USING (it)""",
+    ),
+    (
+        "nm",
+        """SELECT it, -2 * mutual / nullif(ha + hb, 0) AS nmi, purity FROM
+        (SELECT tab.it, sum(tab.n * ln(tot.n * tab.n / (mt.a * mp.b))) AS mutual FROM tab JOIN mt ON mt.it = tab.it AND mt.t = tab.t
+         JOIN mp ON mp.it = tab.it AND mp.p = tab.p JOIN tot ON tot.it = tab.it GROUP BY tab.it) JOIN
+        (SELECT it, sum(a * ln(a / n)) AS ha FROM mt JOIN tot USING (it) GROUP BY it) USING (it) JOIN
+        (SELECT it, sum(b * ln(b / n)) AS hb, avg(top / b) AS purity FROM mp JOIN tot USING (it) GROUP BY it) USING (it)""",
+    ),
+]
+RUN_INDEX_SQL = {name: {"nmi": "nmi", "purity": "purity"}.get(name, INDEX_SQL[name]) for name in INDEX_NAMES}
+
+
+def uniform(*counters: str) -> str:
+    text = " || ':' || ".join(f"CAST({c} AS VARCHAR)" for c in counters)
+    return f"(CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE)"
+
+
 def all_oracles() -> dict[str, str]:
     out = {
         "read_delimited": "SELECT event_id, user_id, event_type, 3 AS n_tokens FROM events",
@@ -407,6 +445,20 @@ def all_oracles() -> dict[str, str]:
         "with_row_id": "SELECT count(*) AS n, count(*) AS n_ids, 0::BIGINT AS first_id, count(*) - 1 AS last_id, "
         + r6("sum(l_quantity)", "sum_quantity") + " FROM lineitem",
         "write_cells": with_ctes(STORED, f"SELECT iteration, {CELL_COLUMNS} FROM ({FIT_TABLES})"),
+        "refused_run": with_ctes(STORED, f"SELECT iteration, {CELL_COLUMNS} FROM ({FIT_TABLES})"),
+        "text_run": with_ctes(
+            STORED,
+            f"""SELECT iteration, cell, {r6('prob', 'prob')}, {r6('items', 'num_items')}, {r6('m0', 'm0')}, {r6('m1', 'm1')},
+            {BIN_MEAN}, {r6('eps', 'bin_epsilon')}, {r6('sum(v) OVER (PARTITION BY iteration)', 'sum_variance')} FROM ({FIT_TABLES})""",
+        ),
+        "run_indices": with_ctes(
+            STORED + RUN_TABLES,
+            "SELECT it AS iteration, " + ", ".join(r6(e, n) for n, e in RUN_INDEX_SQL.items()) + " FROM pr JOIN nm USING (it)",
+        ),
+        "random_cells": f"""SELECT CAST(c AS INTEGER) AS cell, CAST(j AS INTEGER) AS pos,
+            {r6(uniform('1', '0', 'c', 'j'), 'mean')}, CAST({uniform('1', '1', 'c', 'j')} >= 0.5 AS INTEGER) AS bit,
+            {r6(uniform('1', '2', 'c', '0'), 'epsilon')}
+            FROM range(10) a(c), (SELECT unnest(range(max(len(embedding)))) AS j FROM embeddings)""",
         "resumed_fit": with_ctes(STORED, f"SELECT iteration, {CELL_COLUMNS} FROM ({FIT_TABLES})"),
         "scan_ids": "SELECT row_number() OVER (ORDER BY event_id) - 1 AS id, event_id, event_type FROM events",
         "job_labels": with_ctes(

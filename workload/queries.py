@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticemix.cells import CellModel, temperature_at
+from latticemix.cells import random_cells as drawn_cells
 from latticemix.constants import EXTERNAL_REPORT, INTERNAL_REPORT
 from latticemix.functions import lattice as L
 from latticemix.functions import reduce as R
@@ -23,11 +24,12 @@ from latticemix.operators import posterior as P
 from latticemix.operators import prep
 from latticemix.operators import updates as U
 from latticemix.plans.em import em_step, fit
-from latticemix.plans.evaluation import evaluate_external, run_job
+from latticemix.plans.evaluation import evaluate_external, evaluate_run, run_job
 from latticemix.session import new_path
 from latticemix.sources import delimited as S
 from latticemix.sources import tables as T
 from latticemix.sources import trajectory as store
+from latticemix.sources.text_run import read_text_run, write_text_run
 
 ROWS = COLS = 5
 K = ROWS * COLS
@@ -36,6 +38,7 @@ EPSILON = 0.25
 MAX_ITER = 10
 FIT_ITER = MAX_ITER
 FIRST_N = 2000
+SEED = 1
 EMBEDDING_ROWS, EMBEDDING_COLS = 2, 5
 
 
@@ -190,6 +193,56 @@ def resumed_fit(spark, sf_dir) -> DataFrame:
     return cell_columns(store.read_cells(spark, broken), "iteration")
 
 
+def refused_run(spark, sf_dir) -> DataFrame:
+    """The cells of a run whose folder a second run may not take."""
+    path = _stored_run(spark, sf_dir)
+    try:
+        fit(T.event_points(spark, sf_dir), start_model(), max_iter=2, output_path=path)
+    except ValueError:
+        return cell_columns(store.read_cells(spark, path), "iteration")
+    raise AssertionError("a run was written over another")
+
+
+def text_run(spark, sf_dir) -> DataFrame:
+    """A run's cells by way of the text layout, the grid of one quantity by way of its file."""
+    cells, path = store.read_cells(spark, _stored_run(spark, sf_dir)), new_path(spark, "text-run")
+    write_text_run(cells, path)
+    grid = new_path(spark, "grid")
+    store.write_cell_grid(cells, "cont_variance", COLS, grid)
+    values = ", ".join(f"c{c} double" for c in range(COLS))
+    lines = spark.read.schema(f"row int, {values}, iteration int").csv(grid)
+    back = read_text_run(spark, path)
+    spread = lines.groupBy("iteration").agg(F.sum(sum(F.col(f"c{c}") for c in range(COLS))).alias("sum_variance"))
+    return back.join(spread, "iteration").select(
+        "iteration",
+        "cell",
+        r6("prob", "prob"),
+        r6("num_items", "num_items"),
+        r6(F.col("cont_mean")[0], "m0"),
+        r6(F.col("cont_mean")[1], "m1"),
+        F.concat_ws("", F.col("bin_mean").cast("array<string>")).alias("bin_mean"),
+        r6("bin_epsilon", "bin_epsilon"),
+        r6("sum_variance", "sum_variance"),
+    )
+
+
+def run_indices(spark, sf_dir) -> DataFrame:
+    """External indices of every iteration's labels in a stored run."""
+    path = new_path(spark, "run")
+    fit(
+        T.event_points(spark, sf_dir),
+        start_model(),
+        max_iter=FIT_ITER,
+        update_continuous=True,
+        output_path=path,
+        label_every=1,
+        label_prior="current",
+    )
+    got = evaluate_run(spark, path, T.event_types(spark, sf_dir), (*X.INDEX_NAMES, "nt"))
+    got = got.withColumn("phi", F.col("phi") * F.col("nt") * F.col("nt"))  # digits that survive rounding
+    return got.select("iteration", *[r6(name, name) for name in X.INDEX_NAMES])
+
+
 def _ordered_file(spark, sf_dir, name: str, *values) -> str:
     """Lines in event order: the files' names follow it, so line numbers do."""
     lines = _events(spark, sf_dir).orderBy("event_id").select(F.concat_ws(",", *values).alias("value"))
@@ -346,6 +399,15 @@ def _home_cell(spark, sf_dir) -> DataFrame:
     return home.withColumn("cell", L.cell_index(F.col("row"), F.col("col"), COLS))
 
 
+def random_cells(spark, sf_dir) -> DataFrame:
+    """A drawn start of the vectors' width."""
+    width = prep.checked_width(T.embedding_points(spark, sf_dir))
+    cells = drawn_cells(spark, EMBEDDING_ROWS * EMBEDDING_COLS, width, width, SEED)
+    both = F.arrays_zip("cont_mean", "bin_mean")
+    long = cells.select("cell", "bin_epsilon", F.posexplode(both).alias("pos", "v"))
+    return long.select("cell", "pos", r6("v.cont_mean", "mean"), F.col("v.bin_mean").alias("bit"), r6("bin_epsilon", "epsilon"))
+
+
 def init_cells(spark, sf_dir) -> DataFrame:
     counts = _home_cell(spark, sf_dir).groupBy("cell").agg(F.count("*").alias("n_events"))
     cells = start_model().to_dataframe(spark)
@@ -728,7 +790,7 @@ def internal_indices(spark, sf_dir) -> DataFrame:
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [
         read_delimited, scan_continuous, scan_whitespace, scan_binary, scan_labels, with_row_id,
-        scan_ids, write_cells, resumed_fit, job_labels, read_trajectory, trajectory_sample, write_labels, write_indices,
+        scan_ids, write_cells, refused_run, text_run, run_indices, random_cells, resumed_fit, job_labels, read_trajectory, trajectory_sample, write_labels, write_indices,
         column_min_max, vector_width, minmax_normalize, first_n, drop_leading, concat_features, join_features,
         int_to_bits, vector_arithmetic, row_reductions,
         init_cells, grid_distance, neighborhood, annealing_schedule,
