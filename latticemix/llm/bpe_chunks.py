@@ -4,11 +4,15 @@ A rolling hash over the bytes cuts every text where the bytes say so, so that
 copied passages fall into equal chunks wherever they stand.  Chunks that occur
 more than once are found by their hashes, encoded once, and kept in a perfect
 hash dictionary of memory-mapped ids; a chunk that occurs once is encoded where
-it stands.  A cut may split a word.  So a chunk's ids count from its first to
-its last white space, and each join is encoded anew between those two points,
-over as many chunks as lack white space: there the ids on both sides agree
-exactly with those of the whole text, as no token and no normalisation of this
-tokenizer reaches across ASCII white space.
+it stands.  A cut may split a word, so a chunk's ids count from its first to its
+last white space.  Each join is repaired: the stretch between two chunks is
+encoded together with words of both, and counts once the ids of those words
+agree exactly with those that their chunks have; until then more words are
+taken.  A text whose chunks end before they agree is encoded whole.
+
+Words between white space are kept where the tokenizer, looked at when it is
+loaded, encodes each of them by itself; for any other file the library encodes
+every chunk.
 """
 
 from __future__ import annotations
@@ -54,8 +58,8 @@ class _Words(dict):
         return ids
 
 
-class WordEncoder:
-    """Ids of byte texts, encoding each word between ASCII white space once."""
+class LibraryEncoder:
+    """Ids of byte texts, every one by the library."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -64,17 +68,52 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         tokens = {i: t for t, i in self.tokenizer.get_vocab().items()}
         self.tokens = [tokens.get(i, "") for i in range(max(tokens) + 1)]
+
+    def together(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text, a call of the library for all."""
+        found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, self.dtype).tobytes() for e in found]
+
+    def encode(self, text: bytes) -> bytes:
+        return self.together([text])[0]
+
+    def decode(self, ids: np.ndarray) -> str:
+        if self.tokenizer.decoder is None:  # the library then joins tokens by spaces
+            tokens = self.tokens
+            return " ".join([tokens[i] for i in ids.tolist()])
+        return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
+
+    def trim(self) -> None:
+        """Nothing is kept."""
+
+
+class WordEncoder(LibraryEncoder):
+    """The same, encoding each word between ASCII white space once."""
+
+    # what tells a tokenizer of this kind: case, white space of all kinds, marks, contractions, other scripts
+    PROBES = ("Ab cD\tef  gh\n\nit's DON'T", " a.b, (C) x1y22 é\u0301 ", "\u0130 \u1e9e \u65e5\u672c\x0b!\x0cOne\r\n two...")
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.model = self.tokenizer.model
         self.words, self.parts = _Words(self), {}
 
+    def fits(self) -> bool:
+        """Whether words have the ids that the library gives them within a text, alone and as pieces of letters and marks."""
+        normal = self.tokenizer.normalizer
+        if normal is None or normal.normalize_str("Ab") != "ab":
+            return False
+        texts = [p.encode() for p in self.PROBES]
+        return [self.encode(t) for t in texts] == self.together(texts)
+
     def word(self, word: bytes) -> bytes:
         text = word.decode()
         plain = _PLAIN.fullmatch(text)
         if plain is None:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+            return self.together([word])[0]
         return b"".join([self._part(p) for p in (plain[1].lower(), plain[2]) if p])
 
     def _part(self, part: str) -> bytes:
@@ -88,12 +127,6 @@ class WordEncoder:
     def encode(self, text: bytes) -> bytes:
         return b"".join(map(self.words.__getitem__, text.split()))
 
-    def decode(self, ids: np.ndarray) -> str:
-        if self.tokenizer.decoder is None:  # the library then joins tokens by spaces
-            tokens = self.tokens
-            return " ".join([tokens[i] for i in ids.tolist()])
-        return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
-
     def trim(self) -> None:
         for cache in (self.words, self.parts):
             if len(cache) > CACHE_WORDS:
@@ -105,8 +138,10 @@ def _byte_level(text: str) -> str:
 
 
 @functools.lru_cache(maxsize=4)
-def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def chunk_encoder(path: str) -> LibraryEncoder:
+    """The worker's encoder for a tokenizer file."""
+    by_word = WordEncoder(path)
+    return by_word if by_word.fits() else LibraryEncoder(path)
 
 
 # -- chunks ---------------------------------------------------------------------
@@ -123,13 +158,14 @@ def rolling_hash(data: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Chunked:
-    """Some texts side by side; chunk i's white-space-bounded core is data[first[i]:last[i]]."""
+    """Some texts side by side; chunk i's core is data[first[i]:last[i]], between its first and last of ``blanks``."""
 
     data: bytes
     starts: np.ndarray
     first: np.ndarray
     last: np.ndarray
     doc: np.ndarray
+    blanks: np.ndarray
 
     def cores(self) -> list[bytes]:
         return [self.data[a:b] for a, b in zip(self.first.tolist(), self.last.tolist())]
@@ -149,7 +185,7 @@ def chunk(texts: list[bytes]) -> Chunked:
     left, right = np.searchsorted(blanks, edges[:-1]), np.searchsorted(blanks, edges[1:])
     held = right - left > 1
     first, last = blanks[left[held]], blanks[right[held] - 1]
-    return Chunked(data, starts, first, last, np.searchsorted(starts, first, "right") - 1)
+    return Chunked(data, starts, first, last, np.searchsorted(starts, first, "right") - 1, blanks)
 
 
 def core_hashes(cores: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -210,7 +246,7 @@ def _shared_texts(texts: DataFrame, index: HashCounts) -> DataFrame:
     return texts.mapInArrow(pick, "h1 long, h2 long, core binary").dropDuplicates(["h1", "h2"])
 
 
-KINDS = ARRAYS | {"at": "<u8", "ids": "<u2"}
+KINDS = ARRAYS | {"at": "<u8", "ids": "u1"}
 
 
 def _name(folder: str, shard: int, kind: str) -> str:
@@ -254,14 +290,12 @@ def write_dictionary(texts: DataFrame, folder: str, tokenizer: str, chunks_per_s
     shards = max(1, -(-shared.count() // chunks_per_shard))
 
     def build(table: pa.Table) -> pa.Table:
-        enc, s = word_encoder(tokenizer), table.column("shard")[0].as_py()
+        enc, s = chunk_encoder(tokenizer), table.column("shard")[0].as_py()
         ids = [enc.encode(core) for core in table.column("core").to_pylist()]
         h1, h2 = (table.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2"))
         held = build_index(h1, h2, np.arange(1, len(ids) + 1))
-        if enc.dtype.itemsize != 2:
-            raise ValueError("the dictionary holds 16-bit ids")
-        held["at"] = np.concatenate([[0], np.cumsum([len(i) // 2 for i in ids])])
-        held["ids"] = np.frombuffer(b"".join(ids), "<u2")
+        held["at"] = np.concatenate([[0], np.cumsum([len(i) for i in ids])])
+        held["ids"] = np.frombuffer(b"".join(ids), np.uint8)
         for kind, dtype in KINDS.items():
             write_file(_name(folder, s, kind), [held[kind].astype(dtype).tobytes()])
         return pa.table({"shard": [s]})
@@ -271,26 +305,91 @@ def write_dictionary(texts: DataFrame, folder: str, tokenizer: str, chunks_per_s
     return Dictionary(folder, shards, frozenset(r.shard for r in built))
 
 
-def encode_slice(texts: list[bytes], enc: WordEncoder, dictionary: Dictionary) -> list[bytes]:
-    """Ids of each text: cores from the dictionary or encoded here, joins always encoded here."""
-    some = chunk(texts)
-    cores = some.cores()
-    known = dictionary.find(*core_hashes(cores)) if cores else []
-    core_ids = [enc.encode(core) if ids is None else ids for core, ids in zip(cores, known)]
+@dataclass
+class _Join:
+    """The stretch data[at:end] between two cores of a text, or one core and the text's edge; -1 stands for none."""
+
+    doc: int
+    left: int
+    right: int
+    at: int
+    end: int
+
+
+def _joins(some: Chunked) -> list[_Join]:
+    """All joins in text order: one before each core, and one behind a text's last."""
     out, i = [], 0
     first, last, doc = some.first.tolist(), some.last.tolist(), some.doc.tolist()
     bounds = some.starts.tolist()
     for d, (at, end) in enumerate(zip(bounds[:-1], bounds[1:])):
-        parts = []
+        left = -1
         while i < len(doc) and doc[i] == d:
-            parts += (enc.encode(some.data[at : first[i]]), core_ids[i])
-            at = last[i]
+            out.append(_Join(d, left, i, at, first[i]))
+            left, at = i, last[i]
             i += 1
-        parts.append(enc.encode(some.data[at:end]))
-        out.append(b"".join(parts))
+        out.append(_Join(d, left, -1, at, end))
     return out
 
 
+def repaired(some: Chunked, core_ids: list[bytes], enc: LibraryEncoder) -> tuple[list[bytes | None], list[_Join]]:
+    """Ids of every join, none where the cores end before both sides agree; and the joins."""
+    joins = _joins(some)
+    out: list[bytes | None] = [None] * len(joins)
+    blanks, data = some.blanks, some.data
+    first, last = some.first.tolist(), some.last.tolist()
+    first_at, last_at = (np.searchsorted(blanks, x).tolist() for x in (some.first, some.last))
+    open_joins, words = list(range(len(joins))), 1
+    while open_joins:
+        spans = []
+        for j in open_joins:
+            join = joins[j]
+            a, b = join.at, join.end
+            if join.left >= 0:
+                a = int(blanks[max(last_at[join.left] - words, first_at[join.left])])
+            if join.right >= 0:
+                b = int(blanks[min(first_at[join.right] + words, last_at[join.right])])
+            spans.append((a, b))
+        found = enc.together([data[a:b] for a, b in spans])
+        rest = []
+        for j, (a, b), ids in zip(open_joins, spans, found):
+            join = joins[j]
+            before = enc.encode(data[a : join.at]) if a < join.at else b""
+            behind = enc.encode(data[join.end : b]) if join.end < b else b""
+            agree = (
+                len(before) + len(behind) <= len(ids)
+                and ids.startswith(before)
+                and ids.endswith(behind)
+                and (join.left < 0 or core_ids[join.left].endswith(before))
+                and (join.right < 0 or core_ids[join.right].startswith(behind))
+            )
+            if agree:
+                out[j] = ids[len(before) : len(ids) - len(behind)]
+            elif (join.left >= 0 and a > first[join.left]) or (join.right >= 0 and b < last[join.right]):
+                rest.append(j)
+        open_joins, words = rest, 2 * words
+    return out, joins
+
+
+def encode_slice(texts: list[bytes], enc: LibraryEncoder, dictionary: Dictionary) -> list[bytes]:
+    """Ids of each text: cores from the dictionary or encoded here, joins repaired here."""
+    some = chunk(texts)
+    cores = some.cores()
+    known = dictionary.find(*core_hashes(cores)) if cores else []
+    core_ids = [enc.encode(core) if ids is None else ids for core, ids in zip(cores, known)]
+    ids_of, joins = repaired(some, core_ids, enc)
+    parts: list[list[bytes] | None] = [[] for _ in texts]
+    for join, ids in zip(joins, ids_of):
+        held = parts[join.doc]
+        if ids is None:
+            parts[join.doc] = None
+        elif held is not None:
+            held.append(ids)
+            if join.right >= 0:
+                held.append(core_ids[join.right])
+    whole = iter(enc.together([t for t, p in zip(texts, parts) if p is None]))
+    return [next(whole) if p is None else b"".join(p) for p in parts]
+
+
 def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, ids binary, decoded) of every row: little-endian unsigned 32-bit ids and their decoding.
 
@@ -299,10 +398,11 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    chunk_encoder(tokenizer)  # a file that can't be read fails here
     dictionary = write_dictionary(rows.select("text"), new_path(docs.sparkSession, "chunks"), tokenizer)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = word_encoder(tokenizer)
+        enc = chunk_encoder(tokenizer)
         for batch in batches:
             for start, some in _slices(batch, 1):
                 found = [np.frombuffer(i, enc.dtype) for i in encode_slice(some, enc, dictionary)]

@@ -5,6 +5,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import reference as R
@@ -69,7 +70,8 @@ def test_chunks_give_the_ids_of_whole_texts():
     class Nothing:
         find = staticmethod(lambda h1, h2: [None] * len(h1))
 
-    texts, tokenizer, enc = odd_texts(), library(WORD), bpe_chunks.word_encoder(WORD)
+    texts, tokenizer, enc = odd_texts(), library(WORD), bpe_chunks.chunk_encoder(WORD)
+    assert isinstance(enc, bpe_chunks.WordEncoder)
     got = bpe_chunks.encode_slice([t.encode() for t in texts], enc, Nothing)
     for t, ids in zip(texts, got):
         ids = np.frombuffer(ids, enc.dtype)
@@ -87,6 +89,49 @@ def test_copied_passages_fall_into_equal_chunks():
     assert set(both.cores()) == cores[0] | cores[1]  # a text's cuts don't depend on its neighbours
 
 
+def test_joins_are_repaired_for_other_tokenizers():
+    """A tokenizer that keeps case and white space: the library encodes, and joins widen until both sides agree."""
+
+    class Nothing:
+        find = staticmethod(lambda h1, h2: [None] * len(h1))
+
+    enc = bpe_chunks.chunk_encoder(BYTE)
+    assert not isinstance(enc, bpe_chunks.WordEncoder)
+    rng = random.Random(12)
+    texts = odd_texts(300) + ["Hello World, Foo  bar", "x" * 9000, " " * 3000, "a b " * 900, "\n \n" * 700]
+    texts += [" ".join(rng.choice(["Word", "two", "  ", "\n", "9,", "l'été"]) for _ in range(2000)) for _ in range(20)]
+    want = [e.ids for e in library(BYTE).encode_batch(texts, add_special_tokens=False)]
+    got = bpe_chunks.encode_slice([t.encode() for t in texts], enc, Nothing)
+    assert [np.frombuffer(g, enc.dtype).tolist() for g in got] == want
+
+
+def test_a_join_widens_until_both_sides_agree():
+    class Picky(bpe_chunks.LibraryEncoder):
+        """An encoder whose ids of a word depend on the two words before it."""
+
+        dtype = np.dtype("<u2")
+
+        def __init__(self):
+            self.calls = 0
+
+        def together(self, texts):
+            self.calls += 1
+            out = []
+            for t in texts:
+                words = t.split()
+                out.append(np.array([sum(map(len, words[max(0, i - 2) : i + 1])) for i in range(len(words))], self.dtype).tobytes())
+            return out
+
+    rng = random.Random(2)
+    texts = [" ".join("w" * rng.randint(1, 9) for _ in range(800)).encode() for _ in range(5)]
+    some, enc = bpe_chunks.chunk(texts), Picky()
+    cores = [enc.encode(c) for c in some.cores()]
+    enc.calls = 0
+    found, joins = bpe_chunks.repaired(some, cores, enc)
+    assert enc.calls > len(joins) and any(f is None for f in found)  # words behind a join never agree
+    assert bpe_chunks.encode_slice(texts, enc, type("None", (), {"find": staticmethod(lambda a, b: [None] * len(a))})) == enc.together(texts)
+
+
 def test_chunk_query_equals_the_library(spark, sf_dir, documents):
     tokenizer = library(WORD)
     got = {r.doc_id: r for r in queries.op7_bpe_chunks(spark, sf_dir).collect()}
@@ -99,7 +144,9 @@ def test_chunk_query_equals_the_library(spark, sf_dir, documents):
 
 
 def test_shared_chunks_come_from_the_dictionary(spark):
-    docs = R.edge_documents(spark).select("doc_id", "text")
+    docs = R.edge_documents(spark)
+    for name in ("ids", "decoded", "h1", "core", "shard", "n"):
+        docs = docs.withColumn(name, F.lit("taken"))
     docs = docs.union(docs).union(docs)
     folder = new_path(spark, "chunks")
     dictionary = bpe_chunks.write_dictionary(docs.select("text"), folder, WORD, chunks_per_shard=2)
