@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 from ast import literal_eval
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -344,23 +345,21 @@ def fit_field(examples: list[tuple[tuple[str, ...], tuple[Span, ...], int]]) ->
 
 def _tokens_of(stretch: Stretch, start: int, end: int) -> tuple[int, int] | None:
     """The tokens that the characters cover, if they begin and end at tokens' edges."""
-    i, j = np.searchsorted(stretch.edges, (start, end)).tolist()
-    return (i, j) if stretch.edges[i] == start and j < len(stretch.edges) and stretch.edges[j] == end else None
+    i, j = bisect_left(stretch.edges, start), bisect_left(stretch.edges, end)
+    return (i, j) if i < len(stretch.edges) and stretch.edges[i] == start and j < len(stretch.edges) and stretch.edges[j] == end else None
 
 
-def example(stretch: Stretch, spans: list[Span], dropped: list[tuple[int, int]]) -> tuple | None:
+def example(stretch: Stretch, spans: list[Span], doubtful: bool) -> tuple | None:
     """What the field learns from a stretch: its classes and spans in tokens.  Nothing if it holds what isn't sure."""
-    low, high = stretch.edges[0], stretch.edges[-1]
-    if len(stretch.classes) - 2 > FIT_TOKENS or any(a < high and b > low for a, b in dropped):
+    if len(stretch.classes) - 2 > FIT_TOKENS or doubtful:
         return None
     out, at = [], 0
     for kind, a, b in spans:
-        if a < high and b > low:
-            tokens = _tokens_of(stretch, a, b)
-            if tokens is None or tokens[0] < at or tokens[1] - tokens[0] > MAX_TOKENS:
-                return None
-            out.append((kind, *tokens))
-            at = tokens[1]
+        tokens = _tokens_of(stretch, a, b)
+        if tokens is None or tokens[0] < at or tokens[1] - tokens[0] > MAX_TOKENS:
+            return None
+        out.append((kind, *tokens))
+        at = tokens[1]
     if out:
         first, last, _ = segments(stretch.classes)
         if not {s[1:] for s in out} <= set(zip(first.tolist(), last.tolist())):
@@ -389,9 +388,9 @@ def fit(docs: DataFrame, stretches_fitted: int = FIT_STRETCHES) -> SemiMarkov:
 
         for part in batches:
             for _, text in _with_triggers(part.column(0)):
-                spans, dropped = base_spans(text)
+                near = _Near(*base_spans(text))
                 for stretch in stretches(text):
-                    if known := example(stretch, _near(spans, stretch), dropped):
+                    if known := example(stretch, *near.of(stretch)):
                         found[known] += 1
             if len(found) > CACHE:
                 yield batch()
@@ -403,9 +402,23 @@ def fit(docs: DataFrame, stretches_fitted: int = FIT_STRETCHES) -> SemiMarkov:
     return fit_field([(*literal_eval(r.example), r.n) for r in chosen])
 
 
-def _near(spans: list[Span], stretch: Stretch) -> list[Span]:
-    low, high = stretch.edges[0], stretch.edges[-1]
-    return [s for s in spans if s[1] < high and s[2] > low]
+class _Near:
+    """Base spans of a text by stretch, for stretches in text order."""
+
+    def __init__(self, spans: list[Span], dropped: list[tuple[int, int]] = ()):
+        self.spans, self.dropped = list(spans), sorted(dropped)
+
+    def of(self, stretch: Stretch) -> tuple[list[Span], bool]:
+        """The spans that meet the stretch, and whether a dropped match does."""
+        low, high = stretch.edges[0], stretch.edges[-1]
+        found = []
+        for rows, start, end in ((self.spans, 1, 2), (self.dropped, 0, 1)):
+            n = 0
+            while n < len(rows) and rows[n][start] < high:
+                n += 1
+            found.append([r for r in rows[:n] if r[end] > low])
+            rows[:n] = [r for r in rows[:n] if r[end] > high]  # the rest lies before the next stretch
+        return found[0], bool(found[1])
 
 
 class Finder:
@@ -415,12 +428,11 @@ class Finder:
         self.field, self.decoded = field, {}
 
     def added(self, text: str, spans: list[Span]) -> list[Span]:
-        out = []
+        out, near = [], _Near(spans)
         for stretch in stretches(text):
             taken = set()
-            for _, a, b in _near(spans, stretch):
-                i = int(np.searchsorted(stretch.edges, a, "right")) - 1
-                taken.update(range(max(i, 0), int(np.searchsorted(stretch.edges, b))))
+            for _, a, b in near.of(stretch)[0]:
+                taken.update(range(max(bisect_right(stretch.edges, a) - 1, 0), bisect_left(stretch.edges, b)))
             key = stretch.classes, frozenset(taken)
             if key not in self.decoded:
                 if len(self.decoded) > CACHE:

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-from urllib.parse import urlparse
-
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..files import map_file, read_bytes, write_file  # noqa: F401  for the operators
 from ..session import new_path
 
 
@@ -38,56 +34,6 @@ def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _local(uri: str) -> str | None:
-    parsed = urlparse(uri)
-    return parsed.path if parsed.scheme in ("", "file") else None
-
-
-def write_file(uri: str, parts) -> None:
-    """Write byte strings as one file that appears whole or not at all.
-
-    A repeated task writes the same bytes again, so the last rename wins.
-    """
-    local = _local(uri)
-    if local is None:
-        from pyarrow import fs
-
-        system, path = fs.FileSystem.from_uri(uri)
-        system.create_dir(os.path.dirname(path), recursive=True)
-        with system.open_output_stream(path) as out:
-            for part in parts:
-                out.write(part)
-        return
-    os.makedirs(os.path.dirname(local), exist_ok=True)
-    draft = f"{local}.{uuid.uuid4().hex}"
-    with open(draft, "wb") as out:
-        for part in parts:
-            out.write(part)
-    os.replace(draft, local)
-
-
-def map_file(uri: str, dtype) -> np.ndarray:
-    """The file as an array: memory-mapped, or read if the store can't be mapped."""
-    local = _local(uri)
-    if local is None:
-        from pyarrow import fs
-
-        system, path = fs.FileSystem.from_uri(uri)
-        with system.open_input_stream(path) as stream:
-            return np.frombuffer(stream.read(), dtype)
-    if os.path.getsize(local) == 0:
-        return np.empty(0, dtype)
-    return np.memmap(local, dtype, mode="r")
-
-
-def read_bytes(uri: str) -> bytes:
-    local = _local(uri)
-    if local is None:
-        return map_file(uri, np.uint8).tobytes()
-    with open(local, "rb") as stream:
-        return stream.read()
-
-
 def arrow_schema(df_schema) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -102,9 +102,9 @@ def field():
         rows.append(f"{word()} {word()} {body} {word()}.")
     counted = {}
     for text in rows:
-        spans, dropped = D.base_spans(text)
+        near = D._Near(*D.base_spans(text))
         for s in D.stretches(text):
-            if known := D.example(s, D._near(spans, s), dropped):
+            if known := D.example(s, *near.of(s)):
                 counted[known] = counted.get(known, 0) + 1
     examples = [(*k, n) for k, n in counted.items()]
     made = D.fit_field(examples)
