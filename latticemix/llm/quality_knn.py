@@ -138,15 +138,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, late
     """Voters from at most ``sample_rows`` labelled documents that are not held out.
 
     ``labels`` (doc_id, quality): rows with a null are ignored, of repeated ids
-    the mean counts.  The sample is the ids of least hash.
+    the mean counts.  The sample is the ids of least hash; of documents with one
+    id, the text of least hash stands for all, so the bound is on rows.
     """
     idf = inverse_frequencies(docs)
     known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("double")).dropna()
     known = known.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.avg("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    # the sample's size is its parameter
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("quality", "text", "doc_id")
+    # the sample's size is its parameter; a repeated id is one text before the shuffle
+    found = texts.join(F.broadcast(chosen), "doc_id")
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("one")
+    sample = found.groupBy("doc_id").agg(F.first("quality").alias("quality"), one).select("quality", "one.text", "doc_id")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _text_batches(batches, 1):
@@ -190,7 +193,12 @@ def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
 
 
 def keep_predicted(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of ``docs`` predicted as quality 1, all columns kept."""
+    """The rows of ``docs`` predicted as quality 1, all columns kept.
+
+    Null and empty texts go by the overall share of label 1, without any label
+    they stay; repeated rows stay or go together, null ids too; an empty table
+    gives no rows.
+    """
     voters = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample_rows))
     at = docs.columns.index("text")
 

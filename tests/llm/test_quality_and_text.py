@@ -1,3 +1,6 @@
+import collections
+import math
+import re
 import zlib
 
 import numpy as np
@@ -73,6 +76,80 @@ def test_classifier_of_odd_texts_and_labels(spark, sf_dir):
     assert quality_knn.keep_predicted(docs, labels.limit(0)).columns == docs.columns
 
 
+def voted(texts, sample, frequencies, n_docs, latent, neighbours):
+    """The vote by hand: weights, latent vectors and cosines one text at a time."""
+    Q = quality_knn
+    runs = re.compile(rb"([a-z\x80-\xff]+)|([A-Z]+)|([0-9]+)|(.)\4*", re.S)
+    # a run of small letters may begin only with one, as the pattern of the operator has it
+    shape_of = lambda w: runs.sub(lambda m: b"a" if m[1] else b"A" if m[2] else b"0" if m[3] else m[4], w)
+
+    def weights(text):
+        words = (text or b"").split()
+        counts = collections.Counter()
+        for w in words:
+            counts[zlib.crc32(w.lower()) % Q.WORD_BUCKETS] += 1
+            counts[Q.WORD_BUCKETS + zlib.crc32(shape_of(w)) % Q.SHAPE_BUCKETS] += 1
+        keys = [(zlib.crc32(w.lower()) % Q.WORD_BUCKETS, zlib.crc32(shape_of(w)) % Q.SHAPE_BUCKETS) for w in words]
+        if len(words) > 2:
+            windows = list(zip(keys, keys[1:], keys[2:]))
+            share = 1 - len(set(windows)) / len(windows)
+            counts[Q.WORD_BUCKETS + Q.SHAPE_BUCKETS + math.ceil(share * (Q.REPEAT_CODES - 1))] = 1
+        return counts
+
+    def vector(counts, df):
+        out = np.zeros(Q.WIDTH)
+        for b, n in counts.items():
+            out[b] = math.log1p(n) * (math.log((1 + n_docs) / (1 + df.get(b, 0))) + 1)
+        for part in np.split(out, [Q.WORD_BUCKETS, Q.WORD_BUCKETS + Q.SHAPE_BUCKETS]):
+            norm = math.sqrt((part**2).sum())
+            part /= norm or 1
+        return out
+
+    df = frequencies(weights)
+    x = np.array([vector(weights(t), df) for t, _ in sample])
+    basis = np.linalg.svd(x, full_matrices=False)[2][:latent].T
+    unit = lambda v: v / (math.sqrt((v**2).sum()) or 1)
+    known = [(unit(v @ basis), y) for v, (_, y) in zip(x, sample)]
+    prior = sum(y for _, y in known) / len(known)
+    out = []
+    for t in texts:
+        mine = unit(vector(weights(t), df) @ basis)
+        near = sorted(((float(mine @ v), y) for v, y in known), reverse=True)[:neighbours]
+        votes = [(max(0.0, min(1.0, c)) ** Q.SHARPNESS, y) for c, y in near]
+        total = sum(v for v, _ in votes)
+        out.append((sum(v * y for v, y in votes) + Q.PRIOR_VOTES * prior) / (total + Q.PRIOR_VOTES))
+    return out
+
+
+def test_votes_counted_by_hand(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    texts = {r.doc_id: r.text.encode() for r in docs.collect()}
+    sample = [(texts[r.doc_id], r.quality) for r in labels.orderBy("doc_id").collect() if r.doc_id in texts and zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+
+    def frequencies(weights):
+        df = collections.Counter()
+        for t in texts.values():
+            df.update(weights(t).keys())
+        return df
+
+    latent = min(quality_knn.LATENT, len(sample) // 2)  # well within the rank, where the basis is unique
+    voters = quality_knn.fit(docs, labels, latent=latent)
+    got = [r.score for r in quality_knn.score(docs, voters).orderBy("doc_id").collect()]
+    want = voted([texts[i] for i in sorted(texts)], sample, frequencies, len(texts), latent, quality_knn.NEIGHBOURS)
+    assert np.median(np.abs(np.subtract(got, want))) < 1e-5
+    # neighbours of equal similarity may be others
+    assert np.mean(np.abs(np.subtract(got, want)) < 1e-4) > 0.98
+
+
+def test_the_sample_is_bounded_by_rows(spark):
+    docs = spark.range(30_000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    docs = docs.union(spark.range(200).select(F.col("id"), F.concat(F.lit("other "), F.col("id").cast("string"))))
+    labels = spark.range(200).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    assert len(quality_knn.fit(docs, labels).labels) <= 200
+    assert len(quality_knn.fit(docs, labels, sample_rows=50).labels) == 50
+
+
 def test_labels_lang_source_and_id_do_not_reach_a_score(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
