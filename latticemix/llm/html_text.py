@@ -1,9 +1,13 @@
 """Main text of web pages by composite text density.
 
-A page becomes a tree; what never belongs to an article (scripts, menus,
+A page becomes a tree; what never belongs to an article (scripts, menus, page
 headers, footers, sidebars, notices, adverts, forms, reader comments) is cut by
-element, role and class name; if cuts by name leave no text, the outermost of them
-are taken back.  Every other node has its characters per tag,
+element, role and class name.  A frame so named, or a form, that holds the article
+or most of the page's text is none of these, and if cuts by name leave no text,
+the outermost of them are taken back.  A header within an article is the
+article's own and stays.  On paragraphs and headings a name that only contains
+such a word does not cut: it halves the density, and what is then thinner than
+the page and the threshold below, or a third link text, goes.  Every other node has its characters per tag,
 adjusted by the share of its link text; a node's density sum is the sum of its
 children's densities.  The subtree with the largest sum is chosen.  The least
 density on the path from it to the body is the threshold: the chosen node
@@ -15,6 +19,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,6 +53,15 @@ MARKS = frozenset(
 ARTICLE_MARKS = frozenset(
     "ad ads advert advertisement sponsored promo comment comments reply replies respond related teaser".split()
 )
+# With one of these a header is the article's, not the page's.
+CONTENT_WORDS = frozenset("article content entry post story".split())
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th caption figcaption".split())
+# Elements that begin and end a block; unknown elements don't.
+BLOCKS = PARAGRAPHS | frozenset(
+    "html body main article section div nav header footer aside address ul ol dl menu table thead tbody tfoot tr "
+    "colgroup form fieldset legend details summary dialog figure center dir hgroup hr noscript search optgroup option "
+    "select frameset noframes listing plaintext xmp template iframe textarea button title head".split()
+)
 COMMENT_MARKS = frozenset("comment comments reply replies respond disqus".split())
 _CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form "
@@ -67,17 +81,20 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parts", "skipped", "chars", "tags", "link_chars", "link_tags", "density", "total", "parent")
+    __slots__ = ("tag", "parts", "skipped", "marked", "chars", "tags", "link_chars", "link_tags", "density", "total", "parent")
 
     def __init__(self, tag: str, parent: Node | None, skipped: int):
-        self.tag, self.parent, self.skipped = tag, parent, skipped
+        self.tag, self.parent = tag, parent
+        self.skipped, self.marked = (0, True) if skipped == _LOWERED else (skipped, False)
         self.parts: list[Node | str] = []
 
     def children(self) -> Iterator[Node]:
         return (p for p in self.parts if not isinstance(p, str) and not p.skipped)
 
 
-_BY_NAME, _BY_TAG = 1, 2
+_BY_NAME, _BY_TAG, _LOWERED = 1, 2, 3
+# What a name takes off a paragraph's density, and the share of link text that a paragraph so named may have.
+MARKED_DENSITY, MARKED_LINKS = 0.5, 1 / 3
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -97,20 +114,28 @@ def _hidden(attributes: dict[str, str]) -> bool:
 
 
 def _boilerplate(tag: str, attributes: str) -> int:
-    """Not (0), by a role, class or id (``_BY_NAME``), or whatever it holds (``_BY_TAG``)."""
-    if tag in SKIPPED:
+    """Not (0), by a role, class or id (``_BY_NAME``), whatever it holds (``_BY_TAG``), or as its density has it (``_LOWERED``)."""
+    if tag in SKIPPED and tag != "form":
         return _BY_TAG
     if not attributes or tag in ("html", "body", "main"):
-        return 0
+        return _BY_NAME if tag == "form" else 0
     values = _attributes(attributes)
     if _hidden(values):
         return _BY_TAG
+    if tag == "form":
+        return _BY_NAME
     marks = ARTICLE_MARKS if tag == "article" else MARKS
     for name in [n for n in values if n in ("class", "id", "role")]:
         value = values[name].strip().lower()
         words = _NAMES.findall(_BESIDE.sub(" ", value))
-        if value in ROLES if name == "role" else not marks.isdisjoint(words):
-            return _BY_NAME if COMMENT_MARKS.isdisjoint(words) else _BY_TAG
+        found = marks.intersection(words)
+        if name == "role":
+            if value in ROLES:
+                return _BY_NAME
+        elif found and not (found == {"header"} and not CONTENT_WORDS.isdisjoint(words)):
+            if not COMMENT_MARKS.isdisjoint(words):
+                return _BY_TAG
+            return _LOWERED if tag in PARAGRAPHS and found.isdisjoint(value.split()) else _BY_NAME
     return 0
 
 
@@ -118,6 +143,7 @@ def parse(page: str) -> Node:
     """The tree of a page, with the end tags that HTML lets authors leave out."""
     root = Node("html", None, 0)
     at, node, end = 0, root, len(page)
+    opened = _Open()
     while at < end:
         found = _TOKEN.search(page, at)
         stop = found.start() if found else end
@@ -131,11 +157,12 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if slash:
-            node = _close(node, tag)
+            node = opened.left(node, _close(node, tag) if opened.may_close(tag) else node)
             continue
-        if tag in _CLOSES_P or tag in _SAME:
-            node = _implied(node, tag)
-        child = Node(tag, node, _boilerplate(tag, attributes))
+        if tag in _SAME or tag in _CLOSES_P and opened.total["p"]:
+            node = opened.left(node, _implied(node, tag))
+        cut = _boilerplate(tag, attributes)
+        child = Node(tag, node, 0 if tag == "header" and cut == _BY_TAG and opened.total["article"] else cut)
         if tag in ("article", "main") and not child.skipped:
             _keep_around(node)
         node.parts.append(child)
@@ -145,9 +172,55 @@ def parse(page: str) -> Node:
             at = close.end() if close else end
         elif tag not in VOID and not attributes.endswith("/"):
             node = child
+            opened.entered(tag)
     return root
 
 
+class _Open:
+    """How many elements of each name are open, in all and since the last section began.
+
+    An end tag without an open element is passed over without a walk up the tree.
+    """
+
+    def __init__(self):
+        self.total: Counter = Counter()
+        self.sections: list[Counter] = [Counter()]
+
+    def entered(self, tag: str) -> None:
+        self.total[tag] += 1
+        if tag in SECTIONS:
+            self.sections.append(Counter())
+        self.sections[-1][tag] += 1
+
+    def may_close(self, tag: str) -> bool:
+        return (self.sections[-1] if tag in INLINE else self.total)[tag] > 0
+
+    def left(self, node: Node, to: Node) -> Node:
+        while node is not to:
+            self.total[node.tag] -= 1
+            self.sections[-1][node.tag] -= 1
+            if node.tag in SECTIONS and len(self.sections) > 1:
+                self.sections.pop()
+            node = node.parent
+        return to
+
+
+def _keep_large(root: Node) -> None:
+    """Without an article or main part, a frame cut by name that holds over half of the text is a frame of it."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(p for p in node.parts if not isinstance(p, str) and p.skipped != _BY_TAG)
+    if any(n.tag in ("article", "main") and not n.skipped for n in order):
+        return
+    for node in reversed(order):
+        node.chars = sum(len(p.strip()) if isinstance(p, str) else 0 if p.skipped == _BY_TAG else p.chars for p in node.parts)
+    for node in order:
+        if node.skipped == _BY_NAME and 2 * node.chars > root.chars:
+            node.skipped = 0
+
+
 def _keep_around(node: Node | None) -> None:
     """A frame named for its sidebar or header is no boilerplate if it holds the article."""
     around, walk = [], node
@@ -232,6 +305,7 @@ def main_node(root: Node) -> Node | None:
         if best is None or node.total > best.total:
             best = node
     threshold, walk = best.density, best
+    held = best
     while walk.parent is not None and walk.tag != "body":
         threshold = min(threshold, walk.density)
         walk = walk.parent
@@ -240,6 +314,10 @@ def main_node(root: Node) -> Node | None:
         if not _worthy(best, threshold):
             break
         best = best.parent
+    for node in order:
+        if node.marked and node is not held:
+            thin = MARKED_DENSITY * node.density < min(threshold, root.density)
+            node.skipped = _BY_NAME if thin or node.link_chars > MARKED_LINKS * node.chars else 0
     return best
 
 
@@ -271,7 +349,7 @@ def blocks(node: Node) -> list[str]:
         elif part.tag == "br":
             line.append(" ")
         elif not part.skipped:
-            block = part.tag not in INLINE
+            block = part.tag in BLOCKS
             if block:
                 flush()
                 stack.append(None)
@@ -302,6 +380,7 @@ def _undo_names(root: Node) -> None:
 def main_text(page: str) -> str:
     """The article of a page: its blocks, one per line; empty if there is none."""
     root = parse(page)
+    _keep_large(root)
     for again in (False, True):
         if again:
             _undo_names(root)
@@ -315,7 +394,7 @@ def main_text(page: str) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages`` (page_id, url, html).
 
-    Null, empty and textless pages give an empty text of 0 characters.  Rows are
+    Work and memory grow with a page's length, however long it is.  Null, empty and textless pages give an empty text of 0 characters.  Rows are
     independent, so repeated rows repeat; an empty table gives no rows; other
     columns are ignored.
     """

@@ -230,6 +230,58 @@ def test_marks_still_cut():
     assert html_text.main_text('<body><div class="header">' * 2000 + "deep" + "</div>" * 2000) == "deep"
 
 
+def test_forms_own_headers_and_named_paragraphs_keep_their_text():
+    get = html_text.main_text
+    assert get("<body><form><article><h1>Head</h1><p>Text of it.</p></article></form></body>") == "Head\nText of it."
+    long = "Words of the text. " * 20
+    assert get(f"<body><form><div><p>{long}</p></div><input><button>Go</button></form></body>") == long.strip()
+    assert get("<body><article><header><h1>Head</h1></header><p>Text of it.</p></article></body>") == "Head\nText of it."
+    social = ("A social history. " * 9).strip()
+    page = (
+        "<body><header><h1>Site</h1></header><div><div class='article-header'><h1>The title</h1></div>"
+        f"<p>{long}</p><p class='social-history'>{social}</p><p class='copyright-line'>(c) x</p><p class='ad'>Buy</p>"
+        f"<p class='related-links'>{'<a href=x>One more text to read</a> ' * 5}</p></div></body>"
+    )
+    assert get(page) == f"The title\n{long.strip()}\n{social}"
+    assert get("<body><p>aa <x-word>bb</x-word> cc</p></body>") == "aa bb cc"
+    small = "<body><form><p>Mail?</p><input></form>" + f"<div><p>{long}</p><p>{long}</p></div></body>"
+    assert get(small) == f"{long.strip()}\n{long.strip()}"
+
+
+def plain_page(rng):
+    """A page of bare divs: link lists, teasers and short notes around one article; and the article's blocks."""
+    words = lambda n: " ".join(rng.choice(["river", "stone", "evening", "about", "the", "of", "a"]) for _ in range(n))
+    links = lambda n: "".join(f"<div><a href='/{i}'>{words(3)}</a></div>" for i in range(n))
+    blocks = [words(5), *(words(rng.randint(35, 80)) + "." for _ in range(rng.randint(4, 9)))]
+    article = f"<h2>{blocks[0]}</h2>" + "".join(f"<p>{b}</p>" for b in blocks[1:])
+    page = (
+        f"<body><div>{links(8)}</div><div><div>{links(rng.randint(4, 12))}</div><div>{article}</div>"
+        f"<div><div>{words(4)}</div><div><a href=x>{words(6)}</a></div>{links(5)}</div></div><div><div>{words(6)}</div>{links(4)}</div></body>"
+    )
+    return page, blocks
+
+
+def test_density_decides_on_pages_of_bare_divs(monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    pages = [plain_page(rng) for _ in range(60)]
+    assert all(html_text.main_text(page) == "\n".join(blocks) for page, blocks in pages)
+    monkeypatch.setattr(html_text, "_density", lambda node, ratio: 0.0)  # without densities all of the page is left
+    assert all(html_text.main_text(page) != "\n".join(blocks) for page, blocks in pages)
+
+
+@pytest.mark.parametrize(
+    "page", ["<div>" * 100_000 + "</span>" * 100_000, "<b><article>" + "<i>" * 100_000 + "</b>" * 100_000, "<p>" + "a <b>" * 200_000], ids=["other", "inline", "unclosed"]
+)
+def test_stray_tags_of_long_pages_take_linear_time(page):
+    import time
+
+    start = time.perf_counter()
+    html_text.main_text(page)
+    assert time.perf_counter() - start < 20
+
+
 def test_page_query_gives_the_articles(spark, sf_dir):
     import html
     import re
