@@ -44,11 +44,11 @@ from .token_units import ByteEncoder, cut_texts, encoder, gather, slices
 RADIXES = 128
 FAN_IN = 512
 BLOCK_PAIRS = 4096
-RUN_BYTES = 8_000_000
+RUN_BYTES = 5_000_000
 # Tasks that fold runs, at most.
 MAX_TASKS = 20_000
 # Units kept per worker; a full cache is emptied and filled again.
-CACHE_UNITS = 300_000
+CACHE_UNITS = 150_000
 _DOC_BITS, _TIMES_BITS = 24, 8
 _RUN = "radix int, run long, at int, first long, n long, keys binary, counts binary"
 _COLUMNS = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
