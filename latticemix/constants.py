@@ -38,10 +38,8 @@ CENTROID_STEMS = {"contCentroid": "cont_mean", "binCentroid": "bin_mean"}
 LABEL_STEM = "labels-"
 
 # Size bounds of this build (ours, not results): values held on the driver or
-# sent to every task, rows held by one pairwise task and rows streamed past them.
+# sent to every task, bytes of a stored block of rows, tasks a core.
 MAX_MODEL_VALUES = 4_000_000
 MAX_BROADCAST_VALUES = 4_000_000
-PAIR_BLOCK_ROWS = 16_384
 BLOCK_BYTES = 1 << 25
 TASKS_PER_CORE = 64
-STRIPE_ROWS = 4_000_000

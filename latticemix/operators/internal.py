@@ -8,15 +8,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import MAX_BROADCAST_VALUES, PAIR_BLOCK_ROWS
+from ..constants import MAX_BROADCAST_VALUES
 from ..functions import vectors as V
 from ..session import materialize
-from .label_files import LabelFiles, distance_chunks, one_array, over_targets, vectors, write_label_files
-from .pairwise import fold_over_all
+from .ball_tree import LEAF_ROWS, largest_ratios
+from .label_files import LabelFiles, one_array, over_targets, write_label_files
 
 # Labels above this share of the rows are fewer than HOT_SHARE.
 HOT_SHARE = 1000
@@ -92,40 +91,16 @@ def cluster_scatter(labelled: DataFrame, width: int) -> DataFrame:
     return scatter.join(profile, "label").select("label", "scatter", "center")
 
 
-def cluster_similarities(scatters: DataFrame, block_rows: int = PAIR_BLOCK_ROWS) -> DataFrame:
+def cluster_similarities(scatters: DataFrame, block_rows: int = LEAF_ROWS) -> DataFrame:
     """(label, similarity): the largest (S_i + S_j) / centre distance per cluster.
 
     Coincident centres give infinity (NULL if both scatters are 0 as well).
+    ``block_rows`` clusters make a leaf of the tree that is searched.
     """
-    kind = scatters.schema["label"].dataType.simpleString()
-    table = materialize(scatters)
-
-    def worst(targets, sources):
-        own = targets.column("scatter").to_numpy()
-        centers = vectors(targets.column("center"))
-        labels = targets.column("label")
-        best = np.full(len(own), -np.inf)
-        for batch in sources:
-            scatter = batch.column("scatter").to_numpy(zero_copy_only=False)
-            position = pc.index_in(batch.column("label"), value_set=labels).to_pylist()
-            for part, dist in distance_chunks(centers, vectors(batch.column("center"))):
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    ratio = (own[part, None] + scatter) / dist
-                for j, i in enumerate(position):
-                    if i is not None and part.start <= i < part.stop:
-                        ratio[i - part.start, j] = -np.inf
-                best[part] = np.maximum(best[part], ratio.max(axis=1))
-        yield pa.RecordBatch.from_arrays(
-            [one_array(labels), pa.array(best)], names=["label", "similarity"]
-        )
-
-    found = fold_over_all(
-        table, "label", table.count(), worst, f"label {kind}, similarity double", block_rows
-    )
-    best = found.groupBy("label").agg(F.max("similarity").alias("similarity"))
+    best = largest_ratios(scatters, block_rows)
     # -inf: no other cluster at all; NaN: 0/0.
     known = (F.col("similarity") != float("-inf")) & ~F.isnan("similarity")
-    return best.withColumn("similarity", F.when(known, F.col("similarity")))
+    return best.select("label", F.when(known, F.col("similarity")).alias("similarity"))
 
 
 def davies_bouldin(labelled: DataFrame, width: int) -> DataFrame:

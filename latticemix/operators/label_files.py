@@ -81,14 +81,14 @@ def distance_chunks(a: np.ndarray, b: np.ndarray):
         yield part, np.sqrt(sq)
 
 
-def _ipc(columns: dict) -> bytes:
+def ipc_bytes(columns: dict) -> bytes:
     table, sink = pa.table(columns), pa.BufferOutputStream()
     with pa.ipc.new_file(sink, table.schema) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
 
 
-def _table(uri: str) -> pa.Table:
+def ipc_table(uri: str) -> pa.Table:
     return pa.ipc.open_file(read_bytes(uri)).read_all()
 
 
@@ -133,7 +133,7 @@ def write_label_files(labelled: DataFrame, profile) -> LabelFiles:
         codes = labels.dictionary_encode().indices.to_numpy()
         starts = np.flatnonzero(np.diff(codes, prepend=-1))
         runs = {"label": labels.take(pa.array(starts)), "start": starts, "n": np.diff(starts, append=len(codes))}
-        write_file(f"{folder}/ids-{part}", [_ipc({"id": rows["id"], "label": labels})])
+        write_file(f"{folder}/ids-{part}", [ipc_bytes({"id": rows["id"], "label": labels})])
         yield pa.RecordBatch.from_arrays(
             [runs["label"], pa.array(np.full(len(starts), part)), *(pa.array(runs[c]) for c in ("start", "n"))],
             ["label", "part", "start", "n"],
@@ -156,7 +156,7 @@ def write_label_files(labelled: DataFrame, profile) -> LabelFiles:
             return
         part, rows = TaskContext.get().partitionId(), pa.Table.from_batches(held).combine_chunks()
         write_file(f"{folder}/centers-{part}", [np.ascontiguousarray(matrix(one_array(rows["center"]), width), float).tobytes()])
-        write_file(f"{folder}/clusters-{part}", [_ipc({c: rows[c] for c in ("label", "n", "runs")})])
+        write_file(f"{folder}/clusters-{part}", [ipc_bytes({c: rows[c] for c in ("label", "n", "runs")})])
         yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([rows.num_rows])], ["part", "n"])
 
     n_labels = runs.select("label").distinct().count()
@@ -173,7 +173,7 @@ class _Reader:
     def __init__(self, files: LabelFiles):
         self.files = files
         self.x = functools.lru_cache(maxsize=64)(self._x)
-        tables = [_table(f"{files.folder}/clusters-{p}") for p, n in enumerate(files.clusters) if n]
+        tables = [ipc_table(f"{files.folder}/clusters-{p}") for p, n in enumerate(files.clusters) if n]
         self.clusters = pa.concat_tables(tables).combine_chunks()
         self.sizes = self.clusters["n"].to_numpy()
         centers = [map_file(f"{files.folder}/centers-{p}", float).reshape(-1, files.width) for p, n in enumerate(files.clusters) if n]
@@ -186,7 +186,7 @@ class _Reader:
 
     def targets(self, part: int, start: int, stop: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """Ids, cluster numbers and vectors of some rows."""
-        table = _table(f"{self.files.folder}/ids-{part}").slice(start, stop - start)
+        table = ipc_table(f"{self.files.folder}/ids-{part}").slice(start, stop - start)
         labels = one_array(table["label"])
         code = pc.index_in(labels, value_set=one_array(self.clusters["label"])).to_numpy(zero_copy_only=False)
         return one_array(table["id"]), code.astype(np.int64), np.asarray(self.x(part)[start:stop])

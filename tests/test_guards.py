@@ -7,7 +7,6 @@ from fixtures import tiny_model, tiny_points
 from latticemix.cells import CellModel
 from latticemix.operators import density as D
 from latticemix.operators import internal as I
-from latticemix.operators import pairwise
 from latticemix.operators import prep
 from latticemix.operators import updates as U
 from latticemix.operators.posterior import assign_by_cell
@@ -114,11 +113,6 @@ def test_factors_are_the_neighbourhood():
     assert np.allclose(np.kron(by_row, by_col), model.neighborhood(0.7), atol=1e-15)
 
 
-def test_pairwise_plan_stays_small():
-    blocks, stripes, partitions = pairwise.planned(10**9, pairwise.rows_per_block(48), 1000)
-    assert partitions == pairwise.TASKS_PER_CORE * 1000 < blocks * stripes
-
-
 @pytest.mark.parametrize("labels", [100, 300])
 def test_each_label_is_passed_on_once(spark, labels):
     rows = spark.range(900).select(

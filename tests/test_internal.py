@@ -1,10 +1,10 @@
 import numpy as np
+import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from fixtures import PREDICTED, X
+from latticemix.operators import ball_tree as B
 from latticemix.operators import internal as I
-from latticemix.operators.pairwise import fold_over_all
 
 
 def labelled(spark, x=X, names=PREDICTED):
@@ -111,21 +111,43 @@ def test_davies_bouldin_of_many_clusters(spark, block_rows):
         assert got[name] == pytest.approx(want)
 
 
-def test_every_pair_meets_once(spark):
-    import pyarrow as pa
+def ratios(x, scatter, i):
+    with np.errstate(divide="ignore", invalid="ignore"):
+        found = (scatter[i] + scatter) / np.sqrt(((x - x[i]) ** 2).sum(1))
+    found[i] = -np.inf
+    return found.max()
 
-    rows = spark.range(200).withColumn("v", F.col("id").cast("double"))
 
-    def count(targets, sources):
-        seen = sum(batch.num_rows for batch in sources)
-        yield pa.RecordBatch.from_arrays(
-            [targets.column("id").combine_chunks(), pa.array([seen] * targets.num_rows)], names=["id", "n"]
-        )
-
-    for block_rows in (9, 64, 1000):
-        got = fold_over_all(rows, "id", 200, count, "id bigint, n bigint", block_rows)
-        per_id = got.groupBy("id").agg(F.sum("n").alias("n")).collect()
-        assert len(per_id) == 200 and {r.n for r in per_id} == {200}
+@pytest.mark.parametrize("width", [1, 3, 20])
+def test_the_ball_tree_finds_every_maximum(spark, width):
+    rng = np.random.default_rng(width)
+    x = np.concatenate([rng.normal(size=(300, width)), 50 + rng.normal(size=(190, width))])
+    x[10] = x[11]  # coincident centres, one pair with scatters and one without
+    x[20] = x[21]
+    scatter = rng.random(len(x))
+    scatter[[20, 21, 30]] = 0
+    table = [(i, float(s), c.tolist()) for i, (s, c) in enumerate(zip(scatter, x))]
+    rows = spark.createDataFrame(table, "label int, scatter double, center array<double>").repartition(4)
+    for leaf in (7, 1000):
+        got = {r.label: r.similarity for r in B.largest_ratios(rows, leaf).collect()}
+        for i in range(len(x)):
+            want = ratios(x, scatter, i)
+            assert got[i] == pytest.approx(want, rel=1e-9, nan_ok=True)
+    assert np.isnan(got[20]) and np.isinf(got[10])
+    assert B.largest_ratios(rows.limit(0)).count() == 0
+
+
+def test_many_clusters_need_few_pairs(spark):
+    rng = np.random.default_rng(7)
+    n = 100_000
+    x, scatter = rng.random((n, 2)), 0.002 * (1 + rng.random(n))
+    arrow = pa.table({"label": np.arange(n), "scatter": scatter, "center": pa.array(list(x))})
+    rows = spark.createDataFrame(arrow).repartition(8)
+    got = B.largest_ratios(rows).collect()
+    assert sum(r.pairs for r in got) < 0.02 * n * n
+    best = {r.label: r.similarity for r in got}
+    for i in rng.choice(n, 500, replace=False).tolist():
+        assert best[i] == pytest.approx(ratios(x, scatter, i), rel=1e-9)
 
 
 def test_degenerate_clusters(spark):
