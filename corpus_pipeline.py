@@ -12,18 +12,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticemix.llm import line_dedup, packing, quality_knn, quality_rules, simhash
-from latticemix.llm.shared import stored, text_table
+from latticemix.llm.shared import text_table
+from latticemix.session import made_so_far, new_path, remove_intermediate
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep what the nearest labelled neighbours call good."""
+    """Keep what the nearest labelled neighbours call good: all of it without labels.
+
+    Null and empty texts go by the overall share of label 1; repeated rows stay or go
+    together, as do rows without an id; all columns stay.
+    """
     return quality_knn.keep_predicted(docs, text_table(spark, sf_dir, "labels"))
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep what no quality rule rejects."""
+    """Keep what no quality rule rejects; null and empty texts have too few words.
+
+    Repeated rows stay or go together; all columns stay.
+    """
     return quality_rules.keep_good(docs)
 
 
@@ -43,7 +51,12 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token ids with their places in windows of 2048."""
+    """Pieces of token ids with their places in windows of 2048.
+
+    A null or empty text is its end id alone; repeated rows and null ids are packed
+    like any other; an empty table gives no pieces; other columns are left out.
+    Pieces of equal length take their places in any order.
+    """
     return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
 
 
@@ -60,8 +73,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``.  What a stage kept is deleted when the next has written its rows."""
     docs = text_table(spark, sf_dir, "documents")
+    before = made_so_far()
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        made, path = stage(spark, docs, sf_dir), new_path(spark, name.replace(" ", "-"))
+        made.write.parquet(path)
+        remove_intermediate(spark, before, (path,))
+        docs = spark.read.schema(made.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

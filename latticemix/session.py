@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,19 +28,35 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-_made: list[str] = []
+class _Made(threading.local):
+    """Paths given out in this thread."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_made = _Made()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """An unused path below the shared folder."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _made.append(path)
+    _made.paths.append(path)
     return path
 
 
-def remove_intermediate(spark: SparkSession) -> int:
-    """Delete what was written below ``new_path`` so far; call it once results have been read."""
-    paths, _made[:] = list(_made), []
+def made_so_far() -> int:
+    """How many paths this thread has; ``remove_intermediate`` can begin there."""
+    return len(_made.paths)
+
+
+def remove_intermediate(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> int:
+    """Delete what this thread wrote below ``new_path`` after the first ``since`` paths, but for ``keep``.
+
+    Call it once what was read from there has been written or collected.
+    """
+    paths = [p for p in _made.paths[since:] if p not in keep]
+    _made.paths[since:] = [p for p in _made.paths[since:] if p in keep]
     for name in paths:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
