@@ -192,7 +192,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int
 
     ``docs`` has ``doc_id`` and ``text``; other columns are ignored.  A null or
     empty text is its end id alone; repeated rows and null keys are packed like
-    any other row; an empty table gives no pieces.
+    any other row; an empty table gives no pieces.  Pieces of equal length are
+    interchangeable: which of them takes which place depends on the partitions.
     """
     return pack(stored(token_pieces(docs, tokenizer, end_id, window), "pieces"), window)
 

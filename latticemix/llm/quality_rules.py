@@ -172,7 +172,11 @@ def with_verdict(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows:
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of ``docs`` that no rule rejects, with the columns of ``docs``."""
+    """The rows of ``docs`` that no rule rejects, with the columns of ``docs``.
+
+    Null and empty texts have too few words to stay; repeated rows stay or go
+    together, null ids too; an empty table gives no rows.
+    """
     ordered = order_rules(docs, rules, sample_rows)
     return docs.withColumn(WORDS, words_of(text_of())).filter(cascade(ordered)).drop(WORDS)
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, forest
-from .shared import numbered, stored
+from .shared import numbered, stored, without_rows
 
 RADIUS = 2
 SHINGLE = 3
@@ -170,4 +170,4 @@ def keep_first(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) ->
     ids = rows.select(row, F.col("doc_id").cast("long").alias("id")).join(found, row)
     best = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", row)).alias("best")
     kept = stored(ids.groupBy("component_id").agg(best).select(f"best.{row}"), "kept")
-    return rows.join(kept, row, "left_semi").drop(row)
+    return without_rows(rows, row, rows.select(row).join(kept, row, "left_anti"))
