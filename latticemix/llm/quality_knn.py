@@ -29,7 +29,7 @@ PRIOR_VOTES = 0.25
 SHARPNESS = 8
 WORD_BUCKETS, SHAPE_BUCKETS, REPEAT_CODES = 1024, 256, 12
 WIDTH = WORD_BUCKETS + SHAPE_BUCKETS + REPEAT_CODES
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 BLOCK_DOCS = 512
 
 
