@@ -11,6 +11,8 @@ Levels are cut into shards of bounded size by ranges of contexts; the successors
 of a context too frequent for one shard are dealt over all of them.  Shards are
 built by one task each from sums that every task has taken over its own
 documents, written to the shared folder and memory-mapped by the scoring tasks.
+Texts are split and their words looked up once: the further passes read the
+words' nodes from a stored table.
 
 P_k(w | c) = max(count(c, w) - D, 0) / count(c) + D * successors(c) / count(c) * P_{k-1}(w),
 down to the unigram probability (count + 1/2) / (N + (V + 1) / 2).
@@ -26,6 +28,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,6 +107,10 @@ def _shard_of(context: np.ndarray, word: np.ndarray, contexts: int, shards: int,
 
 
 def _by_shard(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    if shards == 1:
+        if len(shard):
+            yield 0, np.arange(len(shard))
+        return
     if shards <= 1 << 16:
         shard = shard.astype(np.uint16)  # sorted by radix
     order = np.argsort(shard, kind="stable")
@@ -175,7 +182,7 @@ def node_counts(level: Level, nodes: np.ndarray) -> np.ndarray:
     counts = np.zeros(len(nodes), np.int64)
     shard = np.searchsorted(level.bases, nodes, "right") - 1
     for s, mine in _by_shard(shard, len(level.bases) - 1):
-        counts[mine] = _array(level.folder, s, "counts", "<u8" if level.contexts == 0 else "<u4")[nodes[mine] - level.bases[s]]
+        counts[mine] = _array(level.folder, s, "counts", "<u8")[nodes[mine] - level.bases[s]]
     return counts
 
 
@@ -237,19 +244,62 @@ class _WordCache:
         return self.nodes[slots], self.counts[slots]
 
 
-def _walk(trie: Trie, docs: list[list[bytes]], nodes_only: bool = False):
-    """Per token of some documents: first counts, nodes and contexts of words, then what
-    ``successor_nodes`` has for each further level.
+def code_words(docs: DataFrame, words: Level, folder: str) -> DataFrame:
+    """(doc_id, held_out, nodes): every text's words, looked up once, as a stored table.
 
-    The end token is also the context of a document's first word.
+    ``nodes`` holds unsigned 32- or 64-bit numbers: a word's node plus one, zero
+    for an unknown word, and the end token's last.
+    """
+    wide = _node_type(words)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for some in _slices(_text_column(batch, 2)):
+                nodes, _ = _WordCache.of(words).look_up(list(itertools.chain.from_iterable(some)))
+                data = (nodes + 1).astype(wide).tobytes()
+                ends = (np.cumsum([len(d) for d in some]) * np.dtype(wide).itemsize).tolist()
+                part = batch.slice(at, len(some))
+                at += len(some)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array([data[a:b] for a, b in zip([0, *ends], ends)], pa.binary())],
+                    ["doc_id", "held_out", "nodes"],
+                )
+
+    rows = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string"))
+    coded = rows.mapInArrow(code, "doc_id long, held_out boolean, nodes binary")
+    coded.write.option("compression", "zstd").parquet(folder)
+    return docs.sparkSession.read.schema(coded.schema).parquet(folder)
+
+
+def _node_type(words: Level) -> str:
+    return "<u4" if words.nodes < (1 << 32) - 1 else "<u8"
+
+
+def _coded_slices(batch: pa.RecordBatch, at: int, words: Level) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, nodes of all words, number of words of each document) of some documents at a time."""
+    column = batch.column(at).cast(pa.large_binary())
+    wide = np.dtype(_node_type(words))
+    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False)) // wide.itemsize
+    row = 0
+    while row < len(column):
+        done = int(ends[row - 1]) if row else 0
+        stop = max(row + 1, int(np.searchsorted(ends, done + SLICE_TOKENS, "right")))
+        data = b"".join(column.slice(row, stop - row).to_pylist())
+        yield row, np.frombuffer(data, wide).astype(np.int64) - 1, np.diff(ends[row:stop], prepend=done)
+        row = stop
+
+
+def _walk(trie: Trie, nodes: np.ndarray, sizes: np.ndarray, nodes_only: bool = False):
+    """Per token of some documents: first the places of documents and the contexts of words, then
+    what ``successor_nodes`` has for each further level.
+
+    The end token, a document's last, is also the context of its first word.
     """
-    sizes = np.array([len(d) for d in docs])
     starts = np.cumsum(sizes) - sizes
-    nodes, counts = _WordCache.of(trie.levels[0]).look_up(list(itertools.chain.from_iterable(docs)))
-    end = _WordCache.of(trie.levels[0]).look_up([END])[0][0]
     context = np.empty_like(nodes)
-    context[1:], context[starts] = nodes[:-1], end
-    yield starts, sizes, counts, nodes, context
+    context[1:], context[starts] = nodes[:-1], nodes[starts + sizes - 1]
+    yield starts, context
     word = nodes
     for k in range(1, len(trie.levels)):
         found, alpha = np.full(len(word), -1, np.int64), np.zeros(len(word))
@@ -333,8 +383,8 @@ def _unplanes(data: bytes, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(dtype).reshape(-1)
 
 
-def _count_successors(docs: DataFrame, trie: Trie, k: int, shards: int, hot: np.ndarray) -> DataFrame:
-    """(shard, keys, counts): each task's sums of (context, word), packed per shard."""
+def _count_successors(coded: DataFrame, trie: Trie, k: int, shards: int, hot: np.ndarray) -> DataFrame:
+    """(shard, keys, counts): each task's sums of (context, word) over coded texts, packed per shard."""
     contexts, v = trie.levels[k - 1].nodes, trie.vocabulary
 
     def pack(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
@@ -342,7 +392,7 @@ def _count_successors(docs: DataFrame, trie: Trie, k: int, shards: int, hot: np.
         rows = []
         for s, mine in _by_shard(_shard_of(context, word, contexts, shards, hot), shards):
             mine = np.sort(mine)
-            rows.append((s, _planes(np.diff(keys[mine], prepend=np.uint64(0)), "<u8"), _planes(counts[mine], "<u4")))
+            rows.append((s, _planes(np.diff(keys[mine], prepend=np.uint64(0)), "<u8"), _planes(counts[mine], "<u8")))
         columns = list(zip(*rows)) or [[], [], []]
         types = (pa.int64(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["shard", "keys", "counts"])
@@ -350,24 +400,23 @@ def _count_successors(docs: DataFrame, trie: Trie, k: int, shards: int, hot: np.
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            for some in _slices(_text_column(batch, 0)):
-                steps = _walk(trie, some, nodes_only=True)
-                _, _, _, word, context = next(steps)
+            for _, word, sizes in _coded_slices(batch, 0, trie.levels[0]):
+                steps = _walk(trie, word, sizes, nodes_only=True)
+                starts, context = next(steps)
                 for found, *_ in steps:
-                    starts = np.cumsum([0, *map(len, some[:-1])])
                     context = np.empty_like(found)
                     context[1:], context[starts] = found[:-1], -1
                 used = (context >= 0) & (word >= 0)
                 keys = context[used].astype(np.uint64) * np.uint64(v) + word[used].astype(np.uint64)
                 held.append(np.unique(keys, return_counts=True))
                 n += len(held[-1][0])
-                if n > 4 * SHARD_TOKENS:
+                if n > 2 * SHARD_TOKENS:
                     yield pack(*_summed(held))
                     held, n = [], 0
         if held:
             yield pack(*_summed(held))
 
-    return docs.mapInArrow(count, "shard long, keys binary, counts binary")
+    return coded.select("nodes").mapInArrow(count, "shard long, keys binary, counts binary")
 
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -387,7 +436,7 @@ def _build_successors(packed: DataFrame, trie: Trie, k: int, shards: int, hot: n
     def build(table: pa.Table) -> pa.Table:
         s = table.column("shard")[0].as_py()
         parts = [
-            (np.cumsum(_unplanes(key, "<u8"), dtype=np.uint64), _unplanes(count, "<u4"))
+            (np.cumsum(_unplanes(key, "<u8"), dtype=np.uint64), _unplanes(count, "<u8"))
             for key, count in zip(table.column("keys").to_pylist(), table.column("counts").to_pylist())
         ]
         keys, counts = _summed(parts)
@@ -404,7 +453,7 @@ def _build_successors(packed: DataFrame, trie: Trie, k: int, shards: int, hot: n
             "alpha": alpha.astype("<u2"),
         }
         if not last:
-            files["counts"] = np.minimum(counts, 0xFFFFFFFF).astype("<u4")
+            files["counts"] = counts.astype("<u8")
         for kind, data in files.items():
             write_file(_name(folder, s, kind), [data.tobytes()])
         dealt = np.flatnonzero(np.isin(places, hot))
@@ -432,36 +481,38 @@ def _build_successors(packed: DataFrame, trie: Trie, k: int, shards: int, hot: n
     return level
 
 
-def train(docs: DataFrame, folder: str, order: int = ORDER, discount: float = DISCOUNT) -> Trie:
-    """Build and write the trie over the rows of ``docs`` that are not held out."""
-    texts = _train_texts(docs)
-    words = stored(_count_words(texts), "lm-words")
+def train(docs: DataFrame, folder: str, order: int = ORDER, discount: float = DISCOUNT) -> tuple[Trie, DataFrame]:
+    """Build and write the trie over the rows of ``docs`` that are not held out; and all rows, coded."""
+    words = stored(_count_words(_train_texts(docs)), "lm-words")
     tokens = words.agg(F.sum("n").alias("n")).first().n or 0
     trie = Trie([_build_words(words, f"{folder}/level-1")], tokens, discount)
+    coded = code_words(docs, trie.levels[0], f"{folder}/coded")
     shards = max(1, -(-tokens // SHARD_TOKENS))
     # fewer words than shards can be this frequent
     frequent = words.filter(F.col("n") > SHARD_TOKENS).select("h").collect()
     hot = np.array([r.h for r in frequent], np.int64).view(np.uint64)
     hot = np.sort(word_nodes(trie.levels[0], hot)[0]) if len(hot) else np.empty(0, np.int64)
     for k in range(1, order):
-        packed = _count_successors(texts, trie, k, shards, hot)
+        if trie.levels[k - 1].nodes * trie.vocabulary >= 1 << 64:
+            raise OverflowError(f"pairs of {trie.levels[k - 1].nodes} contexts and {trie.vocabulary} words don't fit 64 bits")
+        packed = _count_successors(coded.filter(~F.col("held_out")), trie, k, shards, hot)
         level = _build_successors(packed, trie, k, shards, hot, f"{folder}/level-{k + 1}", k + 1 == order)
         trie.levels.append(level)
         hot = level.frequent
-    return trie
+    return trie, coded
 
 
 # -- scoring --------------------------------------------------------------------
 
 
-def score(docs: DataFrame, trie: Trie) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
+def score(coded: DataFrame, trie: Trie) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of coded texts.
 
     A null or empty text is its end token alone.  Without any training text all
     words are unknown to a vocabulary of none.  Rows without an id train the
-    model; repeated rows get equal scores; other columns are ignored.
+    model; repeated rows get equal scores; an empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(trie)
+    shared = coded.sparkSession.sparkContext.broadcast(trie)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -469,36 +520,35 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
         model = shared.value
         below = model.tokens + 0.5 * (model.vocabulary + 1)
         for batch in batches:
-            at = 0
-            for some in _slices(_text_column(batch, 2)):
-                steps = _walk(model, some)
-                starts, sizes, counts, nodes, context = next(steps)
-                base = np.log10((counts + 0.5) / below)
-                p = (counts + 0.5) / below
+            for at, nodes, sizes in _coded_slices(batch, 2, model.levels[0]):
+                steps = _walk(model, nodes, sizes)
+                starts, _ = next(steps)
+                known = nodes >= 0
+                p = np.full(len(nodes), 0.5)
+                p[known] += node_counts(model.levels[0], nodes[known])
+                p /= below
+                base = np.add.reduceat(np.log10(p), starts)
                 for _, alpha, follow, seen in steps:
                     used = np.flatnonzero(follow)
                     p[used] = alpha[used] + model.discount * follow[used] / seen[used] * p[used]
-                part = batch.slice(at, len(some))
-                at += len(some)
-                sums = [np.add.reduceat(x, starts) for x in (counts > 0).astype(np.int64)[None]]
+                part = batch.slice(at, len(sizes))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         part.column(1),
                         pa.array(sizes.astype(np.int64)),
-                        pa.array(sums[0]),
-                        pa.array(np.full(len(some), model.tokens, np.int64)),
-                        pa.array(np.add.reduceat(base, starts)),
+                        pa.array(np.add.reduceat(known.astype(np.int64), starts)),
+                        pa.array(np.full(len(sizes), model.tokens, np.int64)),
+                        pa.array(base),
                         pa.array(np.add.reduceat(np.log10(p), starts)),
                     ],
                     names,
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string"))
-    return rows.mapInArrow(scored, schema)
+    return coded.select("doc_id", "held_out", "nodes").mapInArrow(scored, schema)
 
 
 def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """Train on the documents that are not held out, and score them all."""
-    folder = new_path(docs.sparkSession, "language-model")
-    return score(docs, train(docs, folder, order))
+    """Train on the documents that are not held out, and score them all; other columns are ignored."""
+    trie, coded = train(docs, new_path(docs.sparkSession, "language-model"), order)
+    return score(coded, trie)
