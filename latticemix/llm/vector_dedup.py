@@ -4,11 +4,13 @@ Unit vectors are rotated by a fixed random rotation and split into blocks of
 ``BLOCK`` dimensions.  Cosine >= c means a squared distance of at most 2 - 2c;
 so in some block the squared distance is at most the block's share of that
 budget.  Each block is range-joined: a grid over its first coordinates, with
-cells as wide as the block's radius, brings each vector together with those of
-its own and the adjoining cells, in tiles of bounded size; pairs within the
-block's budget are candidates and are verified exactly.  A pair counts in the
-first block that finds it, and a task returns counts and a spanning forest of
-its links, never the pairs.
+cells as wide as the block's radius, brings each vector's row number and its
+coordinates in the block together with those of its own and the adjoining cells,
+in tiles of bounded size; rows of a tile are sorted by a further coordinate and
+meet only those within the radius.  Pairs within the block's budget are
+candidates and are verified exactly on the whole vectors, which lie in
+memory-mapped files.  A pair counts in the first block that finds it, and a task
+returns counts and a spanning forest of its links, never the pairs.
 """
 
 from __future__ import annotations
@@ -19,19 +21,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import new_path
 from .components import components, forest
-from .shared import stored
+from .shared import map_file, stored, write_file
 
 COSINE = 0.95
 BLOCK = 8
 GRID = 2
 TILE = 1024
 _SEED = 20240607
-_SLACK = 1e-6  # rounding of rotated coordinates; candidates only, links are verified
+_SLACK = 1e-6  # rounding of rotated coordinates and their squares
 _ROWS = 256
+_PAIRS = 1 << 14
+_ROW_BITS = 33
 
 
 @functools.lru_cache(maxsize=8)
@@ -45,8 +51,14 @@ def _blocks(width: int) -> list[tuple[int, int]]:
     return list(zip(edges[:-1].tolist(), edges[1:].tolist()))
 
 
-def _rotated(vectors: np.ndarray) -> np.ndarray:
-    return vectors / np.linalg.norm(vectors, axis=1)[:, None] @ _rotation(vectors.shape[1])
+def _units(vectors: np.ndarray) -> np.ndarray:
+    """Unit vectors; scaled by their largest component first, whose square may lie outside the doubles."""
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1)[:, None]
+
+
+def _rotated(units: np.ndarray) -> np.ndarray:
+    return units @ _rotation(units.shape[1])
 
 
 def _budgets(width: int, cosine: float) -> np.ndarray:
@@ -60,48 +72,83 @@ def valid(vec: Column) -> Column:
     return F.coalesce(F.forall(vec, number) & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
-def _matrix(column: pa.Array) -> list[np.ndarray]:
-    """One matrix per row of a list<list<number>> column."""
-    out = []
-    for row in range(len(column)):
-        vectors = column[row].values
-        flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(float)
-        out.append(flat.reshape(len(vectors), -1))
-    return out
+# -- whole vectors in files --------------------------------------------------------
 
 
-def _compare(block: int, mine: np.ndarray, theirs: np.ndarray, same: bool, cosine: float):
-    """Linked pairs (i, j) of two tiles that ``block`` is the first to find."""
-    width = mine.shape[1]
-    blocks, budgets = _blocks(width), _budgets(width, cosine)
-    x, y = _rotated(mine), _rotated(theirs)
-    lo, hi = blocks[block]
-    xb, yb = x[:, lo:hi], y[:, lo:hi]
-    xs, ys = (xb * xb).sum(1), (yb * yb).sum(1)
-    xn, yn = np.linalg.norm(mine, axis=1), np.linalg.norm(theirs, axis=1)
+def _name(folder: str, part: int, kind: str) -> str:
+    return f"{folder}/part-{part}.{kind}"
+
+
+def with_files(distinct: DataFrame, folder: str) -> DataFrame:
+    """``distinct`` (vec, ...) with row numbers ``rep``, its vectors written to a file per partition."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n, flat, sizes = TaskContext.get().partitionId(), 0, [], []
+        for batch in batches:
+            column = batch.column("vec")
+            flat.append(column.flatten().to_numpy(zero_copy_only=False).astype("<f8").tobytes())
+            sizes.append(column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            rep = (part << _ROW_BITS) + np.arange(n, n + len(batch))
+            n += len(batch)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rep)], [*batch.schema.names, "rep"])
+        ends = np.cumsum(np.concatenate([np.zeros(1, np.int64), *sizes]))
+        write_file(_name(folder, part, "flat"), flat)
+        write_file(_name(folder, part, "ends"), [ends.astype("<i8").tobytes()])
+
+    schema = distinct.withColumn("rep", F.lit(0).cast("long")).schema
+    return distinct.mapInArrow(write, schema)
+
+
+@functools.lru_cache(maxsize=64)
+def _open(folder: str, part: int) -> tuple[np.ndarray, np.ndarray]:
+    return map_file(_name(folder, part, "flat"), "<f8"), map_file(_name(folder, part, "ends"), "<i8")
+
+
+def _vectors(folder: str, reps: np.ndarray, width: int) -> np.ndarray:
+    """Whole unit vectors of sorted row numbers, all of one width."""
+    out = np.empty((len(reps), width))
+    parts = reps >> _ROW_BITS
+    for part in np.unique(parts).tolist():
+        mine = np.flatnonzero(parts == part)
+        flat, ends = _open(folder, part)
+        first = ends[reps[mine] & (1 << _ROW_BITS) - 1]
+        out[mine] = flat[first[:, None] + np.arange(width)]
+    return _units(out) if len(out) else out
+
+
+# -- the join -----------------------------------------------------------------------
+
+
+def _candidates(mine: np.ndarray, theirs: np.ndarray, same: bool, budget: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of two tiles within a block's budget, from their coordinates there."""
+    axis = min(GRID, mine.shape[1] - 1)  # a coordinate beyond the grid's, if there is one
+    left, right = np.argsort(mine[:, axis], kind="stable"), np.argsort(theirs[:, axis], kind="stable")
+    x, y = mine[left], theirs[right]
+    xs, ys = (x * x).sum(1), (y * y).sum(1)
+    radius = np.sqrt(budget + _SLACK)
     for at in range(0, len(x), _ROWS):
-        gap = xs[at : at + _ROWS, None] + ys - 2 * (xb[at : at + _ROWS] @ yb.T)
-        i, j = np.nonzero(gap <= budgets[block])
-        i += at
-        if same:
-            i, j = i[i < j], j[i < j]
-        for part in range(0, len(i), 1 << 16):
-            a, b = i[part : part + (1 << 16)], j[part : part + (1 << 16)]
-            first = np.ones(len(a), bool)
-            for k in range(block):
-                p, q = blocks[k]
-                first &= _gap(x[a, p:q], y[b, p:q]) > budgets[k]
-            a, b = a[first], b[first]
-            cos = np.einsum("ij,ij->i", mine[a], theirs[b]) / (xn[a] * yn[b])
-            yield a[cos >= cosine], b[cos >= cosine]
-
-
-def _gap(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The same arithmetic, row by row, as the range join's."""
-    return (x * x).sum(1) + (y * y).sum(1) - 2 * (x * y).sum(1)
-
-
-def _links(vectors: DataFrame, cosine: float, tile: int) -> DataFrame:
+        rows = slice(at, min(at + _ROWS, len(x)))
+        lo = int(np.searchsorted(y[:, axis], x[at, axis] - radius))
+        hi = int(np.searchsorted(y[:, axis], x[rows.stop - 1, axis] + radius, "right"))
+        gap = xs[rows, None] + ys[lo:hi] - 2 * (x[rows] @ y[lo:hi].T)
+        i, j = np.nonzero(gap <= budget)
+        i, j = left[i + at], right[j + lo]
+        yield (i[i < j], j[i < j]) if same else (i, j)
+
+
+def _first_found(block: int, x: np.ndarray, y: np.ndarray, cosine: float) -> np.ndarray:
+    """Pairs of unit vectors whose first block within its budget is ``block``.
+
+    This decides where a pair counts, with sums that don't depend on what else is
+    looked at; the join's budget has one more slack, so that it finds the pair there.
+    """
+    width = x.shape[1]
+    turned = np.einsum("ij,jk->ik", x - y, _rotation(width))
+    inside = [(turned[:, p:q] ** 2).sum(1) <= budget for (p, q), budget in zip(_blocks(width), _budgets(width, cosine))]
+    return inside[block] & ~np.any(inside[:block], axis=0) if block else inside[0]
+
+
+def _links(vectors: DataFrame, folder: str, cosine: float, tile: int) -> DataFrame:
     """(a, n, b): links counted for representative ``a``, and one it is connected to."""
 
     def coordinates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,27 +157,27 @@ def _links(vectors: DataFrame, cosine: float, tile: int) -> DataFrame:
             for width in np.unique(widths).tolist():
                 rows = batch.take(pa.array(np.flatnonzero(widths == width)))
                 flat = rows.column("vec").flatten().to_numpy(zero_copy_only=False).astype(float)
-                x, budgets = _rotated(flat.reshape(len(rows), width)), _budgets(width, cosine)
+                x, budgets = _rotated(_units(flat.reshape(len(rows), width))).astype("<f4"), _budgets(width, cosine)
                 for k, (lo, hi) in enumerate(_blocks(width)):
                     cell = np.zeros((len(rows), GRID), np.int64)
                     used = min(GRID, hi - lo)
-                    cell[:, :used] = np.floor(x[:, lo : lo + used] / np.sqrt(budgets[k]))
+                    cell[:, :used] = np.floor(x[:, lo : lo + used] / np.sqrt(budgets[k] + 2 * _SLACK))
                     keys = [np.full(len(rows), width), np.full(len(rows), k), cell[:, 0], cell[:, 1]]
+                    at = pa.array([r.tobytes() for r in np.ascontiguousarray(x[:, lo:hi])], pa.binary())
                     yield pa.RecordBatch.from_arrays(
-                        [rows.column("rep"), rows.column("copies"), rows.column("vec"), *map(pa.array, keys)],
-                        ["rep", "copies", "vec", "width", "block", "u", "v"],
+                        [rows.column("rep"), rows.column("copies"), at, *map(pa.array, keys)],
+                        ["rep", "copies", "at", "width", "block", "u", "v"],
                     )
 
-    kind = vectors.schema["vec"].dataType.simpleString()
     placed = vectors.mapInArrow(
-        coordinates, f"rep long, copies long, vec {kind}, width long, block long, u long, v long"
+        coordinates, "rep long, copies long, at binary, width long, block long, u long, v long"
     )
     cell = ["width", "block", "u", "v"]
     # a cell is a square of the unit ball's grid: their number depends on widths and cosine alone
     sizes = placed.groupBy(*cell).agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
     sizes = stored(sizes, "vector-cells")
     tiled = placed.join(F.broadcast(sizes), cell).withColumn("tile", F.pmod(F.xxhash64("rep"), "tiles").cast("int"))
-    member = F.sort_array(F.collect_list(F.struct("rep", "copies", "vec")))
+    member = F.sort_array(F.collect_list(F.struct("rep", "copies", "at")))
     tiles = stored(tiled.groupBy(*cell, "tile").agg(member.alias("rows")), "vector-tiles")
 
     steps = [s for s in itertools.product((-1, 0, 1), repeat=2) if s >= (0, 0)]
@@ -146,31 +193,42 @@ def _links(vectors: DataFrame, cosine: float, tile: int) -> DataFrame:
         .select(*cell, "other", (still & (F.col("other") == F.col("tile"))).alias("same"), F.col("rows").alias("mine"))
     )
     home = tiles.select(*cell, F.col("tile").alias("other"), F.col("rows").alias("theirs"))
-    pairs = moved.join(home, [*cell, "other"]).select("block", "same", "mine", "theirs")
+    pairs = moved.join(home, [*cell, "other"]).select("width", "block", "same", "mine", "theirs")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(len(batch)):
-                row = batch.slice(at, 1)
-                mine, theirs = row.column("mine")[0].values, row.column("theirs")[0].values
-                yield _linked_rows(row.column("block")[0].as_py(), mine, theirs, row.column("same")[0].as_py(), cosine)
+                width, block, same = (batch.column(c)[at].as_py() for c in ("width", "block", "same"))
+                mine, theirs = batch.column("mine")[at].values, batch.column("theirs")[at].values
+                yield _linked_rows(folder, width, block, mine, theirs, same, cosine)
 
     return pairs.mapInArrow(compare, "a long, n long, b long")
 
 
-def _linked_rows(block: int, mine: pa.Array, theirs: pa.Array, same: bool, cosine: float) -> pa.RecordBatch:
+def _linked_rows(folder: str, width: int, block: int, mine: pa.Array, theirs: pa.Array, same: bool, cosine: float) -> pa.RecordBatch:
     side = lambda rows, name: rows.field(name).to_numpy(zero_copy_only=False)
-    flat = lambda rows: rows.field("vec").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), -1)
+    blocks, budgets = _blocks(width), _budgets(width, cosine)
+    size = blocks[block][1] - blocks[block][0]
+    at = lambda rows: np.frombuffer(b"".join(rows.field("at").to_pylist()), "<f4").reshape(len(rows), size).astype(float)
     reps = np.concatenate([side(mine, "rep"), side(theirs, "rep")])
     copies = np.concatenate([side(mine, "copies"), side(theirs, "copies")])
     n, m = len(reps), len(mine)
     counts, label = np.zeros(n, np.int64), np.arange(n)
-    for i, j in _compare(block, flat(mine), flat(theirs), same, cosine):
-        j = j if same else j + m
-        np.add.at(counts, i, copies[j])
-        np.add.at(counts, j, copies[i])
-        linked = np.flatnonzero(label != np.arange(n))
-        label = forest(np.concatenate([i, linked]), np.concatenate([j, label[linked]]), n)
+    for left, right in _candidates(at(mine), at(theirs), same, budgets[block] + _SLACK):
+        right = right if same else right + m
+        for start in range(0, len(left), _PAIRS):
+            i, j = left[start : start + _PAIRS], right[start : start + _PAIRS]
+            asked, back = np.unique(np.concatenate([reps[i], reps[j]]), return_inverse=True)
+            whole = _vectors(folder, asked, width)
+            a, b = back[: len(i)], back[len(i) :]
+            linked = np.einsum("ij,ij->i", whole[a], whole[b]) >= cosine
+            i, j, a, b = i[linked], j[linked], a[linked], b[linked]
+            first = _first_found(block, whole[a], whole[b], cosine)
+            i, j = i[first], j[first]
+            np.add.at(counts, i, copies[j])
+            np.add.at(counts, j, copies[i])
+            known = np.flatnonzero(label != np.arange(n))
+            label = forest(np.concatenate([i, known]), np.concatenate([j, label[known]]), n)
     found = np.flatnonzero(counts)
     return pa.RecordBatch.from_arrays(
         [pa.array(reps[found]), pa.array(counts[found]), pa.array(reps[label[found]])], ["a", "n", "b"]
@@ -195,9 +253,10 @@ def near_duplicates(
     rows = rows.withColumn("valid", valid(F.col("vec")))
     good = rows.filter("valid").select("vec_id", "vec", F.xxhash64("vec").alias("hash"))
     grouped = good.groupBy("hash", "vec").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
-    # ids for representatives: keys may be null or repeated, a position is neither
-    reps = stored(grouped.withColumn("rep", F.monotonically_increasing_id()), "distinct-vectors")
-    links = stored(_links(reps.select("rep", "copies", "vec"), cosine, tile), "vector-links")
+    # numbers for representatives: keys may be null or repeated, a place in a file is neither
+    folder = new_path(vectors.sparkSession, "vector-files")
+    reps = stored(with_files(grouped, folder), "distinct-vectors")
+    links = stored(_links(reps.select("rep", "copies", "vec"), folder, cosine, tile), "vector-links")
     counts = links.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     labels = components(links.select("a", "b")).withColumnRenamed("node", "rep")
     rooted = reps.join(labels, "rep", "left").withColumn("root", F.coalesce("root", "rep"))

@@ -39,7 +39,7 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     rows = [base[rng.integers(0, 12)] + rng.normal(0, s, 16) for s in rng.choice([0.05, 0.15, 0.22, 1], 160)]
     rows = [[float(np.float32(x)) for x in v] for v in rows]
     rows += [rows[0]] * 40 + [[2 * x for x in rows[0]], None, [0.0] * 16, [float("nan")] * 16, [None] + [1.0] * 15]
-    rows += [[float("inf")] + [1.0] * 15, [], [1.0, 2.0], [2.0, 4.0], [1.0]]
+    rows += [[float("inf")] + [1.0] * 15, [], [1.0, 2.0], [2.0, 4.0], [1.0], [-3.0]]
     table = list(enumerate(rows))
     df = spark.createDataFrame(table, "vec_id long, embedding array<float>").withColumn("n_links", F.lit("taken"))
     links, root = brute_vectors(table)
@@ -53,6 +53,37 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     assert sorted((r.vec_id, r.n_links) for r in twice.collect())[:2] == [(1, 1), (1, 1)]
 
 
+def test_vectors_of_any_size_and_null_keys(spark):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((4, 8))
+    rows = [(base[i % 4] + rng.normal(0, 0.1, 8)) * s for i, s in enumerate([1, 1e200, 1e-200, 1e300, 1e-300] * 8)]
+    keys = [i if i % 7 else None for i in range(len(rows))]
+    table = [(k, [float(x) for x in v]) for k, v in zip(keys, rows)]
+    df = spark.createDataFrame(table, "vec_id long, embedding array<double>").repartition(3)
+    scaled = [(k, (np.array(v) / np.abs(v).max()).tolist()) for k, v in table]
+    links, root = brute_vectors(scaled)
+    least = {}
+    for (k, _), r in zip(table, root):
+        if k is not None:
+            least[r] = min(least.get(r, k), k)
+    got = vector_dedup.near_duplicates(df).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2] or 0)
+    want = [(k, n, least.get(r)) for (k, _), n, r in zip(table, links, root)]
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=key) == sorted(want, key=key)
+
+
+def test_only_rows_within_the_radius_meet():
+    """Candidates of a block are its pairs within the budget, each once."""
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(0, 0.125, (700, 8)), rng.normal(0, 0.125, (900, 8))
+    budget = 0.05
+    for mine, theirs, same in ((x, y, False), (x, x, True)):
+        found = [p for i, j in vector_dedup._candidates(mine, theirs, same, budget) for p in zip(i.tolist(), j.tolist())]
+        gap = ((mine[:, None] - theirs[None]) ** 2).sum(-1) <= budget
+        want = set(zip(*(a.tolist() for a in np.nonzero(np.triu(gap, 1) if same else gap))))
+        assert len(found) == len(set(found)) and {tuple(sorted(p)) if same else p for p in found} >= want
+
+
 def test_a_perfect_hash_finds_its_keys_and_no_others():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 5000):
