@@ -202,3 +202,58 @@ def test_shared_folder_is_the_named_one(tmp_path):
     subprocess.run(
         [sys.executable, "-c", NAMED_FOLDER, str(tmp_path / "shared")], check=True, cwd=root, timeout=120
     )
+
+
+def test_tables_stored_by_id_meet_without_a_shuffle(spark):
+    from latticemix.operators import external as X
+    from latticemix.sources.bucketed import read_bucketed, write_bucketed
+
+    left = spark.range(500).select("id", (F.col("id") % 3).alias("true_label"))
+    right = spark.range(499, -1, -1).select("id", (F.col("id") % 5).alias("pred_label"))
+    paths = [new_path(spark, "by-id") for _ in range(3)]
+    for table, path in zip((left, right, right.union(right.limit(1))), paths):
+        write_bucketed(table, path, 4)
+    spark.sql(f"DROP TABLE bucketed_{__import__('hashlib').md5(paths[1].encode()).hexdigest()}")  # as a new session has it
+    a, b, twice = (read_bucketed(spark, path) for path in paths)
+    matched = X.match_stored(a, b)
+    assert sorted(tuple(r) for r in matched.collect()) == [(i, i % 3, i % 5) for i in range(500)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of any size
+    try:
+        plan = X.match_stored(a, b)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    for other in (twice, b.filter("id > 3")):
+        with pytest.raises(Exception, match="same ids, each once"):
+            X.match_stored(a, other).collect()
+    with pytest.raises(ValueError, match="exists"):
+        write_bucketed(left, paths[0], 4)
+
+
+def test_a_text_run_must_be_whole_and_new(spark):
+    from latticemix.sources.text_run import read_text_run, write_text_run
+
+    path, run = new_path(spark, "text"), new_path(spark, "run")
+    fitted = fit(tiny_points(spark), tiny_model(), max_iter=3, output_path=run)
+    cells = store.read_cells(spark, run)
+    write_text_run(cells, path)
+    key = lambda df: sorted((r.iteration, r.cell, r.prob, r.num_items, r.bin_epsilon, r.cont_mean, r.bin_mean) for r in df.collect())
+    assert key(read_text_run(spark, path)) == key(cells) and len(fitted.steps) == 3
+    with pytest.raises(ValueError, match="exists"):
+        write_text_run(cells, path)
+    os.remove(path.removeprefix("file:") + "/epsilon2")
+    with pytest.raises(Exception, match="epsilon2"):
+        read_text_run(spark, path).collect()
+
+
+def test_indices_of_a_run_need_every_label(spark):
+    from latticemix.plans.evaluation import evaluate_run
+
+    path = new_path(spark, "run")
+    fit(tiny_points(spark), tiny_model(), max_iter=3, output_path=path, label_every=2)
+    true = spark.createDataFrame(list(enumerate("aaabbbcd")), "id bigint, label string")
+    got = {r.iteration: r.rand for r in evaluate_run(spark, path, true).collect()}
+    assert sorted(got) == [2, 3] and got[3] == pytest.approx(1.0)
+    with pytest.raises(Exception, match="same ids"):
+        evaluate_run(spark, path, true.filter("id > 0")).collect()

@@ -455,6 +455,10 @@ def all_oracles() -> dict[str, str]:
             STORED + RUN_TABLES,
             "SELECT it AS iteration, " + ", ".join(r6(e, n) for n, e in RUN_INDEX_SQL.items()) + " FROM pr JOIN nm USING (it)",
         ),
+        "stored_evaluation": with_ctes(
+            EXTERNAL,
+            "SELECT " + ", ".join(r6(INDEX_SQL[n], n) for n in ("rand", "precision", "recall", "jaccard", "purity", "nmi")) + " FROM pr",
+        ),
         "random_cells": f"""SELECT CAST(c AS INTEGER) AS cell, CAST(j AS INTEGER) AS pos,
             {r6(uniform('1', '0', 'c', 'j'), 'mean')}, CAST({uniform('1', '1', 'c', 'j')} >= 0.5 AS INTEGER) AS bit,
             {r6(uniform('1', '2', 'c', '0'), 'epsilon')}

@@ -29,6 +29,7 @@ from latticemix.session import new_path
 from latticemix.sources import delimited as S
 from latticemix.sources import tables as T
 from latticemix.sources import trajectory as store
+from latticemix.sources.bucketed import read_bucketed, write_bucketed
 from latticemix.sources.text_run import read_text_run, write_text_run
 
 ROWS = COLS = 5
@@ -39,6 +40,7 @@ MAX_ITER = 10
 FIT_ITER = MAX_ITER
 FIRST_N = 2000
 SEED = 1
+BUCKETS = 8
 EMBEDDING_ROWS, EMBEDDING_COLS = 2, 5
 
 
@@ -243,6 +245,18 @@ def run_indices(spark, sf_dir) -> DataFrame:
     return got.select("iteration", *[r6(name, name) for name in X.INDEX_NAMES])
 
 
+def stored_evaluation(spark, sf_dir) -> DataFrame:
+    """External indices of two labellings stored by id; nothing is shuffled to match them."""
+    true = T.event_types(spark, sf_dir).withColumnRenamed("label", "true_label")
+    pred = T.value_buckets(spark, sf_dir).withColumnRenamed("label", "pred_label")
+    paths = [new_path(spark, "by-id") for _ in range(2)]
+    for table, path in zip((true, pred), paths):
+        write_bucketed(table, path, BUCKETS)
+    matched = X.match_stored(*(read_bucketed(spark, path) for path in paths))
+    got = X.external_indices(X.contingency(matched), ("rand", "precision", "recall", "jaccard", "purity", "nmi"))
+    return got.select(*[r6(name, name) for name in got.columns])
+
+
 def _ordered_file(spark, sf_dir, name: str, *values) -> str:
     """Lines in event order: the files' names follow it, so line numbers do."""
     lines = _events(spark, sf_dir).orderBy("event_id").select(F.concat_ws(",", *values).alias("value"))
@@ -790,7 +804,7 @@ def internal_indices(spark, sf_dir) -> DataFrame:
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [
         read_delimited, scan_continuous, scan_whitespace, scan_binary, scan_labels, with_row_id,
-        scan_ids, write_cells, refused_run, text_run, run_indices, random_cells, resumed_fit, job_labels, read_trajectory, trajectory_sample, write_labels, write_indices,
+        scan_ids, write_cells, refused_run, text_run, run_indices, stored_evaluation, random_cells, resumed_fit, job_labels, read_trajectory, trajectory_sample, write_labels, write_indices,
         column_min_max, vector_width, minmax_normalize, first_n, drop_leading, concat_features, join_features,
         int_to_bits, vector_arithmetic, row_reductions,
         init_cells, grid_distance, neighborhood, annealing_schedule,
