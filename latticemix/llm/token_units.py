@@ -11,6 +11,7 @@ file goes through the library itself.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -91,28 +92,23 @@ class ByteEncoder:
     """
 
     def __init__(self, path: str, plain_specials: bool = False):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.tokenizer.encode_special_tokens = plain_specials
-        parts = json.loads(self.tokenizer.to_str())
+        self.path, self.plain_specials = path, plain_specials
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)
         split, model = parts["pre_tokenizer"] or {}, parts["model"]
         usual = split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
         if not usual or parts["normalizer"] or model["type"] != "BPE":
             raise ValueError(f"{path}: not a plain byte-level BPE")
         vocab = model["vocab"]
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        added = self.tokenizer.get_added_tokens_decoder()
-        self.added = [t.content for t in added.values() if not (plain_specials and t.special)]
+        added = {t["id"]: t for t in parts["added_tokens"]}
+        self.added = [t["content"] for t in added.values() if not (plain_specials and t["special"])]
         letters = {c: b for b, c in byte_letters().items()}
         self.bytes_of = [b""] * (1 + max(*vocab.values(), *added, 0))
         for token, i in vocab.items():
             if i not in added:
                 self.bytes_of[i] = bytes(letters[c] for c in token)
         self.width = np.array([len(b) for b in self.bytes_of])
+        self.dtype = np.dtype("<u2" if len(self.width) <= 1 << 16 else "<u4")
         made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
         singles = sum(len(b) == 1 for b in self.bytes_of)
         self.ranked = (
@@ -128,6 +124,18 @@ class ByteEncoder:
             ranks = {b: i for i, b in enumerate(self.bytes_of) if b}
             self.engine = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @functools.cached_property
+    def tokenizer(self):
+        """The library's tokenizer, loaded for the first text that needs it."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(self.path)
+        made.no_truncation()
+        made.no_padding()
+        made.encode_special_tokens = self.plain_specials
+        return made
+
     def _library(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
 

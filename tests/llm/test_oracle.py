@@ -18,4 +18,4 @@ def test_query_matches_sql(spark, sf_dir, name):
 
 def test_every_operator_is_registered():
     names = list(queries.queries())
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
