@@ -16,6 +16,12 @@ from latticemix.llm.shared import text_table
 from latticemix.session import made_so_far, new_path, remove_intermediate
 
 TOKENIZER = "byte_bpe_50k.json"
+# Documents of an Arrow batch: whole texts pass through Python, in buffers that double as they fill.
+BATCH_ROWS = 2000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,6 +30,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts go by the overall share of label 1; repeated rows stay or go
     together, as do rows without an id; all columns stay.
     """
+    _small_batches(spark)
     return quality_knn.keep_predicted(docs, text_table(spark, sf_dir, "labels"))
 
 
@@ -37,6 +44,7 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop lines that ten documents or more share; ``n_chars`` follows the text."""
+    _small_batches(spark)
     # names that dedup_lines takes for itself stay free: columns keep their places
     names = [c if c in ("text", "n_chars") else f"column_{i}" for i, c in enumerate(docs.columns)]
     kept = line_dedup.dedup_lines(docs.toDF(*names), min_docs=10).drop("n_lines", "n_dropped")
@@ -47,6 +55,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the least id of each group whose fingerprints link at two bits or fewer."""
+    _small_batches(spark)
     return simhash.keep_first(docs, radius=2, shingle=3)
 
 
@@ -57,6 +66,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     like any other; an empty table gives no pieces; other columns are left out.
     Pieces of equal length take their places in any order.
     """
+    _small_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
 
 
