@@ -145,7 +145,7 @@ def distance_sums(labelled: DataFrame, block_rows: int | None = None) -> DataFra
 
 
 def silhouette_rows(labelled: DataFrame, block_rows: int | None = None) -> DataFrame:
-    """(id, label, a, b, width, looked): exact, with unsquared Euclidean distance.
+    """(id, label, a, b, width, looked): over all rows, with unsquared Euclidean distance.
 
     ``a``: mean distance to the rest of the row's cluster, NULL when alone.
     ``b``: smallest mean distance to another cluster, NULL without one; found by

@@ -1,8 +1,9 @@
 """Labelled rows as column files in the shared folder, and distances from every row to whole clusters.
 
 Rows are ranged by label and written once: per part the vectors (memory-mapped by
-the readers), the ids, and the runs of equal labels.  A second, small set of files
-holds every cluster's centre, size and runs.  Tasks take ranges of rows as targets
+the readers), the ids, and the runs of equal labels, each long one in the order of
+a tree of boxes (``distance_tree``) that is written with it.  A second, small set of
+files holds every cluster's centre, size and runs.  Tasks take ranges of rows as targets
 and read only the clusters they need, so the shuffle carries each row once however
 many rows it is compared with.
 
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from ..constants import BLOCK_BYTES, TASKS_PER_CORE
 from ..files import map_file, read_bytes, write_file
 from ..session import materialize, new_path
+from . import distance_tree as D
 from .posterior import matrix, squared_distances
 
 # Distances per numpy call, sized for a core's cache.
@@ -108,6 +110,32 @@ class LabelFiles:
         return [(p, i, min(i + most, n)) for p, n in enumerate(self.rows) for i in range(0, n, most)]
 
 
+def _trees(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, D.Boxes, np.ndarray]:
+    """An order of the rows within their runs, the boxes of all runs, and each run's first box.
+
+    Runs that no grid would serve have no boxes (-1).
+    """
+    order, roots = np.arange(len(x)), np.full(len(starts), -1)
+    found, n, n_weights = [], 0, 0
+    for run in np.flatnonzero(sizes > D.LEAF_ROWS).tolist() if x.shape[1] else ():
+        start, end = int(starts[run]), int(starts[run] + sizes[run])
+        own, boxes = D.build(x[start:end])
+        if not len(boxes.weights):
+            continue
+        order[start:end] = start + own
+        boxes.spans[:, :2] += start
+        boxes.spans[:, 2] += np.where(boxes.spans[:, 2] > 0, n, 0)
+        boxes.spans[:, 3] += np.where(boxes.spans[:, 3] >= 0, n_weights, 0)
+        roots[run] = n
+        found.append(boxes)
+        n, n_weights = n + len(boxes.lo), n_weights + len(boxes.weights)
+    if not found:
+        empty = np.empty((0, x.shape[1]))
+        return order, D.Boxes(empty, empty, np.empty((0, 4), np.int64), np.empty(0)), roots
+    joined = (np.concatenate([getattr(b, name) for b in found]) for name in ("lo", "hi", "spans", "weights"))
+    return order, D.Boxes(*joined), roots
+
+
 def write_label_files(labelled: DataFrame, profile) -> LabelFiles:
     """Write the rows of ``labelled`` (id, x, label; checked) by label, and its clusters.
 
@@ -129,25 +157,30 @@ def write_label_files(labelled: DataFrame, profile) -> LabelFiles:
             return
         rows = pa.Table.from_batches(held).combine_chunks()
         labels = one_array(rows["label"])
-        write_file(f"{folder}/x-{part}", [np.ascontiguousarray(matrix(one_array(rows["x"]), width), float).tobytes()])
+        x = np.ascontiguousarray(matrix(one_array(rows["x"]), width), float)
         codes = labels.dictionary_encode().indices.to_numpy()
         starts = np.flatnonzero(np.diff(codes, prepend=-1))
-        runs = {"label": labels.take(pa.array(starts)), "start": starts, "n": np.diff(starts, append=len(codes))}
-        write_file(f"{folder}/ids-{part}", [ipc_bytes({"id": rows["id"], "label": labels})])
+        sizes = np.diff(starts, append=len(codes))
+        order, trees, roots = _trees(x, starts, sizes)
+        write_file(f"{folder}/x-{part}", [x[order].tobytes()])
+        for name, values in (("lo", trees.lo), ("hi", trees.hi), ("spans", trees.spans), ("weights", trees.weights)):
+            write_file(f"{folder}/{name}-{part}", [values.tobytes()])
+        write_file(f"{folder}/ids-{part}", [ipc_bytes({"id": rows["id"].take(pa.array(order)), "label": labels})])
         yield pa.RecordBatch.from_arrays(
-            [runs["label"], pa.array(np.full(len(starts), part)), *(pa.array(runs[c]) for c in ("start", "n"))],
-            ["label", "part", "start", "n"],
+            [labels.take(pa.array(starts)), pa.array(np.full(len(starts), part)), *(pa.array(c) for c in (starts, sizes, roots))],
+            ["label", "part", "start", "n", "root"],
         )
 
-    place = F.xxhash64("id")
-    dealt = labelled.select("id", "label", "x").repartitionByRange(parts, "label", place)
-    schema = f"label {kinds['label']}, part long, start long, n long"
-    runs = materialize(dealt.sortWithinPartitions("label", place).mapInArrow(write, schema))
+    # by vectors within a label: the boxes of its parts lie side by side
+    place = ["label", "x", F.xxhash64("id")]
+    dealt = labelled.select("id", "label", "x").repartitionByRange(parts, *place)
+    schema = f"label {kinds['label']}, part long, start long, n long, root long"
+    runs = materialize(dealt.sortWithinPartitions(*place).mapInArrow(write, schema))
     # rows per part: an entry for every ``BLOCK_BYTES`` of rows
     counted = dict(runs.groupBy("part").agg(F.sum("n").alias("n")).collect())
     rows = tuple(counted.get(p, 0) for p in range(max(counted) + 1))
 
-    grouped = runs.groupBy("label").agg(F.collect_list(F.struct("part", "start", "n")).alias("runs"))
+    grouped = runs.groupBy("label").agg(F.collect_list(F.struct("part", "start", "n", "root")).alias("runs"))
     clusters = profile(width).join(grouped, "label")
 
     def write_clusters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,12 +200,35 @@ def write_label_files(labelled: DataFrame, profile) -> LabelFiles:
     return LabelFiles(folder, width, rows, made_rows, kinds["id"], kinds["label"])
 
 
+def _blocks(rows: np.ndarray, ranges: list[tuple[int, int]]) -> Iterator[np.ndarray]:
+    """The rows in some ranges, about ``SOURCE_ROWS`` at a time."""
+    held, n = [], 0
+    for start, end in ranges:
+        for i in range(start, end, SOURCE_ROWS):
+            held.append(rows[i : min(i + SOURCE_ROWS, end)])
+            n += len(held[-1])
+            if n >= SOURCE_ROWS:
+                yield np.concatenate(held)
+                held, n = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
+def _measured(x: np.ndarray, points: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+    """Summed distances, one by one."""
+    total = np.zeros(len(x))
+    for part, dist in distance_chunks(x, points):
+        total[part] += dist.sum(axis=1) if weights is None else dist @ weights
+    return total
+
+
 class _Reader:
     """The files of one task, mapped as they are needed."""
 
     def __init__(self, files: LabelFiles):
         self.files = files
         self.x = functools.lru_cache(maxsize=64)(self._x)
+        self.boxes = functools.lru_cache(maxsize=64)(self._boxes)
         tables = [ipc_table(f"{files.folder}/clusters-{p}") for p, n in enumerate(files.clusters) if n]
         self.clusters = pa.concat_tables(tables).combine_chunks()
         self.sizes = self.clusters["n"].to_numpy()
@@ -182,7 +238,16 @@ class _Reader:
     def _x(self, part: int) -> np.ndarray:
         if not self.files.width:
             return np.zeros((self.files.rows[part], 0))
-        return map_file(f"{self.files.folder}/x-{part}", float).reshape(-1, self.files.width)
+        return np.asarray(map_file(f"{self.files.folder}/x-{part}", float)).reshape(-1, self.files.width)
+
+    def _boxes(self, part: int) -> D.Boxes:
+        lo, hi, spans, weights = (
+            map_file(f"{self.files.folder}/{name}-{part}", kind)
+            for name, kind in (("lo", float), ("hi", float), ("spans", np.int64), ("weights", float))
+        )
+        # plain views of the mapped files, which are quicker to index
+        shaped = lo.reshape(-1, self.files.width), hi.reshape(-1, self.files.width), spans.reshape(-1, 4), weights
+        return D.Boxes(*(np.asarray(a) for a in shaped))
 
     def targets(self, part: int, start: int, stop: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """Ids, cluster numbers and vectors of some rows."""
@@ -203,13 +268,17 @@ class _Reader:
 
     def sums(self, x: np.ndarray, cluster: int) -> np.ndarray:
         """Summed distances from each row of ``x`` to all rows of a cluster."""
-        total = np.zeros(len(x))
+        total, neighbours = np.zeros(len(x)), None
         for run in self.clusters["runs"][cluster].as_py():
             rows = self.x(run["part"])
-            for i in range(run["start"], run["start"] + run["n"], SOURCE_ROWS):
-                block = np.asarray(rows[i : min(i + SOURCE_ROWS, run["start"] + run["n"])])
-                for part, dist in distance_chunks(x, block):
-                    total[part] += dist.sum(axis=1)
+            if run["root"] < 0:
+                for block in _blocks(rows, [(run["start"], run["start"] + run["n"])]):
+                    total += _measured(x, block)
+                continue
+            neighbours = neighbours or list(D.groups(x))
+            for group in neighbours:
+                boxes = self.boxes(run["part"])
+                total[group] += D.sums(x[group], boxes, run["root"], functools.partial(_blocks, rows), _measured)
         return total
 
     def own_sums(self, x: np.ndarray, code: np.ndarray) -> np.ndarray:

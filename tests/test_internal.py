@@ -4,7 +4,9 @@ import pytest
 
 from fixtures import PREDICTED, X
 from latticemix.operators import ball_tree as B
+from latticemix.operators import distance_tree as D
 from latticemix.operators import internal as I
+from latticemix.operators import label_files as L
 
 
 def labelled(spark, x=X, names=PREDICTED):
@@ -175,3 +177,72 @@ def test_many_labels_are_joined_in_two_parts(spark, monkeypatch):
     assert {r.id: r.center for r in split.collect()} == want
     assert split.count() == 300
     assert {r.label: r.scatter for r in I.cluster_scatter(rows, 2).collect()} == pytest.approx(scatter)
+
+
+def points_of_kind(kind, n, rng):
+    plane = np.column_stack([rng.exponential(0.1, n), rng.integers(0, 24, n) / 23])
+    if kind == "equal rows":
+        return plane[rng.integers(0, 40, n)]
+    if kind == "one row":
+        return np.full((n, 2), 0.1)
+    if kind == "offset":
+        return 1e4 + rng.random((n, 2))
+    if kind == "mixed":
+        return np.hstack([plane, np.eye(5)[rng.integers(0, 5, n)]])
+    return plane if kind == "plane" else rng.random((n, int(kind)))
+
+
+@pytest.mark.parametrize("kind", ["plane", "equal rows", "one row", "offset", "mixed", "1", "3", "12"])
+def test_sums_by_boxes_equal_sums_one_by_one(kind):
+    rng = np.random.default_rng(11)
+    x = points_of_kind(kind, 6000, rng)
+    order, boxes = D.build(x, 300)
+    assert sorted(order) == list(range(6000))
+    x = x[order]
+    got, measured = np.zeros(len(x)), 0
+
+    def one_by_one(targets, points, weights):
+        nonlocal measured
+        measured += len(targets) * len(points)
+        return L._measured(targets, points, weights)
+
+    for group in D.groups(x, 300):
+        got[group] = D.sums(x[group], boxes, 0, lambda ranges: L._blocks(x, ranges), one_by_one)
+    assert got == pytest.approx(L._measured(x, x), rel=1e-10)
+    if kind == "one row":
+        assert not got.any()
+    if kind not in ("3", "12"):  # in these, 6000 rows are all near
+        assert measured < 0.7 * len(x) ** 2
+
+
+def test_a_row_without_bounds_stays_visible():
+    x = points_of_kind("plane", 2000, np.random.default_rng(2))
+    x[7, 1], x[9, 0] = np.nan, np.inf
+    order, boxes = D.build(x, 300)
+    x = x[order]
+    with np.errstate(invalid="ignore"):
+        got = D.sums(x[:50], boxes, 0, lambda ranges: L._blocks(x, ranges), L._measured)
+    assert np.isnan(got).all()
+
+
+def test_silhouette_of_long_clusters_measures_few_pairs(spark, monkeypatch):
+    x = points_of_kind("plane", 9000, np.random.default_rng(4))
+    names = ["long"] * 8000 + ["short"] * 1000
+    rows = labelled(spark, x.tolist(), names)
+    found = {r.id: r for r in I.silhouette_rows(rows, 700).collect()}
+    for i in (0, 4000, 8500):
+        off = np.sqrt(np.square(x - x[i]).sum(axis=1))
+        means = off[:8000].sum() / (8000 - (i < 8000)), off[8000:].sum() / (1000 - (i >= 8000))
+        a, b = means if i < 8000 else means[::-1]
+        assert (found[i].a, found[i].b) == pytest.approx((a, b), rel=1e-9)
+    reader, pairs, one_by_one = L._Reader(I._files(rows)), 0, L.distance_chunks
+
+    def counted(a, b):
+        nonlocal pairs
+        pairs += len(a) * len(b)
+        return one_by_one(a, b)
+
+    monkeypatch.setattr(L, "distance_chunks", counted)
+    _, code, targets = reader.targets(0, 0, 2000)
+    reader.own_sums(targets, code)
+    assert pairs < 0.6 * 2000 * 8000
