@@ -61,7 +61,9 @@ class EliasFano:
 
     def __init__(self, words: np.ndarray):
         self.n, self.width, n_low, n_high = (int(w) for w in words[:4])
+        words = np.asarray(words)  # a plain view of a mapped file
         self.low = words[4 : 4 + n_low]
+        self.bytes = np.ndarray(max(0, 8 * n_low - 7), "<u8", self.low, strides=(1,)) if n_low else self.low
         self.high = words[4 + n_low : 4 + n_low + n_high]
         self.ones = words[4 + n_low + n_high :]
         self.zeros = np.arange(len(self.ones), dtype=np.uint64) * np.uint64(64) - self.ones
@@ -70,6 +72,9 @@ class EliasFano:
     def _low(self, at: np.ndarray) -> np.ndarray:
         if not self.width:
             return np.zeros(len(at), np.uint64)
+        if self.width <= 57:  # the bits lie in the eight bytes from their first one
+            bit = at * self.width
+            return (self.bytes[bit >> 3] >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.width) - 1)
         bit = at.astype(np.uint64) * np.uint64(self.width)
         word, shift = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
         # two shifts, as one by 64 is undefined
@@ -94,9 +99,8 @@ class EliasFano:
         inside = bucket < np.uint64(self.buckets)
         where = np.where(inside, bucket, np.uint64(0)).astype(np.int64)
         # the bucket's ones follow the zero that ends the bucket before it
-        begin = np.zeros(len(x), np.int64)
-        later = where > 0
-        begin[later] = self._select(self.zeros, True, where[later] - 1) + 1
+        begin = self._select(self.zeros, True, np.maximum(where - 1, 0)) + 1
+        begin[where == 0] = 0
         start = begin - where
         word, shift = begin >> 6, (begin & 63).astype(np.uint64)
         after = self.high[np.minimum(word + 1, len(self.high) - 1)]
@@ -104,18 +108,23 @@ class EliasFano:
         held = np.bitwise_count(run & ~(run + _ONE)).astype(np.int64)  # ones below the next zero
         end = start + held
         long = np.flatnonzero((run == ~np.uint64(0)) | (word + 1 >= len(self.high)))
-        end[long] = self._select(self.zeros, True, where[long]) - where[long]
-        lo, hi = np.where(inside, start, self.n), np.where(inside, end, self.n)
-        target = x & np.uint64((1 << self.width) - 1)
-        stop = hi.copy()
-        open_ = np.flatnonzero(lo < hi)
-        while len(open_):
-            middle = (lo[open_] + hi[open_]) // 2
-            less = self._low(middle) < target[open_]
-            lo[open_] = np.where(less, middle + 1, lo[open_])
-            hi[open_] = np.where(less, hi[open_], middle)
-            open_ = open_[lo[open_] < hi[open_]]
+        if len(long):
+            end[long] = self._select(self.zeros, True, where[long]) - where[long]
+        found = np.where(inside, start, self.n)
         equal = np.zeros(len(x), bool)
-        held = np.flatnonzero(inside & (lo < stop))
-        equal[held] = self._low(lo[held]) == target[held]
-        return lo, equal
+        # searched by halves: only those still open, each step's values side by side
+        at = np.flatnonzero(inside & (start < end))
+        lo, hi, target = start[at], end[at], x[at] & np.uint64((1 << self.width) - 1)
+        while len(at):
+            middle = (lo + hi) >> 1
+            value = self._low(middle)
+            less = value < target
+            # values don't fall, so an equal one is at the place found, or a run of them ends there
+            equal[at[value == target]] = True
+            lo, hi = np.where(less, middle + 1, lo), np.where(less, hi, middle)
+            closed = lo >= hi
+            done = np.flatnonzero(closed)
+            found[at[done]] = lo[done]
+            still = np.flatnonzero(~closed)
+            at, lo, hi, target = at[still], lo[still], hi[still], target[still]
+        return found, equal

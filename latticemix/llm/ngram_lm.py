@@ -212,36 +212,10 @@ def _slices(texts: list[bytes | None]) -> Iterator[list[list[bytes]]]:
         yield held
 
 
-class _WordCache:
-    """Nodes and counts of words seen by this worker, by model."""
-
-    models: dict[str, _WordCache] = {}
-
-    def __init__(self, level: Level):
-        self.level, self.slots = level, {}
-        self.nodes, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
-
-    @classmethod
-    def of(cls, level: Level) -> _WordCache:
-        if level.folder not in cls.models:
-            cls.models.clear()
-            cls.models[level.folder] = cls(level)
-        return cls.models[level.folder]
-
-    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        new = set(words).difference(self.slots)
-        if len(self.slots) + len(new) > CACHE_WORDS and self.slots:
-            self.slots.clear()
-            self.nodes, self.counts = self.nodes[:0], self.counts[:0]
-            new = set(words)
-        if new:
-            new = list(new)
-            hashes = np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))
-            nodes, counts = word_nodes(self.level, hashes)
-            self.slots.update(zip(new, range(len(self.nodes), len(self.nodes) + len(new))))
-            self.nodes, self.counts = np.append(self.nodes, nodes), np.append(self.counts, counts)
-        slots = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
-        return self.nodes[slots], self.counts[slots]
+def _text_nodes(level: Level, words: list[bytes]) -> np.ndarray:
+    """Nodes (-1: unknown) of words, equal ones looked up once."""
+    hashes, back = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), return_inverse=True)
+    return word_nodes(level, hashes)[0][back]
 
 
 def code_words(docs: DataFrame, words: Level, folder: str) -> DataFrame:
@@ -256,7 +230,7 @@ def code_words(docs: DataFrame, words: Level, folder: str) -> DataFrame:
         for batch in batches:
             at = 0
             for some in _slices(_text_column(batch, 2)):
-                nodes, _ = _WordCache.of(words).look_up(list(itertools.chain.from_iterable(some)))
+                nodes = _text_nodes(words, list(itertools.chain.from_iterable(some)))
                 data = (nodes + 1).astype(wide).tobytes()
                 ends = (np.cumsum([len(d) for d in some]) * np.dtype(wide).itemsize).tolist()
                 part = batch.slice(at, len(some))

@@ -316,6 +316,25 @@ def test_elias_fano_sequences():
         assert (at == np.searchsorted(values, asked)).all() and (equal == np.isin(asked, values)).all()
 
 
+@pytest.mark.parametrize("bits", [1, 20, 57, 58, 63])
+def test_elias_fano_reads_a_low_part_once_a_step(bits, monkeypatch):
+    rng = np.random.default_rng(bits)
+    values = np.sort(rng.integers(0, 1 << bits, 400, np.uint64))
+    values = np.sort(np.concatenate([values, values[::7], values[:3], np.array([(1 << bits) - 1], np.uint64)]))
+    sequence, read, low = EliasFano(encode(values)), [], EliasFano._low
+    monkeypatch.setattr(EliasFano, "_low", lambda self, at: read.append(len(at)) or low(self, at))
+    asked = np.unique(np.concatenate([values, values + np.uint64(1), rng.integers(0, 1 << bits, 300, np.uint64)]))
+    at, equal = sequence.successor(asked)
+    assert (at == np.searchsorted(values, asked)).all() and (equal == np.isin(asked, values)).all()
+    assert (sequence.get(np.arange(len(values))) == values).all()
+    # a bucket of one value is read once
+    lone = EliasFano(encode(np.arange(64, dtype=np.uint64) << np.uint64(8)))
+    read.clear()
+    assert lone.successor(np.arange(64, dtype=np.uint64) << np.uint64(8))[1].all()
+    assert sum(read) == 64
+
+
+
 def check_model(rows, texts, order):
     kept = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 5 != 1 or r.doc_id is None]
     model = R.Model([texts[id(r)] for r in kept], order, ngram_lm.DISCOUNT)
