@@ -225,8 +225,9 @@ def test_a_row_without_bounds_stays_visible():
     assert np.isnan(got).all()
 
 
-def test_silhouette_of_long_clusters_measures_few_pairs(spark, monkeypatch):
-    x = points_of_kind("plane", 9000, np.random.default_rng(4))
+@pytest.mark.parametrize("kind", ["plane", "mixed"])
+def test_silhouette_of_long_clusters_measures_few_pairs(spark, monkeypatch, kind):
+    x = points_of_kind(kind, 9000, np.random.default_rng(4))
     names = ["long"] * 8000 + ["short"] * 1000
     rows = labelled(spark, x.tolist(), names)
     found = {r.id: r for r in I.silhouette_rows(rows, 700).collect()}
