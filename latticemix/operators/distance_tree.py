@@ -4,9 +4,10 @@ Rows are halved along the widest axis of their box until few are left.  Seen fro
 outside at some distance, a box's rows act like weights on a small grid of
 Chebyshev nodes in it: |x - y| is smooth there, so its polynomial in y through the
 nodes is as good as the function.  The same holds for a box of targets, whose
-sums are taken at the nodes and read off for each target.  Boxes too near are
-opened, and rows of the last ones are measured one by one, so the work for n
-targets and n rows grows about as n log n.  ``NODES`` and ``GAP`` keep the sums
+sums are taken at the nodes and read off at those of its halves, and in the end for
+each target.  Boxes too near are left to the halves or opened, and rows of the last
+ones are measured one by one, so the work for n targets and n rows grows about as
+n log n.  ``NODES`` and ``GAP`` keep the sums
 within about 1e-10 of theirs one by one.
 
 Only axes along which a box extends count: equal rows are a single node with
@@ -17,6 +18,7 @@ by one.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,6 +43,7 @@ def _basis(unit: np.ndarray) -> np.ndarray:
     return np.cos(angle[:, None] * np.arange(NODES)) @ _COEFFICIENTS
 
 
+@functools.lru_cache(maxsize=256)
 def _unit_grid(axes: tuple[int, ...], width: int) -> np.ndarray:
     out = np.zeros((NODES ** len(axes), width))
     for axis, at in zip(axes, np.meshgrid(*[_AT] * len(axes), indexing="ij")):
@@ -63,14 +66,14 @@ def _onto_grid(x: np.ndarray, weight: np.ndarray, lo: np.ndarray, hi: np.ndarray
     return (first.T @ spread).ravel()
 
 
-def _off_grid(values: np.ndarray, x: np.ndarray, lo: np.ndarray, hi: np.ndarray, axes: tuple[int, ...]) -> np.ndarray:
-    """Values at points from those at the nodes."""
-    if not axes:
-        return np.full(len(x), values[0])
-    first, *others = _bases(x, lo, hi, axes)
+def _off_grid(values: np.ndarray, bases: list[np.ndarray]) -> np.ndarray:
+    """Values at points, by their ``_bases``, from those at the nodes."""
+    if not bases:
+        return values[0]
+    first, *others = bases
     out = first @ values.reshape(NODES, -1)
     for basis in others:
-        out = np.einsum("ip,ipq->iq", basis, out.reshape(len(x), NODES, -1))
+        out = np.einsum("ip,ipq->iq", basis, out.reshape(len(basis), NODES, -1))
     return out[:, 0]
 
 
@@ -108,6 +111,12 @@ class Boxes:
     spans: np.ndarray
     weights: np.ndarray
 
+    @functools.cached_property
+    def kinds(self) -> tuple[list[tuple[int, ...]], np.ndarray]:
+        """The sets of axes that boxes extend along, and the number of each box's set."""
+        sets, kind = np.unique(self.hi > self.lo, axis=0, return_inverse=True)
+        return [tuple(np.flatnonzero(extends).tolist()) for extends in sets], kind.ravel()
+
 
 def build(x: np.ndarray, leaf: int = LEAF_ROWS) -> tuple[np.ndarray, Boxes]:
     """The order in which each box's rows are neighbours, and the boxes."""
@@ -165,42 +174,47 @@ def groups(x: np.ndarray, most: int = LEAF_ROWS) -> Iterator[np.ndarray]:
 def _nodes(boxes: Boxes, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nodes and weights of some boxes that have them."""
     width = boxes.lo.shape[1]
-    lo, hi, at = boxes.lo[chosen], boxes.hi[chosen], boxes.spans[chosen, 3]
+    lo, hi, at, kind = boxes.lo[chosen], boxes.hi[chosen], boxes.spans[chosen, 3], boxes.kinds[1][chosen]
     points, weights = [], []
-    extends, kind = np.unique(hi > lo, axis=0, return_inverse=True)
-    for k, pattern in enumerate(extends):
-        mine = np.flatnonzero(kind.ravel() == k)
-        unit = _unit_grid(tuple(np.flatnonzero(pattern).tolist()), width)
+    for k in np.flatnonzero(np.bincount(kind)).tolist():
+        mine = np.flatnonzero(kind == k)
+        unit = _unit_grid(boxes.kinds[0][k], width)
         middle, half = (lo[mine] + hi[mine]) / 2, (hi[mine] - lo[mine]) / 2
         points.append((middle[:, None] + half[:, None] * unit).reshape(-1, width))
         weights.append(boxes.weights[at[mine, None] + np.arange(len(unit))].ravel())
     return np.concatenate(points), np.concatenate(weights)
 
 
-def _apart(boxes: Boxes, root: int, lo: np.ndarray, hi: np.ndarray):
+def _apart(boxes: Boxes, todo: np.ndarray, lo: np.ndarray, hi: np.ndarray, last: bool):
     """Box numbers for a box of targets: those to be seen from its nodes, from each target, and to be measured by rows.
 
-    Leaves among the first may lack a grid; the last are leaves.
+    Leaves among the first may lack a grid; the last are leaves.  A box of targets
+    that is not the ``last`` has the boxes that are too near for its nodes
+    in the fourth place, opened until they are smaller than it, and no others.
     """
-    far, seen, near = [], [], []
-    half, todo = (hi - lo).max() / 2, np.array([root])
+    far, seen, near, kept = ([np.empty(0, np.int64)] for _ in range(4))
+    half = (hi - lo).max(initial=0) / 2
     while len(todo):
         other_lo, other_hi, spans = boxes.lo[todo], boxes.hi[todo], boxes.spans[todo]
         gap = np.sqrt(np.square(np.maximum(0, np.maximum(other_lo - hi, lo - other_hi))).sum(axis=1))
         with np.errstate(invalid="ignore"):
             other_half = (other_hi - other_lo).max(axis=1) / 2
             clear = (gap >= GAP * other_half) & np.isfinite(gap)
-            far_off = clear & (gap >= GAP * half) & (gap > 0)
+            by_nodes = clear & (gap >= GAP * half) & (gap > 0)
         leaf, grid = spans[:, 2] == 0, spans[:, 3] >= 0
-        by_nodes = far_off & (grid | leaf)
-        by_target = ~by_nodes & clear & grid
-        rest = ~by_nodes & ~by_target
+        by_nodes &= grid | leaf
         far.append(todo[by_nodes])
-        seen.append(todo[by_target])
-        near.append(todo[rest & leaf])
-        opened = rest & ~leaf
+        if last:
+            by_target = ~by_nodes & clear & grid
+            rest = ~by_nodes & ~by_target
+            seen.append(todo[by_target])
+            near.append(todo[rest & leaf])
+            opened = rest & ~leaf
+        else:
+            opened = ~by_nodes & ~leaf & (other_half >= half)
+            kept.append(todo[~by_nodes & ~opened])
         todo = np.concatenate([todo[opened] + 1, spans[opened, 2]])
-    return np.concatenate(far), np.concatenate(seen), np.concatenate(near)
+    return tuple(np.concatenate(found) for found in (far, seen, near, kept))
 
 
 def _merged(spans: np.ndarray) -> list[tuple[int, int]]:
@@ -223,29 +237,124 @@ def _product_sums(a: np.ndarray, b: np.ndarray, weights: np.ndarray) -> np.ndarr
     return out
 
 
-def sums(x: np.ndarray, boxes: Boxes, root: int, rows, measured) -> np.ndarray:
-    """Summed distances from neighbouring targets to all rows of the tree.
+class _Side:
+    """One box of targets: its rows, its grid, and how values at the nodes above it are read off."""
+
+    def __init__(self, x: np.ndarray, start: int, end: int, above: "_Side | None"):
+        self.start, self.end, self.x = start, end, x[start:end]
+        self.lo, self.hi = self.x.min(axis=0), self.x.max(axis=0)
+        self.halves: list[_Side] = []
+        axes = _axes(self.lo, self.hi)
+        self.axes = axes if axes is not None and NODES ** len(axes) < end - start else None
+        self.above = above if above is None or above.axes is not None else above.above
+
+    @functools.cached_property
+    def at(self) -> np.ndarray:
+        if self.axes is None:
+            return self.x
+        middle, half = (self.lo + self.hi) / 2, (self.hi - self.lo) / 2
+        return middle + half * _unit_grid(self.axes, len(middle))
+
+    @functools.cached_property
+    def from_above(self) -> list[np.ndarray]:
+        return _bases(self.at, self.above.lo, self.above.hi, self.above.axes)
+
+    @functools.cached_property
+    def from_own(self) -> list[np.ndarray]:
+        return _bases(self.x, self.lo, self.hi, self.axes)
+
+
+class Targets:
+    """A tree of boxes around targets, halved like the rows down to ``most`` if they differ."""
+
+    def __init__(self, x: np.ndarray, most: int = LEAF_ROWS):
+        # narrow rows are quicker to bound and to cut by columns
+        self.order, columns = np.arange(len(x)), np.asfortranarray(x)
+        cuts, todo = {}, [(0, len(x))] if len(x) > most else []
+        while todo:
+            start, end = todo.pop()
+            part = columns[start:end]
+            cut = _cut(part, part.min(axis=0), part.max(axis=0))
+            if cut is not None:
+                self.order[start:end] = self.order[start:end][cut[0]]
+                columns[start:end] = part[cut[0]]
+                cuts[start, end] = middle = start + cut[1]
+                todo += [span for span in ((start, middle), (middle, end)) if span[1] - span[0] > most]
+        self.x = columns
+        self.root = _Side(columns, 0, len(x), None) if len(x) else None
+        below = [self.root] if len(x) else []
+        while below:
+            side = below.pop()
+            middle = cuts.get((side.start, side.end))
+            if middle is not None:
+                side.halves = [_Side(columns, *span, side) for span in ((side.start, middle), (middle, side.end))]
+                below += side.halves
+
+    def sums(self, boxes: Boxes, root: int, rows, measured, wanted: np.ndarray | None = None) -> np.ndarray:
+        """Summed distances from the targets (0 where not ``wanted``) to all rows of a tree.
+
+        A box of targets takes at its nodes what is far from it, and hands its
+        nodes' values and what is nearer on to its halves: a box of the tree is
+        met by targets spread about as far as its rows.  ``rows(ranges)`` yields
+        blocks of the rows in some ranges, ``measured(x, points, weights)`` sums
+        distances one by one (no weights: 1).
+        """
+        total = np.zeros(len(self.x))
+        mine = None if wanted is None else wanted[self.order]
+        todo = [(self.root, np.array([root]), None)] if self.root else []
+        while todo:
+            side, chosen, above = todo.pop()
+            part = side.x
+            if mine is not None:
+                asked = mine[side.start : side.end]
+                if not asked.any():
+                    continue
+            if side.halves and side.axes is None:
+                todo += [(half, chosen, above) for half in side.halves]
+                continue
+            far, seen, near, chosen = _apart(boxes, chosen, side.lo, side.hi, not side.halves)
+            values = np.zeros(len(side.at))
+            if above is not None:
+                values += _off_grid(above, side.from_above)
+            grid = boxes.spans[far, 3] >= 0
+            if grid.any():
+                values += _product_sums(side.at, *_nodes(boxes, far[grid]))
+            if not grid.all():
+                for block in rows(_merged(boxes.spans[far[~grid]])):
+                    values += _product_sums(side.at, block, np.ones(len(block)))
+            if side.halves:
+                todo += [(half, chosen, values) for half in side.halves]
+                continue
+            own = np.zeros(len(part))
+            own += values if side.axes is None else _off_grid(values, side.from_own)
+            if len(seen) or len(near):
+                some = slice(None) if mine is None or asked.all() else np.flatnonzero(asked)
+                part = part[some]
+                if len(seen):
+                    own[some] += measured(part, *_nodes(boxes, seen))
+                for block in rows(_merged(boxes.spans[near])):
+                    own[some] += measured(part, block, None)
+            total[self.order[side.start : side.end]] = own
+        return total if wanted is None else np.where(wanted, total, 0)
 
-    ``rows(ranges)`` yields blocks of the rows in some ranges, ``measured(x,
-    points, weights)`` sums distances one by one (no weights: 1).
-    """
-    lo, hi = x.min(axis=0), x.max(axis=0)
-    far, seen, near = _apart(boxes, root, lo, hi)
-    total = np.zeros(len(x))
-    if len(far):
-        axes = _axes(lo, hi)
-        if axes is not None and NODES ** len(axes) < len(x):
-            at = (lo + hi) / 2 + (hi - lo) / 2 * _unit_grid(axes, x.shape[1])
-        else:
-            axes, at = None, x
-        values, grid = np.zeros(len(at)), boxes.spans[far, 3] >= 0
-        if grid.any():
-            values += _product_sums(at, *_nodes(boxes, far[grid]))
-        for block in rows(_merged(boxes.spans[far[~grid]])):
-            values += _product_sums(at, block, np.ones(len(block)))
-        total += values if axes is None else _off_grid(values, x, lo, hi, axes)
-    if len(seen):
-        total += measured(x, *_nodes(boxes, seen))
-    for block in rows(_merged(boxes.spans[near])):
-        total += measured(x, block, None)
-    return total
+
+def sums(x: np.ndarray, boxes: Boxes, root: int, rows, measured) -> np.ndarray:
+    """``Targets.sums`` of some rows."""
+    return Targets(x).sums(boxes, root, rows, measured)
+
+
+def pieces(boxes: Boxes, root: int, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Means and numbers of rows of up to about ``most`` boxes that hold the tree's rows; none if some have no grid."""
+    todo, done = np.array([root]), []
+    while len(todo) and (len(todo) + sum(map(len, done)) < most or (boxes.spans[todo, 3] < 0).any()):
+        leaf = boxes.spans[todo, 2] == 0
+        done.append(todo[leaf])
+        todo = np.concatenate([todo[~leaf] + 1, boxes.spans[todo[~leaf], 2]])
+    chosen = np.concatenate([*done, todo])
+    if (boxes.spans[chosen, 3] < 0).any():
+        return None
+    n, means = boxes.spans[chosen, 1] - boxes.spans[chosen, 0], []
+    for box, rows in zip(chosen, n):  # a grid's weights keep sums of coordinates
+        points, weights = _nodes(boxes, np.array([box]))
+        means.append(boxes.lo[box] + weights @ (points - boxes.lo[box]) / rows)
+    return np.array(means), n

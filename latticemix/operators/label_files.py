@@ -39,8 +39,10 @@ NARROW = 8
 # Wider ones come from a matrix product, except where that would cancel.
 CLOSE = 1e-4
 # Targets taken at once, and distances to centres held for them.
-TARGET_ROWS = 2048
+TARGET_ROWS = 1 << 15
 TARGET_VALUES = 4_000_000
+# Parts of a cluster's run whose means bound its mean distance.
+PIECES = 32
 # Source rows streamed at a time.
 SOURCE_ROWS = 4096
 # A centre this much farther than the best mean is out of reach, whatever the rounding.
@@ -62,7 +64,10 @@ def distance_chunks(a: np.ndarray, b: np.ndarray):
     """(slice of a, its Euclidean distances to all of b), a few rows at a time."""
     if a.shape[1] != b.shape[1]:
         raise ValueError("every vector needs the same width")
-    if a.shape[1] > NARROW and len(b):  # the matrix product cancels less around the block's mean
+    if a.shape[1] <= NARROW and len(a) and len(b):  # axes on which all agree add nothing
+        differ = ~((a == a[0]).all(axis=0) & (b == a[0]).all(axis=0) & np.isfinite(a[0]))
+        a, b = a[:, differ], b[:, differ]
+    elif len(b):  # the matrix product cancels less around the block's mean
         middle = b.mean(axis=0)
         a, b = a - middle, b - middle
     b_t = np.ascontiguousarray(b.T)
@@ -229,6 +234,8 @@ class _Reader:
         self.files = files
         self.x = functools.lru_cache(maxsize=64)(self._x)
         self.boxes = functools.lru_cache(maxsize=64)(self._boxes)
+        self.pieces = functools.lru_cache(maxsize=1024)(self._pieces)
+        self._last = None
         tables = [ipc_table(f"{files.folder}/clusters-{p}") for p, n in enumerate(files.clusters) if n]
         self.clusters = pa.concat_tables(tables).combine_chunks()
         self.sizes = self.clusters["n"].to_numpy()
@@ -266,28 +273,41 @@ class _Reader:
                 at += len(block)
         return out
 
-    def sums(self, x: np.ndarray, cluster: int) -> np.ndarray:
-        """Summed distances from each row of ``x`` to all rows of a cluster."""
-        total, neighbours = np.zeros(len(x)), None
+    def _tree(self, x: np.ndarray) -> D.Targets:
+        """The boxes of a block of targets; those of the last block are kept."""
+        if self._last is None or self._last[0] is not x:
+            self._last = x, D.Targets(x)
+        return self._last[1]
+
+    def sums(self, x: np.ndarray, cluster: int, wanted: np.ndarray | None = None) -> np.ndarray:
+        """Summed distances from each row of ``x`` (0 where not ``wanted``) to all rows of a cluster."""
+        total = np.zeros(len(x))
+        some = slice(None) if wanted is None else np.flatnonzero(wanted)
         for run in self.clusters["runs"][cluster].as_py():
             rows = self.x(run["part"])
             if run["root"] < 0:
+                part = x[some]
                 for block in _blocks(rows, [(run["start"], run["start"] + run["n"])]):
-                    total += _measured(x, block)
+                    total[some] += _measured(part, block)
                 continue
-            neighbours = neighbours or list(D.groups(x))
-            for group in neighbours:
-                boxes = self.boxes(run["part"])
-                total[group] += D.sums(x[group], boxes, run["root"], functools.partial(_blocks, rows), _measured)
+            total += self._tree(x).sums(self.boxes(run["part"]), run["root"], functools.partial(_blocks, rows), _measured, wanted)
         return total
 
     def own_sums(self, x: np.ndarray, code: np.ndarray) -> np.ndarray:
         out = np.empty(len(x))
         for c in np.unique(code).tolist():
-            rows = np.flatnonzero(code == c)
-            out[rows] = self.sums(x[rows], c)
+            mine = code == c
+            out[mine] = self.sums(x, c, mine)[mine]
         return out
 
+    def _pieces(self, cluster: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """Means of parts of a cluster and their shares of its rows; none where some rows are in no grid."""
+        runs = self.clusters["runs"][cluster].as_py()
+        found = [D.pieces(self.boxes(r["part"]), r["root"], PIECES) if r["root"] >= 0 else None for r in runs]
+        if any(f is None for f in found):
+            return None
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]) / self.sizes[cluster]
+
     def nearest_means(self, x: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The least mean distance to another cluster (infinite without one), and the clusters looked through."""
         bound = self.center_distances(x)
@@ -296,18 +316,24 @@ class _Reader:
         if len(self.sizes) < 2:
             return best, looked
 
-        def look(rows: np.ndarray, c: int) -> None:
-            best[rows] = np.fmin(best[rows], self.sums(x[rows], c) / self.sizes[c])
-            bound[rows, c] = np.inf
-            looked[rows] += 1
+        def look(wanted: np.ndarray, c: int) -> None:
+            sums = self.sums(x, c, wanted)
+            best[wanted] = np.fmin(best[wanted], sums[wanted] / self.sizes[c])
+            bound[wanted, c] = np.inf
+            looked[wanted] += 1
 
         first = bound.argmin(axis=1)
         for c in np.unique(first).tolist():
-            look(np.flatnonzero(first == c), c)
+            look(first == c, c)
         for c in np.argsort(bound.min(axis=0, initial=np.inf), kind="stable").tolist():
             rows = np.flatnonzero(bound[:, c] < best * (1 + MARGIN))
+            parts = self.pieces(c) if len(rows) else None
+            if parts is not None:
+                rows = rows[~(_measured(x[rows], *parts) >= best[rows] * (1 + MARGIN))]
             if len(rows):
-                look(rows, c)
+                wanted = np.zeros(len(x), bool)
+                wanted[rows] = True
+                look(wanted, c)
         return best, looked
 
 

@@ -247,3 +247,26 @@ def test_silhouette_of_long_clusters_measures_few_pairs(spark, monkeypatch, kind
     _, code, targets = reader.targets(0, 0, 2000)
     reader.own_sums(targets, code)
     assert pairs < 0.6 * 2000 * 8000
+
+
+def test_sums_of_some_targets_are_those_of_all():
+    x = points_of_kind("mixed", 5000, np.random.default_rng(8))
+    order, boxes = D.build(x)
+    x, wanted = x[order], np.random.default_rng(9).random(5000) < 0.01
+    wanted[1000:4000] = False
+    got = D.Targets(x).sums(boxes, 0, lambda ranges: L._blocks(x, ranges), L._measured, wanted)
+    assert got == pytest.approx(np.where(wanted, L._measured(x, x), 0), rel=1e-10)
+
+
+def test_clusters_of_one_centre_are_told_apart_by_their_parts(spark):
+    """Rings around one point: their centres exclude none of them."""
+    angle = np.linspace(0, 2 * np.pi, 24000, endpoint=False)
+    ring = 1 + np.arange(24000) % 6
+    names = [str(r) for r in ring]
+    x = ring[:, None] * np.column_stack([np.cos(angle), np.sin(angle)])
+    found = I.silhouette_rows(labelled(spark, x.tolist(), names)).collect()
+    assert sum(r.looked for r in found) < 3.5 * len(x)  # of 5 others
+    for r in found[:: len(found) // 20]:
+        means = {c: L._measured(x[r.id : r.id + 1], x[ring == c])[0] for c in range(1, 7)}
+        assert r.a == pytest.approx(means.pop(int(r.label)) / 3999, rel=1e-10)
+        assert r.b == pytest.approx(min(means.values()) / 4000, rel=1e-10)
