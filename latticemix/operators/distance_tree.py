@@ -121,22 +121,23 @@ class Boxes:
 def build(x: np.ndarray, leaf: int = LEAF_ROWS) -> tuple[np.ndarray, Boxes]:
     """The order in which each box's rows are neighbours, and the boxes."""
     order, width = np.arange(len(x)), x.shape[1]
+    x = np.array(x, float, order="F")  # put in order as it goes; narrow rows are quicker to bound and to cut by columns
     los, his, spans = [], [], []
     todo = [(0, len(x), -1)]
     while todo:
         start, end, parent = todo.pop()
         if parent >= 0:
             spans[parent][2] = len(spans)
-        rows = x[order[start:end]]
+        rows = x[start:end]
         los.append(rows.min(axis=0, initial=np.inf))
         his.append(rows.max(axis=0, initial=-np.inf))
         cut = _cut(rows, los[-1], his[-1]) if end - start > leaf else None
         if cut is not None:
-            order[start:end] = order[start:end][cut[0]]
+            order[start:end], x[start:end] = order[start:end][cut[0]], rows[cut[0]]
             todo += [(start + cut[1], end, len(spans)), (start, start + cut[1], -1)]
         spans.append([start, end, 0, -1])
     lo, hi = np.array(los).reshape(-1, width), np.array(his).reshape(-1, width)
-    x, grids, at = x[order], {}, 0
+    grids, at = {}, 0
     for i in range(len(spans) - 1, -1, -1):
         (start, end, second, _), axes = spans[i], _axes(lo[i], hi[i])
         if axes is None or 2 * NODES ** len(axes) > end - start and axes:
@@ -269,7 +270,7 @@ class Targets:
 
     def __init__(self, x: np.ndarray, most: int = LEAF_ROWS):
         # narrow rows are quicker to bound and to cut by columns
-        self.order, columns = np.arange(len(x)), np.asfortranarray(x)
+        self.order, columns = np.arange(len(x)), np.array(x, float, order="F")
         cuts, todo = {}, [(0, len(x))] if len(x) > most else []
         while todo:
             start, end = todo.pop()

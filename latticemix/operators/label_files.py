@@ -85,7 +85,7 @@ def distance_chunks(a: np.ndarray, b: np.ndarray):
             for at in range(0, len(i), few):
                 p, q = i[at : at + few], j[at : at + few]
                 sq[p, q] = np.square(a[part][p] - b[q]).sum(axis=1)
-        yield part, np.sqrt(sq)
+        yield part, np.sqrt(sq, out=sq)
 
 
 def ipc_bytes(columns: dict) -> bytes:

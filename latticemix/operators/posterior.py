@@ -49,12 +49,12 @@ def squared_distances(a: np.ndarray, b_t: np.ndarray) -> np.ndarray:
 
     Summed from differences, so equal vectors are at exactly 0.
     """
-    out = np.zeros((len(a), b_t.shape[1]))
+    out = None
     for j in range(a.shape[1]):
         off = b_t[j] - a[:, j, None]
         off *= off
-        out += off
-    return out
+        out = off if out is None else np.add(out, off, out=out)
+    return np.zeros((len(a), b_t.shape[1])) if out is None else out
 
 
 def task_values(model: CellModel, temperature: float, components: str) -> dict:

@@ -95,7 +95,9 @@ def run_job(
     the labels of every n-th iteration beside those of the last.
     """
     taken = lambda df: df if first is None else first_n(df, first)
-    continuous = scan_continuous(spark, continuous_path, delimiter)
+    # read for its width, for its bounds and for the points
+    parsed = scan_continuous(spark, continuous_path, delimiter).persist(StorageLevel.MEMORY_AND_DISK)
+    continuous = parsed
     width = checked_width(continuous)
     continuous = taken(minmax_normalize(continuous, width))
     points = join_features(continuous, taken(scan_binary(spark, binary_path, delimiter)))
@@ -110,6 +112,7 @@ def run_job(
         output_path=output_path,
         label_every=label_every,
     )
+    parsed.unpersist()  # the points are cached by now
     stored = store.read_labels(spark, output_path, max_iter)
     labels = stored.select("id", F.col("cell").alias("label"))
     true = taken(scan_labels(spark, labels_path, delimiter))

@@ -10,6 +10,9 @@ from ..session import materialize
 
 # Characters a line is trimmed of on both sides (fixed: all up to the space).
 EDGE = r"[\x00-\x20]+"
+EDGE_CHARACTERS = "".join(map(chr, range(0x21)))
+# A pattern's end also lies before one of these, so that a line ending with one is trimmed by patterns.
+LINE_ENDS = ("\u0085", "\u2028", "\u2029")
 
 
 def _split(lines: DataFrame, delimiter: str) -> DataFrame:
@@ -17,7 +20,11 @@ def _split(lines: DataFrame, delimiter: str) -> DataFrame:
 
     A line without any delimiter is one token, even if empty.
     """
-    bare = F.regexp_replace(F.regexp_replace("value", "^" + EDGE, ""), EDGE + "$", "")
+    by_pattern = F.regexp_replace(F.regexp_replace("value", "^" + EDGE, ""), EDGE + "$", "")
+    odd = F.endswith("value", F.lit(LINE_ENDS[0]))
+    for end in LINE_ENDS[1:]:
+        odd = odd | F.endswith("value", F.lit(end))
+    bare = F.when(odd, by_pattern).otherwise(F.btrim("value", F.lit(EDGE_CHARACTERS)))
     tokens = F.col("_tokens")
     # Position of the last non-empty token, 0 when there is none.
     last = F.aggregate(

@@ -257,3 +257,12 @@ def test_indices_of_a_run_need_every_label(spark):
     assert sorted(got) == [2, 3] and got[3] == pytest.approx(1.0)
     with pytest.raises(Exception, match="same ids"):
         evaluate_run(spark, path, true.filter("id > 0")).collect()
+
+
+def test_lines_are_trimmed_as_by_patterns(spark):
+    lines = ["", " ", "\x00\t a,b \x1f", " a \x20b, ", "a,  ", " a  ", "a   ", " a \u0085", "  ", "\x7f a! "]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(lines)], "i int, value string")
+    bare = F.regexp_replace(F.regexp_replace("value", "^" + S.EDGE, ""), S.EDGE + "$", "")
+    want = [r[0] for r in rows.orderBy("i").select(F.split(bare, "#")[0]).collect()]
+    got = [r.tokens[0] for r in S._split(rows, "#").orderBy("i").collect()]
+    assert got == want
