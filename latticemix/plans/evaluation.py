@@ -97,22 +97,23 @@ def run_job(
     taken = lambda df: df if first is None else first_n(df, first)
     # read for its width, for its bounds and for the points
     parsed = scan_continuous(spark, continuous_path, delimiter).persist(StorageLevel.MEMORY_AND_DISK)
-    continuous = parsed
-    width = checked_width(continuous)
-    continuous = taken(minmax_normalize(continuous, width))
-    points = join_features(continuous, taken(scan_binary(spark, binary_path, delimiter)))
-    points = points.persist(StorageLevel.MEMORY_AND_DISK)
-    fitted = fit(
-        points,
-        init_cells,
-        rows=rows,
-        cols=cols,
-        max_iter=max_iter,
-        update_continuous=update_continuous,
-        output_path=output_path,
-        label_every=label_every,
-    )
-    parsed.unpersist()  # the points are cached by now
+    try:
+        width = checked_width(parsed)
+        continuous = taken(minmax_normalize(parsed, width))
+        points = join_features(continuous, taken(scan_binary(spark, binary_path, delimiter)))
+        points = points.persist(StorageLevel.MEMORY_AND_DISK)
+        fitted = fit(
+            points,
+            init_cells,
+            rows=rows,
+            cols=cols,
+            max_iter=max_iter,
+            update_continuous=update_continuous,
+            output_path=output_path,
+            label_every=label_every,
+        )
+    finally:
+        parsed.unpersist()  # the points are cached by now
     stored = store.read_labels(spark, output_path, max_iter)
     labels = stored.select("id", F.col("cell").alias("label"))
     true = taken(scan_labels(spark, labels_path, delimiter))
